@@ -29,12 +29,12 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Writes a stage to the shared folder and reads it again, which cuts its lineage: lost executors lose nothing."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

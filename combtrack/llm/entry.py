@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op01_jaccard import jaccard_components
+from .op02_suffix import drop_repeated_bytes
 from .op03_bpe import bpe_digests
 from .op04_topk import top_k
 from .op05_toxicity import learn_toxicity, score_toxicity
 from .op06_token_file import token_file_digests
 from .op07_packing import pack_tokens
 from .op08_language import identify_language, learn_languages
+from .op09_passages import drop_repeated_passages
 from .op10_tiff import media_digests
 
 
@@ -25,6 +28,14 @@ def fold_of(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,12 +72,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"), window=50, digest=True)
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_byte_bpe, op4_exact_top_k, op5_toxicity, op6_token_files, op7_packing, op8_language, op10_tiff]
+    own = [op1_ngram_jaccard, op2_suffix_array, op3_byte_bpe, op4_exact_top_k, op5_toxicity, op6_token_files, op7_packing, op8_language, op9_passages, op10_tiff]
     return {f.__name__: f for f in own}
 
 
