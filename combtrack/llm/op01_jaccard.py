@@ -36,52 +36,89 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def _folded(data: bytes, size: int) -> bytes:
-    """A sketch of more residues as one of `size` bytes."""
-    if len(data) == size:
-        return data
-    return np.bitwise_xor.reduce(np.frombuffer(data, np.uint8).reshape(-1, size), axis=0).tobytes()
-
-
-def alike(i: np.ndarray, j: np.ndarray, sketches: list[bytes], size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs can reach the similarity num / den: sketches differ in no more bits than the sets in elements."""
-    width = np.fromiter(map(len, sketches), np.int64, len(sketches))
-    least = np.minimum(width[i], width[j])
-    bits = np.zeros(len(i), np.int64)
-    for w in np.unique(least):
-        at = np.flatnonzero(least == w)
-        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-        m = np.frombuffer(b"".join(_folded(sketches[r], int(w)) for r in rows.tolist()), np.uint64).reshape(len(rows), -1)
-        for a in range(0, len(at), 8192):
-            own = np.arange(a, min(a + 8192, len(at)))
-            bits[at[own]] = np.bitwise_count(m[place[own]] ^ m[place[len(at) + own]]).sum(axis=1, dtype=np.int64)
-    both = size[i] + size[j]
-    return ((den + num) * bits <= (den - num) * both) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
-
-
-def candidate_edges(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: list[bytes], num: int, den: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that join, within each key, all that `alike` pairs join. Of a large group only a forest is returned."""
+class Sketches:
+    """Sketches of many sets as bit matrices by width; a wider one folds to half its width by joining its halves."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        self.width = np.fromiter(map(len, data), np.int64, len(data))
+        self.place = np.zeros(len(data), np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.own[w] = np.frombuffer(b"".join(data[r] for r in at.tolist()), np.uint64).reshape(len(at), -1)
+        self.half = {w // 2: np.bitwise_xor(m[:, : m.shape[1] // 2], m[:, m.shape[1] // 2 :]) for w, m in self.own.items() if m.shape[1] > 1}
+
+    def rows(self, r: np.ndarray, w: int) -> np.ndarray:
+        """Those of rows r at width w, which is theirs or half of it."""
+        out = np.empty((len(r), w // 8), np.uint64)
+        same = self.width[r] == w
+        if same.any():
+            out[same] = self.own[w][self.place[r[same]]]
+        if not same.all():
+            out[~same] = self.half[w][self.place[r[~same]]]
+        return out
+
+
+def alike(i: np.ndarray, j: np.ndarray, sketches: Sketches, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs can reach the similarity num / den (over a half): sketches differ in no more bits than the sets in elements."""
+    out = den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])
+    at = np.flatnonzero(out)  # of fitting sizes, so of one width or two next to each other
+    least = np.minimum(sketches.width[i[at]], sketches.width[j[at]])
+    for w in np.unique(least).tolist():
+        own = at[least == w]
+        for a in range(0, len(own), 1 << 15):
+            part = own[a : a + (1 << 15)]
+            bits = np.bitwise_count(sketches.rows(i[part], w) ^ sketches.rows(j[part], w)).sum(axis=1, dtype=np.int64)
+            out[part] = (den + num) * bits <= (den - num) * (size[i[part]] + size[j[part]])
+    return out
+
+
+def _joined(rows: np.ndarray, sketches: Sketches, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each of the rows, which are sorted by size, the first of those that alike pairs join it with."""
+    m = len(rows)
+    near = np.zeros((m, m), bool)
+    for w in np.unique(sketches.width[rows]).tolist():
+        x = np.flatnonzero(sketches.width[rows] == w)
+        y = np.flatnonzero((sketches.width[rows] == w) | (sketches.width[rows] == 2 * w))
+        left, right = sketches.rows(rows[x], w), sketches.rows(rows[y], w)
+        n_left, n_right = size[rows[x]], size[rows[y]]
+        for a in range(len(x)):
+            to = np.searchsorted(n_right, den * n_left[a] // num, "right")  # of fitting sizes
+            low = np.searchsorted(n_right, -(-num * n_left[a] // den), "left")
+            bits = np.bitwise_count(right[low:to] ^ left[a]).sum(axis=1, dtype=np.int64)
+            near[x[a], y[low:to]] = (den + num) * bits <= (den - num) * (n_left[a] + n_right[low:to])
+    near |= near.T
+    label = np.arange(m)
+    while True:
+        new = np.where(near, label[None, :], m).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def candidate_edges(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, data: list[bytes], num: int, den: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that join, within each key, all that `alike` pairs join; rows are sorted by key and size.
+
+    Of small groups these are the alike pairs, of a larger one each member and the first that it is joined with.
+    """
     bounds = group_bounds(keys)
     length = np.diff(bounds)
+    sketches = Sketches(data)
     of_small = np.repeat(length <= small, length)
     left, right = [], []
-    for lag in range(1, small):
-        i = np.flatnonzero((keys[:-lag] == keys[lag:]) & of_small[:-lag]) if lag < len(keys) else np.zeros(0, np.int64)
+    for lag in range(1, min(small, len(keys))):
+        i = np.flatnonzero((keys[:-lag] == keys[lag:]) & of_small[:-lag])
         if len(i):
             fine = alike(i, i + lag, sketches, size, num, den)
             left.append(ids[i[fine]])
             right.append(ids[i[fine] + lag])
     for a, b in zip(bounds[:-1][length > small], bounds[1:][length > small], strict=True):
-        todo = np.arange(a, b)
-        while len(todo):
-            front, todo = todo[:1], todo[1:]
-            while len(front) and len(todo):
-                at, front = front[0], front[1:]
-                hit = alike(np.full(len(todo), at), todo, sketches, size, num, den)
-                if hit.any():
-                    left.append(np.full(int(hit.sum()), ids[at]))
-                    right.append(ids[todo[hit]])
-                    front, todo = np.concatenate([front, todo[hit]]), todo[~hit]
+        label = _joined(np.arange(a, b), sketches, size, num, den)
+        own = np.flatnonzero(label != np.arange(b - a))
+        left.append(ids[a + own])
+        right.append(ids[a + label[own]])
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
@@ -99,7 +136,9 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     token, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True) if order else (np.zeros(0), np.zeros(0, np.int64))
     ends = np.cumsum(size)
     place = np.repeat(np.arange(len(order)), size)[np.argsort(flat, kind="stable")]
-    start = np.searchsorted(np.sort(flat), np.arange(len(token)))
+    tokens = np.sort(flat)
+    start = np.searchsorted(tokens, np.arange(len(token)))
+    entries = tokens * len(order) + place  # all lists one after another, each sorted
     filled = np.zeros(len(token), np.int64)
     root = np.arange(len(order))
 
@@ -134,11 +173,10 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         found, times = found[fine], times[fine]
         step = 4
         while len(found):
-            part, hits = found[:step], times[:step].copy()
-            for t in long.tolist():
-                q = place[start[t] : start[t] + filled[t] - 1]
-                at = np.searchsorted(q, part)
-                hits += q[np.minimum(at, len(q) - 1)] == part
+            part, hits = found[:step], times[:step]
+            probe = (long[:, None] * len(order) + part).ravel()
+            at = np.minimum(np.searchsorted(entries, probe), len(entries) - 1)
+            hits = hits + (entries[at] == probe).reshape(len(long), len(part)).sum(axis=0)
             for y in part[den * hits >= num * (size[x] + size[part] - hits)].tolist():
                 if find(y) != find(x):
                     root[find(y)] = find(x)
@@ -148,7 +186,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
                 mine = find(x)
                 open_ = np.array([find(y) != mine for y in found.tolist()])
                 found, times = found[open_], times[open_]
-            step = 256
+            step = max(8, (1 << 16) // max(1, len(long)))
     return edges
 
 
@@ -211,7 +249,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         a, b = candidate_edges(table.column("part").to_numpy(), table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist(), num, den)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    clusters = materialize(connected_components(by_key(met, "part", compare, "a bigint, b bigint", rows=8000), "a", "b"))
+    clusters = materialize(connected_components(by_key(met, "part", compare, "a bigint, b bigint", rows=8000, order=("n", "doc_id")), "a", "b"))
     sizes = clusters.join(classes.selectExpr("rep as node", "n"), "node").groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     sizes = materialize(sizes.selectExpr("label", f"bigint(greatest(ceil(members / {group_rows}), ceil(total / {group_shingles}))) as blocks"))
     own = clusters.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "blocks")
