@@ -156,8 +156,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
     1. Anchors of all texts, dealt out by hash. Where a whole context occurs again, all windows round it are repeats:
        mark 1. Where contexts of an anchor differ, one occurrence of each (mark 2) is sent on with its context.
     2. The contexts of each anchor go through `extend`. An anchor with over `group_rows` contexts is first divided by
-       the bytes that halves of its windows need (again and again, until the groups are small or hold one window,
-       which then repeats as such); a group of one holds no repeat.
+       the bytes that all windows of a half have in common, again and again: occurrences with all bytes of the half
+       alike are repeats and one of them stays for the others, one without company is none, and small groups go on.
     """
     reach = length - ANCHOR
     texts = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
@@ -165,15 +165,24 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
     def find(batches):
         for batch in slices(batches):
             own, place, anchor, context = find_anchors(utf8(batch.column("text")), length)
-            ids = batch.column("doc_id").to_numpy()[own]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids), pa.array(place.astype(np.int32))], ["h", "c", "doc_id", "pos"])
-
-    seen = texts.mapInArrow(find, "h bigint, c bigint, doc_id bigint, pos int").repartition("h")
+            order = np.lexsort((place, context, anchor, own))
+            own, place, anchor, context = own[order], place[order], anchor[order], context[order]
+            new = np.ones(len(own) + 1, bool)  # a text that repeats a context has one row for it
+            new[1:-1] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+            bounds = np.flatnonzero(new)
+            at, times = bounds[:-1], np.diff(bounds)
+            rest: list = [None] * len(at)
+            for i in np.flatnonzero(times > 1).tolist():
+                rest[i] = place[at[i] + 1 : at[i] + times[i]]
+            ids = batch.column("doc_id").to_numpy()[own[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(ids), pa.array(place[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(rest, pa.list_(pa.int64()))], ["h", "c", "doc_id", "pos", "times", "rest"])
+
+    seen = texts.mapInArrow(find, "h bigint, c bigint, doc_id bigint, pos int, times int, rest array<bigint>").repartition("h")
     whole = "over (partition by h, c order by doc_id, pos"
-    seen = seen.selectExpr("*", f"count(1) {whole} rows between unbounded preceding and unbounded following) as same", f"row_number() {whole}) as nth")
+    seen = seen.selectExpr("*", f"sum(times) {whole} rows between unbounded preceding and unbounded following) as same", f"row_number() {whole}) as nth")
     seen = seen.selectExpr("*", "min(c) over (partition by h) as c0", "max(c) over (partition by h) as c1", "sum(int(nth = 1)) over (partition by h) as kinds")
     mark = f"int(same >= 2) + 2 * int(c0 <> c1 and nth = 1) + 4 * int(kinds > {group_rows})"
-    marks = materialize(seen.where("same >= 2 or c0 <> c1").selectExpr("doc_id", f"bigint(pos) * 8 + {mark} as mark").groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
+    marks = materialize(seen.where("same >= 2 or c0 <> c1").selectExpr("doc_id", f"concat(array(bigint(pos) * 8 + {mark}), coalesce(transform(rest, p -> p * 8 + 1), array())) as mark").groupBy("doc_id").agg(F.flatten(F.collect_list("mark")).alias("marks")))
 
     def send(batches):
         scale = powers(ANCHOR)
@@ -203,17 +212,23 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
     contexts = texts.join(marks.where("exists(marks, m -> m & 2 > 0)"), "doc_id").mapInArrow(send, f"{fields}, big boolean")
     contexts = materialize(contexts)
     ready, big = contexts.where("not big").drop("big"), contexts.where("big").drop("big")
-    alone = []
+    resolved = []
     while not big.isEmpty():
         halves = big.withColumn("part", F.explode(F.expr("case when lo = hi then array(named_struct('lo', lo, 'hi', hi)) else array(named_struct('lo', lo, 'hi', (lo + hi) div 2), named_struct('lo', (lo + hi) div 2 + 1, 'hi', hi)) end")))
-        halves = halves.withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part").where(f"length(lefts) >= lo and length(rights) >= {length} - hi")
+        halves = halves.withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part")
+        far, near = "least(hi, length(lefts))", f"least({length} - lo, length(rights))"
+        halves = halves.where(f"length(lefts) >= lo and length(rights) >= {length} - hi and {far} + {near} >= {length}")
         halves = halves.withColumn("key", F.expr(f"xxhash64(key, lo, hi, substring(lefts, length(lefts) - lo + 1, lo), substring(rights, 1, {length} - hi))"))
+        halves = halves.withColumn("all", F.expr(f"xxhash64(key, {far}, {near}, substring(lefts, length(lefts) - {far} + 1, {far}), substring(rights, 1, {near}))"))
         halves = materialize(halves)
-        counts = materialize(halves.groupBy("key").count().where("count > 1"))
-        halves = materialize(halves.join(counts, "key"))
-        ready = ready.unionByName(halves.where(f"count <= {group_rows}").drop("count"))
-        alone.append(halves.where(f"count > {group_rows} and lo = hi and wanted").selectExpr("doc_id", "pos - lo as start", f"pos - lo + {length} as end"))
-        big = halves.where(f"count > {group_rows} and lo < hi").drop("count")
+        kinds = materialize(halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "pos")).alias("first")))
+        groups = materialize(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("same").alias("members")).where("members > 1"))
+        kinds = materialize(kinds.join(groups, "key"))
+        halves = materialize(halves.join(kinds.drop("key"), "all"))
+        resolved.append(halves.where("same > 1 and wanted").selectExpr("doc_id", f"pos - {far} as start", f"pos + {near} as end"))
+        halves = halves.where("kinds > 1 and first = struct(doc_id, pos)").withColumn("wanted", F.expr("wanted and same = 1"))
+        ready = ready.unionByName(halves.where(f"kinds <= {group_rows}").select(ready.columns))
+        big = halves.where(f"kinds > {group_rows}").select(ready.columns)
 
     def scan(table: pa.Table) -> Iterator[pa.RecordBatch]:
         columns = {c: table.column(c) for c in ("key", "doc_id", "pos", "lo", "hi", "wanted")}
@@ -224,7 +239,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
         yield pa.RecordBatch.from_arrays([pa.array(columns["doc_id"][hit]), pa.array((pos - before[hit]).astype(np.int32)), pa.array((pos + after[hit]).astype(np.int32))], ["doc_id", "start", "end"])
 
     spans = by_key(ready, "key", scan, "doc_id bigint, start int, end int", rows=8000)
-    for more in alone:
+    for more in resolved:
         spans = spans.unionAll(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return marks.select("doc_id", F.expr("filter(marks, m -> m & 1 > 0)").alias("marks")).where("size(marks) > 0"), spans
