@@ -50,7 +50,7 @@ class PieceEncoder:
     pieces. Plain words go to the library's model, as its normaliser and pattern leave them whole.
     """
 
-    def __init__(self, path: str, held: int = 250_000) -> None:
+    def __init__(self, path: str, held: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
