@@ -134,10 +134,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
         if not cover:
             break
         best = max(cover, key=lambda p: (cover[p], weight[p], len(p), p))
-        if cover[best] < least:
+        if cover[best] < 2:
             break
         kept.append(best)
         left = [x for x in left if best not in x]
+    # words that many toxic and no clean documents have, though the cover can do without them
+    kept += [r["pattern"] for r in rows if r["pattern"].endswith(" ") and r["toxic"] * 10 >= n_toxic and not r["clean"] and not any(p in r["pattern"] for p in kept)]
     bare = ToxicLexicon(tuple((p, weight[p]) for p in sorted(kept)), (), 1.0)
 
     def contexts(batches):
