@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other alphabets that look like Latin ones, and digits written for letters.
@@ -96,8 +96,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
     is read.
     """
     labelled = labels.where(learnable & labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).dropDuplicates(["id"])
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")  # two labels: a bounded side
+    of_label = [labelled.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for x in (0, 1)]
+    chosen = of_label[0].unionAll(of_label[1])  # of bounded size
     texts = docs.where(docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["text"]).select("toxic", "text")
 

@@ -69,17 +69,17 @@ def pack(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     windows = [[(i, 0, lengths[i]) for i in w] for w in best_fit(lengths, size)]
     fill = [sum(x[2] for x in w) for w in windows]
     order = sorted(range(len(windows)), key=lambda i: (-fill[i], i))
-    keep = -(-sum(fill) // size)
+    keep = max(0, -(-sum(fill) // size) - 1)
     loose = [x for i in order[keep:] for x in windows[i]]
     for i in order[:keep]:
-        while fill[i] < size and loose:
+        while fill[i] < size:
             item, start, length = loose.pop()
             part = min(length, size - fill[i])
             windows[i].append((item, start, part))
             fill[i] += part
             if part < length:
                 loose.append((item, start + part, length - part))
-    return [windows[i] for i in order[:keep]]
+    return [windows[i] for i in order[:keep]] + ([loose] if loose else [])
 
 
 def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int, pattern: str | None = None, size: int = 1024, shard_docs: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
