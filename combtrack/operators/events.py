@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import BY_DAY, gap_after
+from .windows import by_day, gap_after
 
 
 def leave_events(df: DataFrame, exit_distance: float, absence: int) -> DataFrame:
@@ -14,7 +14,7 @@ def leave_events(df: DataFrame, exit_distance: float, absence: int) -> DataFrame
     A sighting right after such a one is a return, not another leave.
     """
     out = gap_after(df).withColumn("_leave", F.coalesce((F.col("gap") >= absence) & (F.col("exit_dist") <= exit_distance), F.lit(False)))
-    out = out.withColumn("_back", F.coalesce(F.lag("_leave").over(BY_DAY), F.lit(False)))
+    out = out.withColumn("_back", F.coalesce(F.lag("_leave").over(by_day()), F.lit(False)))
     return out.where("_leave and not _back").drop("_leave", "_back").withColumn("status", F.lit("leave"))
 
 
@@ -39,7 +39,7 @@ def marked(rows: DataFrame, events: DataFrame, keys: list[str], status: str = "l
 
 def thinned(df: DataFrame, every: int) -> DataFrame:
     """Every k-th sighting of an individual's day."""
-    return df.withColumn("_n", F.row_number().over(BY_DAY)).where(F.col("_n") % every == 1 % every).drop("_n")
+    return df.withColumn("_n", F.row_number().over(by_day())).where(F.col("_n") % every == 1 % every).drop("_n")
 
 
 def interactions(df: DataFrame, distance: float, frames: int) -> DataFrame:
@@ -75,7 +75,7 @@ def upsampled(df: DataFrame, step: int, columns: list[str]) -> DataFrame:
     ends = df.groupBy("uid", "daynum").agg(F.min("framenum").alias("_a"), F.max("framenum").alias("_b"))
     full = ends.select("uid", "daynum", F.explode(F.sequence("_a", "_b", F.lit(step))).alias("framenum"))
     both = full.withColumn("_grid", F.lit(True)).join(df.select("uid", "daynum", "framenum", *columns), ["uid", "daynum", "framenum"], "full")
-    before, after = BY_DAY.rowsBetween(Window.unboundedPreceding, 0), BY_DAY.rowsBetween(0, Window.unboundedFollowing)
+    before, after = by_day().rowsBetween(Window.unboundedPreceding, 0), by_day().rowsBetween(0, Window.unboundedFollowing)
     seen = F.when(F.col(columns[0]).isNotNull(), F.col("framenum"))
     both = both.withColumns({"_f0": F.last(seen, True).over(before), "_f1": F.first(seen, True).over(after)} | {f"_{c}0": F.last(c, True).over(before) for c in columns} | {f"_{c}1": F.first(c, True).over(after) for c in columns})
     share = F.coalesce(F.try_divide(F.col("framenum") - F.col("_f0"), F.col("_f1") - F.col("_f0")), F.lit(0.0))

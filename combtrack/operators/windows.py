@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import HiveConfig
 from ..functions import geometry as g
 
-BY_UID = Window.partitionBy("uid").orderBy("daynum", "framenum")
-BY_DAY = Window.partitionBy("uid", "daynum").orderBy("framenum")
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
+def by_uid() -> WindowSpec:
+    """An individual's rows across days."""
+    return Window.partitionBy("uid").orderBy("daynum", "framenum")
+
+
+def by_day() -> WindowSpec:
+    """An individual's rows of a day."""
+    return Window.partitionBy("uid", "daynum").orderBy("framenum")
+
+
 def running_visits(df: DataFrame, flag: Column) -> DataFrame:
     """`on` (the flag) and `visits`: rises of the flag so far, across days; the first row never counts as a rise."""
     out = df.withColumn("on", flag)
-    rise = F.coalesce((F.lag("on").over(BY_UID) == 0) & (F.col("on") == 1), F.lit(False)).cast("int")
-    return out.withColumn("_rise", rise).withColumn("visits", F.sum("_rise").over(BY_UID.rowsBetween(*UP_TO_HERE))).drop("_rise")
+    rise = F.coalesce((F.lag("on").over(by_uid()) == 0) & (F.col("on") == 1), F.lit(False)).cast("int")
+    return out.withColumn("_rise", rise).withColumn("visits", F.sum("_rise").over(by_uid().rowsBetween(*UP_TO_HERE))).drop("_rise")
 
 
 def recent_visits(df: DataFrame, frames: int) -> DataFrame:
     """`recent`: visits since the first sighting of the day at most `frames` earlier (as-of look-back as a range frame)."""
-    back = BY_DAY.rangeBetween(-frames, 0)
+    back = by_day().rangeBetween(-frames, 0)
     return df.withColumn("recent", F.col("visits") - F.first("visits").over(back))
 
 
 def gap_after(df: DataFrame) -> DataFrame:
     """`gap`: frames to the next sighting of the day; null at the last."""
-    return df.withColumn("gap", F.lead("framenum").over(BY_DAY) - F.col("framenum"))
+    return df.withColumn("gap", F.lead("framenum").over(by_day()) - F.col("framenum"))
 
 
 def speed_steps(df: DataFrame, c: HiveConfig, max_seconds: float) -> DataFrame:
     """`distance` (cm) and `speed` (cm/s) from the row before; null across days, cameras, gaps over `max_seconds` and in no time."""
-    step = F.hypot(F.col("x") - F.lag("x").over(BY_DAY), F.col("y") - F.lag("y").over(BY_DAY)) / c.pixels_per_cm
-    seconds = (F.col("framenum") - F.lag("framenum").over(BY_DAY)) / c.fps
-    out = df.withColumns({"distance": step, "_s": seconds, "_c": F.lag("camera").over(BY_DAY)})
+    step = F.hypot(F.col("x") - F.lag("x").over(by_day()), F.col("y") - F.lag("y").over(by_day())) / c.pixels_per_cm
+    seconds = (F.col("framenum") - F.lag("framenum").over(by_day())) / c.fps
+    out = df.withColumns({"distance": step, "_s": seconds, "_c": F.lag("camera").over(by_day())})
     fine = (F.col("_c") == F.col("camera")) & (F.col("_s") <= max_seconds) & (F.col("_s") > 0)
     return out.withColumn("speed", F.when(fine, F.try_divide("distance", "_s"))).drop("_s", "_c")
 
@@ -58,9 +66,9 @@ def uncensored(runs: DataFrame, key: str = "uid") -> DataFrame:
 
 def plot_segments(df: DataFrame, jump: float, least: int = 2) -> DataFrame:
     """`segment` of each row: numbers runs without a jump or change of camera; rows of shorter runs than `least` are left out."""
-    far = F.hypot(F.col("x") - F.lag("x").over(BY_DAY), F.col("y") - F.lag("y").over(BY_DAY)) > jump
-    cut = F.coalesce(far | (F.lag("camera").over(BY_DAY) != F.col("camera")), F.lit(True)).cast("int")
-    out = df.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(BY_DAY.rowsBetween(*UP_TO_HERE)))
+    far = F.hypot(F.col("x") - F.lag("x").over(by_day()), F.col("y") - F.lag("y").over(by_day())) > jump
+    cut = F.coalesce(far | (F.lag("camera").over(by_day()) != F.col("camera")), F.lit(True)).cast("int")
+    out = df.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(by_day().rowsBetween(*UP_TO_HERE)))
     return out.withColumn("_n", F.count("*").over(Window.partitionBy("uid", "daynum", "segment"))).where(F.col("_n") >= least).drop("_n", "_cut")
 
 
@@ -78,12 +86,12 @@ def best_confidence(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def trailing_mean(df: DataFrame, column: str, frames: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.avg(column).over(BY_DAY.rangeBetween(-frames, 0)))
+    return df.withColumn(name, F.avg(column).over(by_day().rangeBetween(-frames, 0)))
 
 
 def flat_step(c: HiveConfig) -> Column:
     """Distance from the row before in folded coordinates."""
-    return F.hypot(F.col("fx") - F.lag("fx").over(BY_DAY), F.col("fy") - F.lag("fy").over(BY_DAY))
+    return F.hypot(F.col("fx") - F.lag("fx").over(by_day()), F.col("fy") - F.lag("fy").over(by_day()))
 
 
 def with_geometry(df: DataFrame, c: HiveConfig) -> DataFrame:

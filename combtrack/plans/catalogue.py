@@ -109,7 +109,7 @@ def _bouts(spark, d):
 
 def _speeds(spark, d):
     out = w.speed_steps(_geo(spark, d), C, 86_400)
-    lag = lambda c: F.lag(c).over(w.BY_DAY)
+    lag = lambda c: F.lag(c).over(w.by_day())
     return out.withColumns({"flat": w.flat_step(C), "pf": lag("frame"), "pc": lag("camera"), "dx": F.col("xa") - lag("xa"), "dy": F.col("y") - lag("y")})
 
 
@@ -262,7 +262,7 @@ def xy_hist(spark, d):
 
 @query(STEP + f" SELECT {XY}, round(avg(flat / sec), 6) AS speed, round(avg(dx / sec), 6) AS vx, round(avg(dy / sec), 6) AS vy FROM stp WHERE pc = camera AND sec > 0 GROUP BY ALL")
 def velocity_hist(spark, d):
-    rows = _speeds(spark, d).withColumn("sec", (F.col("framenum") - F.lag("framenum").over(w.BY_DAY)) / C.fps).where("pc = camera and sec > 0")
+    rows = _speeds(spark, d).withColumn("sec", (F.col("framenum") - F.lag("framenum").over(w.by_day())) / C.fps).where("pc = camera and sec > 0")
     return _cells(rows).groupBy("xbin", "ybin").agg(r6(F.avg(F.col("flat") / F.col("sec")), "speed"), r6(F.avg(F.col("dx") / F.col("sec")), "vx"), r6(F.avg(F.col("dy") / F.col("sec")), "vy"))
 
 
