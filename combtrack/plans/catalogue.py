@@ -307,11 +307,11 @@ def dance_arrivals(spark, d):
     return _visits(spark, d).groupBy("uid").agg(F.max("visits").alias("arrivals"))
 
 
-@query("SELECT c_nationkey AS cohort, strftime(o_orderdate, '%Y-%m-%d') AS day, round(sum(o_totalprice * n) / nullif(sum(n), 0), 2) AS weighted, round(avg(o_totalprice), 2) AS mean, count(*) AS n FROM (SELECT o_custkey, o_orderdate, o_totalprice, 1 + o_orderkey % 5 AS n FROM orders) o JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
-def day_rollup_weighted(spark, d):
+@query("SELECT c_nationkey AS cohort, strftime(o_orderdate, '%Y-%m-%d') AS day, round(sum(o_totalprice * n) / nullif(sum(n), 0) + 1e-7, 4) AS weighted, round(avg(o_totalprice) + 1e-7, 4) AS mean, count(*) AS n FROM (SELECT o_custkey, o_orderdate, o_totalprice, 1 + o_orderkey % 5 AS n FROM orders) o JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def day_rollup_weighted(spark, d):  # the small term keeps means of whole cents off the halves that engines round differently
     orders = table(spark, d, "orders").withColumn("n", 1 + F.pmod("o_orderkey", F.lit(5)))
     rows = orders.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("c_nationkey").alias("cohort"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.try_divide(F.sum(F.col("o_totalprice") * F.col("n")), F.sum("n")), 2).alias("weighted"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.count("*").alias("n"))
+    return rows.groupBy(F.col("c_nationkey").alias("cohort"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.try_divide(F.sum(F.col("o_totalprice") * F.col("n")), F.sum("n")) + 1e-7, 4).alias("weighted"), F.round(F.avg("o_totalprice") + 1e-7, 4).alias("mean"), F.count("*").alias("n"))
 
 
 @query(STEP + " SELECT daynum, round(avg(speed * sin((hour(ts) - 5.5) / 24 * 2 * pi())) / nullif(avg(speed), 0), 6) AS coefficient FROM spd GROUP BY daynum")
