@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import by_day, gap_after
@@ -80,3 +80,16 @@ def upsampled(df: DataFrame, step: int, columns: list[str]) -> DataFrame:
     both = both.withColumns({"_f0": F.last(seen, True).over(before), "_f1": F.first(seen, True).over(after)} | {f"_{c}0": F.last(c, True).over(before) for c in columns} | {f"_{c}1": F.first(c, True).over(after) for c in columns})
     share = F.coalesce(F.try_divide(F.col("framenum") - F.col("_f0"), F.col("_f1") - F.col("_f0")), F.lit(0.0))
     return both.where("_grid").select("uid", "daynum", "framenum", *[(F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * share).alias(c) for c in columns])
+
+
+def first_fine(starts: DataFrame, rows: DataFrame, width: int, frames_per_day: int, flag: Column) -> DataFrame:
+    """(uid, daynum, framenum): the first flagged row within `width` frames after each individual's coarse start.
+
+    The window is open and null is given where it would cross midnight or holds no such row. `starts`: one row (uid,
+    daynum, framenum) per individual.
+    """
+    begun = starts.select("uid", F.col("daynum").alias("_day"), F.col("framenum").alias("_from"))
+    hits = rows.where(flag).join(begun.where(F.col("_from") + width < frames_per_day), "uid")
+    hits = hits.where((F.col("daynum") == F.col("_day")) & (F.col("framenum") > F.col("_from")) & (F.col("framenum") < F.col("_from") + width))
+    first = hits.groupBy("uid").agg(F.min("framenum").alias("framenum"))
+    return begun.join(first, "uid", "left").select("uid", F.when(F.col("framenum").isNotNull(), F.col("_day")).alias("daynum"), "framenum")
