@@ -1 +1,3 @@
-"""See the README."""
+"""The registered queries."""
+
+from . import catalogue, surfaces  # noqa: F401  (surfaces adds to the catalogue)
