@@ -93,3 +93,16 @@ def first_fine(starts: DataFrame, rows: DataFrame, width: int, frames_per_day: i
     hits = hits.where((F.col("daynum") == F.col("_day")) & (F.col("framenum") > F.col("_from")) & (F.col("framenum") < F.col("_from") + width))
     first = hits.groupBy("uid").agg(F.min("framenum").alias("framenum"))
     return begun.join(first, "uid", "left").select("uid", F.when(F.col("framenum").isNotNull(), F.col("_day")).alias("daynum"), "framenum")
+
+
+def among_events(rows: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose every key has a value that some event has, each on its own: not the same event. `marked` is the pairwise form."""
+    for key in keys:
+        rows = rows.join(events.select(key).distinct(), key, "left_semi")
+    return rows
+
+
+def not_yet(rows: DataFrame, first: DataFrame, at: Column, margin: int) -> DataFrame:
+    """Rows of individuals without a first event (uid, first) up to `margin` after the row's time."""
+    out = rows.join(first.select("uid", F.col("first").alias("_first")), "uid", "left")
+    return out.where(F.col("_first").isNull() | (F.col("_first") > at + margin)).drop("_first")

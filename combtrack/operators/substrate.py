@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most measurements and maps whose list is sent to every task.
@@ -102,3 +102,12 @@ def classify_rasters(images: DataFrame, colours: Sequence[tuple[int, int, int]],
                     yield pd.DataFrame({"raster_id": i, "xi": np.tile(np.arange(w), len(part)), "yi": np.repeat(np.arange(y, y + len(part)), w), "code": pd.Series(part.ravel(), dtype="Int32").mask(part.ravel() < 0)})
 
     return images.select("raster_id", "height", "width", "pixels").mapInPandas(work, "raster_id long, xi int, yi int, code int")
+
+
+def blended(at: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, code, n, share): rows per class under the maps of a day, each map by its weight; `share` of the rows with a code.
+
+    `at` is that of substrate_at, with `daynum`; `weights` has (daynum, map_id, weight).
+    """
+    rows = at.where(F.col("code").isNotNull()).join(weights, ["daynum", "map_id"]).groupBy(*keys, "code").agg(F.sum("weight").alias("n"))
+    return rows.withColumn("share", F.try_divide("n", F.sum("n").over(Window.partitionBy(*keys))))

@@ -9,7 +9,7 @@ from ..operators import events as ev
 from ..operators import models, sampling, signal, substrate
 from ..operators import windows as w
 from ..sources.tables import detections, table
-from .catalogue import BINS, DAY, DET, GRID, HOUR, LEAVE, STEP, _bouts, _geo, _leaves, _speeds, _visits, query, r6
+from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, STEP, _bouts, _geo, _leaves, _speeds, _visits, query, r6
 
 # Rasters of 10 by 12 cells on two maps and two sides, from the parts' keys and sizes.
 RASTER = "raster AS (SELECT p_partkey % 2 AS map_id, (p_partkey // 2) % 2 AS camera, (p_partkey // 4) % 10 AS xi, (p_partkey // 40) % 12 AS yi, max(p_size) % 15 AS code FROM part GROUP BY ALL)"
@@ -114,6 +114,58 @@ def knn_eval(spark, d):
     return models.nearest_vote(rows.where("vec_id % 50 = 0"), rows.where("vec_id % 50 <> 0"), 5, "embedding", "label", "vec_id")
 
 
+@query(AT + """, w AS (SELECT d.uid, d.daynum, c.code, CASE WHEN c.map_id = 0 THEN 1 - (d.daynum % 5) / 4.0 ELSE (d.daynum % 5) / 4.0 END AS weight FROM cell c JOIN det d USING (event_id)), g AS (SELECT uid, daynum, code, sum(weight) AS n FROM w GROUP BY ALL)
+ SELECT uid, daynum, CAST(code AS INTEGER) AS code, round(n, 6) AS n, round(n / nullif(sum(n) OVER (PARTITION BY uid, daynum), 0), 6) AS share FROM g""")
+def substrate_blend(spark, d):
+    rows = detections(spark, d, C).select("event_id", "uid", "daynum")
+    share = F.pmod("daynum", F.lit(5)) / 4.0
+    weights = rows.select("daynum").distinct().select("daynum", F.explode(F.array(F.struct(F.lit(0).alias("map_id"), (1 - share).alias("weight")), F.struct(F.lit(1).alias("map_id"), share.alias("weight")))).alias("c")).select("daynum", "c.*")
+    out = substrate.blended(_at(spark, d).join(rows, "event_id"), weights, ["uid", "daynum"])
+    return out.select("uid", "daynum", "code", r6("n", "n"), r6("share", "share"))
+
+
+@query(LEAVE + " SELECT event_id FROM det WHERE daynum IN (SELECT daynum FROM leaves) AND uid IN (SELECT uid FROM leaves)")
+def independent_semi_joins(spark, d):
+    return ev.among_events(detections(spark, d, C), _leaves(spark, d), ["daynum", "uid"]).select("event_id")
+
+
+@query(LEAVE + " SELECT b.event_id, b.uid, b.framenum, a.recent FROM (SELECT uid, daynum, framenum, CAST(recent AS BIGINT) AS recent FROM leaves) a RIGHT JOIN det b ON a.uid = b.uid AND a.daynum = b.daynum AND a.framenum = b.framenum")
+def right_join_events(spark, d):
+    leaves = _leaves(spark, d).select("uid", "daynum", "framenum", "recent")
+    return leaves.join(detections(spark, d, C).select("event_id", "uid", "daynum", "framenum"), ["uid", "daynum", "framenum"], "right").select("event_id", "uid", "framenum", "recent")
+
+
+@query(LEAVE + ", f AS (SELECT uid, min(daynum) AS first FROM leaves GROUP BY uid) SELECT event_id FROM det LEFT JOIN f USING (uid) WHERE first IS NULL OR first > daynum + 2")
+def not_yet_left(spark, d):
+    first = _leaves(spark, d).groupBy("uid").agg(F.min("daynum").alias("first"))
+    return ev.not_yet(detections(spark, d, C), first, F.col("daynum"), 2).select("event_id")
+
+
+@query(DET + ", t AS (SELECT count(DISTINCT (daynum, framenum)) AS n FROM det) SELECT uid, round(count(*) / max(t.n), 6) AS visible FROM det, t GROUP BY uid")
+def frame_visibility(spark, d):
+    rows = detections(spark, d, C)
+    total = F.broadcast(rows.agg(F.countDistinct("daynum", "framenum").alias("total")))  # one number
+    return rows.groupBy("uid").agg(F.count("*").alias("n")).crossJoin(total).select("uid", r6(F.try_divide("n", "total"), "visible"))
+
+
+@query("SELECT event_type, count(*) AS n, count(value) AS seen FROM events GROUP BY event_type")
+def value_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("seen"))
+
+
+@query(GEO + f", h AS (SELECT CAST(uid % 4 AS BIGINT) AS cohort, CAST(framenum // {HOUR} AS INTEGER) AS hour, CAST(frame AS INTEGER) AS frame, count(*) AS n FROM geo GROUP BY ALL), k AS (SELECT CAST(uid % 4 AS BIGINT) AS cohort, count(DISTINCT uid) AS individuals FROM det GROUP BY ALL) SELECT cohort, hour, frame, round(n / individuals, 6) AS mean FROM h JOIN k USING (cohort)")
+def cohort_hour_hist(spark, d):
+    rows = _geo(spark, d).select("uid", F.pmod("uid", F.lit(4)).alias("cohort"), F.expr(f"cast(framenum div {HOUR} as int)").alias("hour"), F.col("frame").cast("int").alias("frame"))
+    size = rows.groupBy("cohort").agg(F.countDistinct("uid").alias("individuals"))
+    return rows.groupBy("cohort", "hour", "frame").agg(F.count("*").alias("n")).join(size, "cohort").select("cohort", "hour", "frame", r6(F.try_divide("n", "individuals"), "mean"))
+
+
+@query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM events GROUP BY event_type")
+def class_distribution(spark, d):
+    q = table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile(value, array(0.05, 0.25, 0.5, 0.75, 0.95))").alias("q"))
+    return q.select("event_type", *[r6(F.col("q")[i], f"q{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
+
+
 FEATURES = ["daynum", "hour", "minute", "exit_dist", "visits", "recent"]
 
 

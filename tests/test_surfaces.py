@@ -149,3 +149,18 @@ def test_first_fine_row(spark):
     rows = spark.createDataFrame([(1, 0, 100, 1), (1, 0, 120, 1), (1, 0, 110, 0), (2, 0, 150, 1), (3, 0, 910, 1)], "uid int, daynum int, framenum int, hit int")
     got = {r["uid"]: (r["daynum"], r["framenum"]) for r in events.first_fine(starts, rows, 50, 940, F.col("hit") == 1).collect()}
     assert got == {1: (0, 120), 2: (None, None), 3: (None, None)}
+
+
+def test_blend_weighs_maps(spark):
+    at = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 0, 1), (0, 1, 1), (0, 0, None)], "daynum int, map_id int, code int")
+    weights = spark.createDataFrame([(0, 0, 0.75), (0, 1, 0.25)], "daynum int, map_id int, weight double")
+    got = {r["code"]: (r["n"], r["share"]) for r in substrate.blended(at, weights, ["daynum"]).collect()}
+    assert got == {1: (1.75, 0.875), 2: (0.25, 0.125)}
+
+
+def test_events_by_value_and_not_yet(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "uid int, day int")
+    marks = spark.createDataFrame([(1, 1), (2, 2)], "uid int, day int")
+    assert sorted(tuple(r) for r in events.among_events(rows, marks, ["uid", "day"]).select("uid", "day").collect()) == [(1, 1), (1, 2), (2, 1)]
+    first = marks.select("uid", (F.col("day") * 5).alias("first"))
+    assert sorted(tuple(r) for r in events.not_yet(rows, first, F.col("day"), 4).select("uid", "day").collect()) == [(2, 1), (3, 1)]
