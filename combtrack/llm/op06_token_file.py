@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, pattern: str
     """Encodes every whole text, appends `end_id`, and writes the ids in ascending order of doc_id; returns the folder.
 
     Texts are dealt out by ranges of doc_id and sorted; each task cuts its ids into files of about `file_ids` ids
-    (whole documents), kept as rows (part, seq, doc_ids, lengths, data) of a parquet table in the shared folder. Null
+    (whole documents), kept as rows (part, seq, before, doc_ids, lengths, data) of a parquet table in the shared folder; `before` counts the part's ids ahead. Null
     texts are empty; null ids come first; repeated rows stay, those of one id in the order of their texts' hashes.
     """
     spark = docs.sparkSession
@@ -112,11 +112,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, pattern: str
 
     def run(batches):
         coder, end = text_encoder(tokenizer, pattern), struct.pack("<I", end_id)
-        part, seq, held, names, sizes, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, seq, before, held, names, sizes, size = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def file():
             data = pack_ids(np.frombuffer(b"".join(held), np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "doc_ids", "lengths", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "before", "doc_ids", "lengths", "n_ids", "data"])
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -127,12 +127,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, pattern: str
                 size += len(ids) // 4
                 if size >= file_ids:
                     yield file()
-                    seq, held, names, sizes, size = seq + 1, [], [], [], 0
+                    seq, before, held, names, sizes, size = seq + 1, before + size, [], [], [], 0
         if names:
             yield file()
 
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, seq int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, data binary").write.parquet(path)
+    ordered.mapInArrow(run, "part int, seq int, before bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, data binary").write.parquet(path)
     return path
 
 
@@ -161,9 +161,7 @@ def _read(spark, path: str, ids: bool) -> DataFrame:
                     last = pa.array([zlib.crc32(own[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), place, pa.array(row["lengths"], pa.int64()), last], ["doc_id", "start", "n_tokens", "last"])
 
-    before = files.select("part", "seq", "n_ids")
-    earlier = before.withColumn("before", F.expr("coalesce(sum(n_ids) over (partition by part order by seq rows between unbounded preceding and 1 preceding), 0L)")).drop("n_ids")
-    rows = files.join(earlier, ["part", "seq"]).select("part", "before", "doc_ids", "lengths", "data")
+    rows = files.select("part", "before", "doc_ids", "lengths", "data")
     return rows.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, last {'array<bigint>' if ids else 'bigint'}").withColumnRenamed("last", "ids" if ids else "ids_crc32")
 
 
