@@ -37,6 +37,13 @@ def numbered(df: DataFrame, keys: list[str], by: list[str], seed: int) -> DataFr
     return rows.withColumn("_own", number).join(sizes, part).withColumn("_at", F.col("_own") + F.col("_before")).drop("_own", "_before", "_hash", "_part")
 
 
+def against_all(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Every row of label 1 and, by a hash of the key, as many of label 0, or all of those where there are fewer."""
+    rows = numbered(df.where(F.col(label).isin(0, 1)), [label], [key], seed)
+    ones = F.broadcast(df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("_ones")))  # one number
+    return rows.crossJoin(ones).where((F.col(label) == 1) | (F.col("_at") < F.col("_ones"))).drop("_at", "_of", "_ones")
+
+
 def bootstrap(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """`draw` from 0 to n - 1 with a row of df each, drawn with replacement; no rows if df is empty."""
     rows = numbered(df, [], [key], seed)

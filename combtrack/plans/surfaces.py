@@ -170,11 +170,11 @@ FEATURES = ["daynum", "hour", "minute", "exit_dist", "visits", "recent"]
 
 
 def _examples(spark, d):
-    """Leaves against as many other sightings, by a seed."""
+    """Every leave against as many other sightings, by a seed."""
     leaves = _leaves(spark, d).select("event_id", F.lit(1).alias("left"))
     rows = _visits(spark, d).withColumns({"hour": F.hour("ts"), "minute": F.minute("ts")}).join(leaves, "event_id", "left")
     rows = rows.withColumn("label", F.coalesce("left", F.lit(0)))
-    return models.assembled(sampling.balanced_sample(rows, "label", "event_id", 5_000, 42), FEATURES, "event_id", 25)
+    return models.assembled(sampling.against_all(rows, "label", "event_id", 42), FEATURES, "event_id", 25)
 
 
 def _model(name: str):

@@ -1,6 +1,7 @@
 """Rasters, signals, samples and models against plain Python."""
 
 import math
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from combtrack.config import HIVE_2018
 from combtrack.operators import events, models, sampling, signal, substrate
+from combtrack.plans import surfaces
 
 
 def plain_filter(x, poles, cutoff, rate):
@@ -115,6 +117,23 @@ def test_numbers_and_draws(spark):
     assert sampling.bootstrap(df.limit(0), "id", 5, 1).count() == 0
 
 
+def test_examples_hold_every_leave(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
+    got = sampling.against_all(df, "label", "id", 42).groupBy("label").agg(F.count("*"), F.countDistinct("id")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 7500, 7500), (1, 7500, 7500)]
+    few = sampling.against_all(df.withColumn("label", 1 - F.col("label")), "label", "id", 42)
+    assert sorted(tuple(r) for r in few.groupBy("label").count().collect()) == [(0, 7500), (1, 22_500)]
+    assert sampling.against_all(df.where("label = 0"), "label", "id", 42).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_evaluation_reads_every_leave(spark):
+    """More leaves than the 5,000 a class that were read before; a leave without features can't be judged."""
+    leaves = surfaces._leaves(spark, "/root/testdata/sf0.1").dropna(subset=["exit_dist", "visits", "recent"]).select("event_id")
+    got = surfaces._examples(spark, "/root/testdata/sf0.1").where("label = 1").select("event_id")
+    assert leaves.count() > 5_000 and leaves.exceptAll(got).count() == 0 and got.exceptAll(leaves).count() == 0
+
+
 def test_nearest_vote_against_plain(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.integers(0, 4, 3)], int(rng.integers(0, 3))) for i in range(120)]
