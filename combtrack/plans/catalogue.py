@@ -116,7 +116,7 @@ def _speeds(spark, d):
 @query(DET + " SELECT event_id, uid, daynum, framenum, x, y, camera FROM det WHERE value / 500 > 0.3 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 3000")
 def scan_filter_confidence(spark, d):
     rows = detections(spark, d, C).withColumn("confidence", F.col("value") / 500)
-    return scan_detections(rows, None, 4096, 0.3, "2024-01-03", "2024-01-20", 3000).select("event_id", "uid", "daynum", "framenum", "x", "y", "camera")
+    return scan_detections(rows, None, 4096, 0.3, "2024-01-03", "2024-01-20").select("event_id", "uid", "daynum", "framenum", "x", "y", "camera")
 
 
 @query("SELECT CAST(i AS INTEGER) AS daynum, strftime(DATE '2024-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') AS day, count(e.ts) AS n FROM range(60) t(i) LEFT JOIN events e ON CAST(e.ts AS DATE) = DATE '2024-01-01' + CAST(i AS INTEGER) GROUP BY ALL")

@@ -1,9 +1,13 @@
 """Edge cases of the state and window operators."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from combtrack.config import HIVE_2018
 from combtrack.operators import states, stats, windows
+from combtrack.plans import catalogue
+from combtrack.sources.tables import scan_detections
 
 
 def grid(spark, values):
@@ -47,3 +51,20 @@ def test_cut_is_right_closed(spark):
 
 def test_bins_match_the_image():
     assert (HIVE_2018.x_bins, HIVE_2018.y_bins, HIVE_2018.frames_per_day) == (41, 35, 259_200)
+
+
+def test_scan_limit_keeps_the_earliest(spark):
+    start = datetime(2024, 1, 3)
+    df = spark.createDataFrame([(i, i, start + timedelta(seconds=9 - i // 2), 0.2 + 0.2 * (i % 5)) for i in range(10)], "event_id long, uid int, ts timestamp, confidence double")
+    scan = lambda limit: [r["event_id"] for r in scan_detections(df, None, 4096, 0.3, "2024-01-03", "2024-01-04", limit).orderBy("ts", "event_id").collect()]
+    assert scan(None) == [8, 9, 6, 7, 4, 2, 3, 1]
+    assert scan(3) == [8, 9, 6] and scan(100) == scan(None)
+
+
+def test_registered_scan_holds_all_matches(spark, tmp_path):
+    """More matches than the 3,000 of which the scan kept the earliest."""
+    start = datetime(2024, 1, 4)
+    rows = [(i, i % 50, start + timedelta(seconds=i), "k1", 400.0 if i % 2 else 100.0) for i in range(7000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r["event_id"] for r in catalogue.queries()["scan_filter_confidence"](spark, str(tmp_path)).collect())
+    assert got == list(range(1, 7000, 2))
