@@ -450,7 +450,12 @@ def entity_age(spark, d):
 
 @query(GRID + ", k AS (SELECT uid, daynum, td, state FROM inh WHERE daynum = 3) SELECT uid, " + ", ".join(f"max(CASE WHEN td = {i} THEN state END) AS t{i}" for i in range(24)) + " FROM k GROUP BY uid")
 def state_pivot(spark, d):
-    return ev.pivot_state(_in_hive(spark, d).where("daynum = 3"), BINS)
+    return ev.pivot_state(_in_hive(spark, d).where("daynum = 3"), BINS).drop("daynum")
+
+
+@query(GRID + " SELECT uid, daynum, " + ", ".join(f"max(CASE WHEN td = {i} THEN state END) AS t{i}" for i in range(24)) + " FROM inh GROUP BY uid, daynum")
+def state_pivot_days(spark, d):
+    return ev.pivot_state(_in_hive(spark, d), BINS)
 
 
 @query(GEO + " SELECT event_id, round(avg(exit_dist) OVER (PARTITION BY uid, daynum ORDER BY framenum RANGE BETWEEN 40000 PRECEDING AND CURRENT ROW), 6) AS mean_dist FROM geo")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from combtrack.config import HIVE_2018
-from combtrack.operators import states, stats, windows
+from combtrack.operators import events, states, stats, windows
 from combtrack.plans import catalogue
 from combtrack.sources.tables import scan_detections
 
@@ -68,3 +68,9 @@ def test_registered_scan_holds_all_matches(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(r["event_id"] for r in catalogue.queries()["scan_filter_confidence"](spark, str(tmp_path)).collect())
     assert got == list(range(1, 7000, 2))
+
+
+def test_pivot_holds_all_days(spark):
+    df = spark.createDataFrame([(1, 3, 0, 1), (1, 3, 1, 0), (1, 4, 0, 0), (2, 5, 1, None)], "uid int, daynum int, td int, state int")
+    got = sorted(tuple(r) for r in events.pivot_state(df, 2).select("uid", "daynum", "t0", "t1").collect())
+    assert got == [(1, 3, 1, 0), (1, 4, 0, None), (2, 5, None, None)]
