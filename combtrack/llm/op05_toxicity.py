@@ -92,8 +92,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
     The sample holds, of either label, the `sample_docs` learnable documents with the lowest hash of their id; null
     ids, texts and labels are left out, and copies count once. Patterns are words and beginnings of words with much
     better odds in toxic documents, of which the greedy cover keeps those that explain documents no better pattern
-    explains. A phrase round a pattern that mostly clean documents use becomes an exception. No label of another row
-    is read.
+    explains. A phrase round a pattern that mostly clean documents use becomes an exception; every context in the sample
+    counts. The lexicon has a bounded size: the cover chooses among the `max_patterns` candidates that most toxic
+    documents hold, and of the exceptions the `max_patterns` that most clean documents hold stay. No label of another
+    row is read.
     """
     labelled = labels.where(learnable & labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).dropDuplicates(["id"])
     of_label = [labelled.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for x in (0, 1)]
@@ -145,8 +147,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
     def contexts(batches):
         automaton = _automaton(bare)
         for batch in batches:
-            phrases, size = [], []
-            for text in batch.column("text").to_pylist():
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 folded, own = fold(text), set()
                 for start, end, _ in matches(automaton, folded):
                     end = folded.index(" ", end - 1) + 1
@@ -157,12 +158,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
                         own.add(folded[before:end])
                     if after >= 0:
                         own.add(folded[start : after + 1])
-                phrases.append(sorted(own)[:2000])
-                size.append(density(automaton, text))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(phrases, pa.list_(pa.string())), pa.array(size, pa.float64())], ["toxic", "phrases", "density"])
+                phrases = list(own)
+                for i in range(0, len(phrases), 20_000):
+                    part = phrases[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(part), pa.int32()), pa.array(part, pa.string())], ["toxic", "phrase"])
 
-    seen = sample.mapInArrow(contexts, "toxic int, phrases array<string>, density double")
-    spared = seen.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).where("clean >= 2 and clean >= 4 * toxic").orderBy(F.desc("clean"), "phrase").limit(max_patterns).collect()
+    seen = sample.mapInArrow(contexts, "toxic int, phrase string")
+    spared = seen.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).where("clean >= 2 and clean >= 4 * toxic").orderBy(F.desc("clean"), "phrase").limit(max_patterns).collect()
     lexicon = ToxicLexicon(bare.patterns, tuple(r["phrase"] for r in spared), 1.0)
 
     def measure(batches):

@@ -147,6 +147,17 @@ def test_toxicity(spark, empty):
     assert by_id(op05_toxicity.score_toxicity(spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string"), lexicon)) == {1: (0.0,), 2: (0.0,)}
 
 
+def test_toxicity_reads_all_contexts(spark):
+    """Two clean documents with far more than 2000 contexts each, of which only the alphabetically last is common to them."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choices("abcdefg", k=n))
+    data = [(i, f"{word(6)} zoink{word(3)} {word(6)}", 1) for i in range(60)] + [(100 + i, " ".join(word(5) for _ in range(9)), 0) for i in range(60)]
+    data += [(200 + i, " ".join(f"{word(9)} zoinkers" for _ in range(2500)), 0) for i in range(2)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, toxic int")
+    lexicon = op05_toxicity.learn_toxicity(df.drop("toxic"), df.drop("text"), df["doc_id"] >= 0)
+    assert any(p.startswith(" zoi") for p, _ in lexicon.patterns) and " zoinkers " in lexicon.exceptions
+
+
 @pytest.mark.parametrize(("name", "pattern"), [("word_bpe_49k.json", None), ("byte_bpe_50k.json", tok.PATTERN)])
 def test_encoders_equal_the_library(rows, name, pattern):
     from tokenizers import Tokenizer
