@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,15 +21,42 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20240607)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 ODD = U64(0x9E3779B97F4A7C15)
+_OWN = uuid.uuid4().hex
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001, S110  (the session has gone: its folder is the owner's to clear)
+        pass
+
+
+@functools.cache
+def _root(spark: SparkSession, base: str) -> str:
+    """This process's folder, which goes when the process ends."""
+    path = f"{base.rstrip('/')}/combtrack-{_OWN}"
+    atexit.register(_clean, spark, path)
+    return path
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a local session gets a folder of its own; on a cluster it is an error, as executors don't see
+    one another's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='combtrack-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_root(spark, base)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -34,15 +64,23 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
 
+def discard(*stages: DataFrame) -> None:
+    """Deletes written stages that no later one will read."""
+    for df in stages:
+        _delete(df.sparkSession, df._written)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages that have been written and are not referred to any more."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as it takes to differ from all columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -74,70 +112,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """0th to (n-1)th power of an odd 64-bit base."""
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 4096), U64(0xD6E8FEB86659FD93))
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS[:n]
-
-
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and each text's offset in them (n + 1 numbers)."""
+def word_bytes(texts: list[bytes], lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words `[^\\x20\\x09-\\x0D]+` of all texts as one binary array, and each text's offset in it (n + 1 numbers)."""
     joined = b" ".join(texts)
     if lower:
         joined = joined.lower()  # bytes.lower() folds A-Z alone
     buf = np.frombuffer(joined, np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(lengths + 1, out=offsets[1:])
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1, out=offsets[1:])
     space = SPACES[buf]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    size = ends - starts
-    body = buf[~space]
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    place = np.arange(len(body), dtype=np.int64) - np.repeat(first, size)
-    codes = BYTE_CODES[body] * powers(int(size.max()))[place]
-    hashes = mix(np.add.reduceat(codes, first) + size.astype(np.uint64) * ODD)
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(buf[~space])])
+    return array, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word (2, words), halves of a BLAKE2b digest of its bytes, and each text's offset."""
+    array, offsets = word_bytes(texts, lower)
+    if not len(array):
+        return np.zeros((2, 0), np.uint64), offsets
+    coded = array.dictionary_encode()
+    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+    lanes = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    return np.ascontiguousarray(lanes[:, coded.indices.to_numpy()]), offsets
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order; mixed at each step, so that no pattern of equal parts cancels out."""
+    return mix(left * ODD + right)
 
 
 def rolled(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of each run of `length` consecutive values, by doubling; as long as the input, the last length - 1 are void."""
     n = len(hashes)
     out, done = np.zeros(n, np.uint64), 0
-    power, width = hashes.copy(), 1
-    base = U64(0xA24BAED4963EE407)
-    scale = {0: U64(1)}
-
-    def factor(k: int) -> np.uint64:
-        if k not in scale:
-            scale[k] = U64(pow(int(base), k, 2**64))
-        return scale[k]
-
-    left = length
+    power, width, left = hashes.copy(), 1, length
     while left:
         if left & 1:
             if done < n:
-                out[: n - done] += power[done:] * factor(done)
+                out[: n - done] = joined(out[: n - done], power[done:])
             done += width
         left >>= 1
         if left:
             if width < n:
-                power[: n - width] = power[: n - width] + power[width:] * factor(width)
+                power[: n - width] = joined(power[: n - width], power[width:])
             width *= 2
-    return mix(out)
+    return out
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = current.unionAll(current.select("v", "u"))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = materialize(both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v")
-        current = materialize(small.unionAll(least).distinct())
+        second = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(second, "u").where("v <> m").selectExpr("v as u", "m as v")
+        after = materialize(small.unionAll(second).distinct())
+        discard(current, least, large, second)
+        current = after

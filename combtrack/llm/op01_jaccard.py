@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -10,22 +11,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ODD, U64, by_key, group_bounds, materialize, mix, rolled, slices, words
+from ._common import U64, by_key, group_bounds, joined, materialize, rolled, slices, utf8, word_bytes, words
 from ._components import connected_components
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted hashes of each text's distinct n-grams of lower-cased words; with fewer words the whole sequence is one."""
-    hashes, offsets = words(texts, lower=True)
-    runs = rolled(hashes, n) if len(hashes) else hashes
+def shingle_sets(texts: list[bytes], n: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Sorted hashes of each text's distinct n-grams of lower-cased words (with fewer words the whole sequence is one), and a digest of its words."""
+    lanes, offsets = words(texts, lower=True)
+    runs = rolled(lanes[0], n)
+    pairs = np.ascontiguousarray(lanes.T)
+    sets, digests = [], []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b - a >= n:
+            sets.append(np.unique(runs[a : b - n + 1]))
+        elif b > a:
+            sets.append(joined(rolled(lanes[0, a:b], int(b - a))[:1], U64(b - a)))
+        else:
+            sets.append(runs[:0])
+        digests.append(hashlib.blake2b(pairs[a:b].data, digest_size=16).digest())
+    return sets, digests
+
+
+def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Each text's distinct n-grams as sorted numbers: equal ones if and only if the words are equal, letter by letter."""
+    array, offsets = word_bytes(texts, lower=True)
+    if not len(array):
+        return [np.zeros(0, np.int64) for _ in texts]
+    number = array.dictionary_encode().indices.to_numpy().astype(np.int64)
+    runs = number
+    for k in range(1, n):  # pairs (run of k words, word after it), numbered anew
+        after = np.append(number[k:], np.zeros(min(k, len(number)), np.int64))
+        runs = np.unique(runs * (int(number.max()) + 1) + after, return_inverse=True)[1]
+    short: dict[bytes, int] = {}
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if b - a >= n:
             out.append(np.unique(runs[a : b - n + 1]))
         elif b > a:
-            out.append(rolled(hashes[a:b], int(b - a))[:1] + U64(b - a))
+            out.append(np.array([-1 - short.setdefault(number[a:b].tobytes(), len(short))]))
         else:
-            out.append(hashes[:0])
+            out.append(runs[:0])
     return out
 
 
@@ -123,8 +148,8 @@ def candidate_edges(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, data: l
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A forest of the pairs of sets with den * intersection >= num * union, which joins all that such pairs join.
+def linked(sets: list[np.ndarray], num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets with den * intersection >= num * union, which joins all that such pairs join; with `every` all pairs.
 
     Sets are taken by size; each searches the inverted lists of those before it for sets in at least
     T = ceil(num * size / den) of its lists. DivideSkip: some T / (1 + 0.01 log M) longest lists (M: the longest) are
@@ -178,11 +203,13 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
             at = np.minimum(np.searchsorted(entries, probe), len(entries) - 1)
             hits = hits + (entries[at] == probe).reshape(len(long), len(part)).sum(axis=0)
             for y in part[den * hits >= num * (size[x] + size[part] - hits)].tolist():
-                if find(y) != find(x):
+                if every:
+                    edges.append((order[x], order[y]))
+                elif find(y) != find(x):
                     root[find(y)] = find(x)
                     edges.append((order[x], order[y]))
             found, times = found[step:], times[step:]
-            if len(found):
+            if len(found) and not every:
                 mine = find(x)
                 open_ = np.array([find(y) != mine for y in found.tolist()])
                 found, times = found[open_], times[open_]
@@ -197,53 +224,44 @@ def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     return rows.withColumn("part", F.expr(f"xxhash64({key}, least(_b, _o), greatest(_b, _o))")).drop("_b", "_o")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, group_rows: int = 2048, group_shingles: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents joined by links, which are pairs with den * intersection >= num * union.
-
-    1. One pass gives every document's size, hash of the set, sketch and prefix: the shingles of which a similar set
-       must hold one, in an order that puts those last which a bounded sample (`sample_docs`) finds frequent.
-    2. Equal sets become one. Sets that share a prefix shingle and are of fitting size are compared by sketches, which
-       never underrate; what may be alike falls into clusters.
-    3. The sets of a cluster meet, and T-occurrence search finds the exact links (`linked`). Groups and clusters over
-       `group_rows` documents or `group_shingles` shingles are dealt out as pairs of blocks.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows whose id is null are left out; rows that
-    repeat an id stay, and an id's component joins those of all its rows' texts.
-    """
-    texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+def _links(texts: DataFrame, n: int, num: int, den: int, sample_docs: int, group_rows: int, group_shingles: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, key) of each row, (key, rep) of each class of equal word sequences, and the links (a, b) between representatives."""
     count = texts.count()
 
     def spread(batches):
         for batch in slices(batches):
-            own = [s for s in shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], n) if len(s)]
+            own = [s for s in shingle_sets(utf8(batch.column("text")), n)[0] if len(s)]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["s"])
 
-    every = max(1, -(-count // sample_docs))
-    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    step = max(1, -(-count // sample_docs))
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     often = sampled.mapInArrow(spread, "s bigint").groupBy("s").count().where(F.col("count") >= max(8, min(count, sample_docs) // 500))
     heavy = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "s").limit(100_000).collect()], np.int64).view(np.uint64))
 
     def describe(batches):
         for batch in slices(batches):
             rows = []
-            for own in shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], n):
+            for own, digest in zip(*shingle_sets(utf8(batch.column("text")), n), strict=True):
                 late = np.isin(own, heavy, assume_unique=True)
                 prefix = np.concatenate([own[~late], own[late]])[: len(own) - -(-num * len(own) // den) + 1] if len(own) else own
-                spreaded = mix(own + ODD)
-                rows.append((len(own), int(own.sum(dtype=np.uint64).view(np.int64)), int(spreaded.sum(dtype=np.uint64).view(np.int64)), sketch(own), prefix.view(np.int64)))
-            size, s1, s2, bits, prefix = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "sketch", "prefix"])
+                rows.append((len(own), digest, sketch(own), prefix.view(np.int64)))
+            size, key, bits, prefix = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sketch", "prefix"])
 
-    described = materialize(texts.mapInArrow(describe, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, prefix array<bigint>"))
-    classes = materialize(described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = described.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi")
+    described = materialize(texts.mapInArrow(describe, "doc_id bigint, n bigint, key binary, sketch binary, prefix array<bigint>"))
+    classes = materialize(described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    reps = described.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
 
     tokens = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
     near = "over (partition by token order by n, doc_id"
     tokens = tokens.selectExpr("*", f"lag(n) {near}) as less", f"lead(n) {near}) as more", f"count(1) {near} rows between unbounded preceding and unbounded following) as rows")
-    tokens = tokens.where(f"{den} * less >= {num} * n or {den} * n >= {num} * more").select("doc_id", "token", "rows")
-    met = _blocked(tokens, "token", f"ceil(rows / {group_rows})").select("doc_id", "part").join(reps.select("doc_id", "n", "sketch"), "doc_id")
+    tokens = tokens.where(f"{den} * less >= {num} * n or {den} * n >= {num} * more").select("doc_id", "n", "token", "rows")
+    # a long document has many prefix rows: its sketch is sent once for each few hundred of them
+    salts = f"1 + n * {den - num} div {den * 256}"
+    tokens = _blocked(tokens, "token", f"ceil(rows / {group_rows})").withColumn("salt", F.expr(f"pmod(xxhash64(token), {salts})"))
+    drawn = reps.select("doc_id", "n", "sketch", F.explode(F.expr(f"sequence(0L, bigint({salts}) - 1)")).alias("salt"))
+    met = tokens.select("doc_id", "salt", "part").join(drawn, ["doc_id", "salt"])
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         a, b = candidate_edges(table.column("part").to_numpy(), table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist(), num, den)
@@ -253,28 +271,51 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sizes = clusters.join(classes.selectExpr("rep as node", "n"), "node").groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     sizes = materialize(sizes.selectExpr("label", f"bigint(greatest(ceil(members / {group_rows}), ceil(total / {group_shingles}))) as blocks"))
     own = clusters.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "blocks")
-
-    def send(batches):
-        for batch in slices(batches):
-            sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("blocks"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "label", "blocks", "items"])
-
-    members = texts.join(own, "doc_id").mapInArrow(send, "doc_id bigint, label bigint, blocks bigint, items binary")
-    members = _blocked(members, "label", "blocks").select("part", "doc_id", "items")
+    members = _blocked(texts.join(own, "doc_id"), "label", "blocks").select("part", "doc_id", "text")
 
     def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = table.column("doc_id").to_numpy()
-        items = table.column("items").combine_chunks()
+        ids, texts_ = table.column("doc_id").to_numpy(), utf8(table.column("text"))
         bounds = group_bounds(table.column("part").to_numpy())
         a, b = [], []
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            for x, y in linked([np.frombuffer(items[i].as_buffer(), np.uint64) for i in range(first, last)], num, den):
-                a.append(ids[first + x])
-                b.append(ids[first + y])
+            for x, y in linked(exact_sets(texts_[first:last], n), num, den, every):
+                a.append(min(ids[first + x], ids[first + y]))
+                b.append(max(ids[first + x], ids[first + y]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = by_key(members, "part", search, "a bigint, b bigint", rows=256)
-    same = described.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+    return described.select("doc_id", "n", "key"), classes, by_key(members, "part", search, "a bigint, b bigint", rows=256)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, group_rows: int = 2048, group_shingles: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(a, b), all linked pairs of representatives, a < b, and (doc_id, rep), the documents that each stands for.
+
+    A representative is the least id of those with the same lower-cased words, which are linked without being listed.
+    Ids must differ; null ids and texts without words are in neither table.
+    """
+    same, classes, links = _links(_texts(docs, id_col, text_col), n, num, den, sample_docs, group_rows, group_shingles, True)
+    return links.distinct(), same.join(classes.select("key", "rep"), "key").select("doc_id", "rep")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, group_rows: int = 2048, group_shingles: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents joined by links, which are pairs with den * intersection >= num * union.
+
+    1. One pass gives every document's size, digest, sketch and prefix: the shingles of which a similar set must hold
+       one, in an order that puts those last which a bounded sample (`sample_docs`) finds frequent.
+    2. Texts of the same words (a 128-bit digest of them) become one. Sets that share a prefix shingle and are of
+       fitting size are compared by sketches, which never underrate; what may be alike falls into clusters.
+    3. The texts of a cluster meet, and T-occurrence search over their words themselves finds the exact links
+       (`linked`). Groups and clusters over `group_rows` documents or `group_shingles` shingles are dealt out as pairs
+       of blocks.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows whose id is null are left out; rows that
+    repeat an id stay, and an id's component joins those of all its rows' texts. Other columns are not read.
+    """
+    described, classes, links = _links(_texts(docs, id_col, text_col), n, num, den, sample_docs, group_rows, group_shingles, False)
+    same = described.join(classes.select("key", "rep"), "key", "left")
     repeated = described.groupBy("doc_id").count().where("count > 1").select("doc_id")  # one id, several texts
     bridges = same.join(repeated, "doc_id").where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = materialize(connected_components(links.unionAll(bridges), "a", "b")).selectExpr("node as rep", "label")
