@@ -9,133 +9,182 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import rolled, slices, words
+from ._common import U64, free_name, materialize, rolled, slices, utf8, words
 
 #: For each period residues among whose differences every residue of the period occurs.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
+_EDGE = U64(0x5851F42D4C957F2D)
 
 
-def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the text's words, hash of the anchor) at all cover positions.
+class Anchors:
+    """The anchors of many texts: at each cover position a hash of window - period + 1 words and, extended from it, of its context.
 
     Two equal windows, wherever they begin, both have a cover position within their first `period` words and at the
-    same distance from their beginnings; so an anchor of window - period + 1 words there lies in both.
+    same distance from their beginnings; so an anchor of window - period + 1 words there lies in both. The context of
+    an anchor is all that such windows can hold, `period` - 1 words to either side (beyond a text's ends: a mark).
+    Where contexts are equal, so are all windows round the anchors.
     """
-    size = window - period + 1
-    count = np.diff(offsets)
-    text = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], count)
-    covered = np.zeros(period, bool)
-    covered[list(COVERS[period])] = True
-    at = np.flatnonzero(covered[place % period] & (place + size <= count[text]) & (count[text] >= window))
-    return text[at], place[at], rolled(hashes, size)[at] if len(hashes) else hashes
 
-
-def _spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n places the runs of `length` from `starts` cover."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int = 50, period: int = 31) -> DataFrame:
-    """(doc_id, windows array<bigint>): hashes of a document's windows of words that also start in a document of smaller id.
-
-    First the anchors that several documents hold are found; only windows that hold such an anchor are compared, by
-    the hash of all their words. Both comparisons are minima over an anchor or window, computed where its rows are.
+    def __init__(self, texts: list[bytes], window: int, period: int) -> None:
+        self.window, self.period = window, period
+        self.size, self.reach = window - period + 1, period - 1
+        self.lanes, self.offsets = words(texts)
+        self.count = np.diff(self.offsets)
+        text = np.repeat(np.arange(len(texts)), self.count)
+        place = np.arange(self.lanes.shape[1]) - self.offsets[:-1][text]
+        covered = np.zeros(period, bool)
+        covered[list(COVERS[period])] = True
+        at = np.flatnonzero(covered[place % period] & (place + self.size <= self.count[text]) & (self.count[text] >= window))
+        self.text, self.place = text[at], place[at]
+        wide = np.full((2, len(text) + 2 * self.reach * len(texts)), _EDGE)
+        moved = np.arange(len(text)) + self.reach * (2 * text + 1)
+        wide[:, moved] = self.lanes
+        begin = moved[at] - self.reach
+        self.context = [rolled(lane, self.size + 2 * self.reach)[begin] for lane in wide]
+        self.hash = rolled(self.lanes[0], self.size)[at]
+
+    def among(self, marks: list[np.ndarray]) -> np.ndarray:
+        """Which anchors have a context that their text's marks name."""
+        bounds = np.searchsorted(self.text, np.arange(len(marks) + 1))
+        return np.concatenate([np.isin(self.context[0][a:b], m) for a, b, m in zip(bounds[:-1], bounds[1:], marks, strict=True)]) if marks else np.zeros(0, bool)
+
+    def around(self, which: np.ndarray, words_too: bool) -> np.ndarray:
+        """Flags of the places at which windows that hold these anchors begin, or of all words that they cover."""
+        edge = np.zeros(self.lanes.shape[1] + 1, np.int32)
+        text, place = self.text[which], self.place[which]
+        first = np.maximum(place - self.reach, 0)
+        last = np.minimum(place, self.count[text] - self.window) + (self.window if words_too else 1)
+        np.add.at(edge, self.offsets[text] + first, 1)
+        np.add.at(edge, self.offsets[text] + last, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def windows(self) -> list[np.ndarray]:
+        """Two hashes of the window that begins at each place."""
+        return [rolled(lane, self.window) for lane in self.lanes]
+
+
+def _distinct(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Positions of the first row of each text with a key (its first part decides)."""
+    order = np.lexsort((keys[0], text))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (text[order][1:] != text[order][:-1])
+    return order[new]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _marks(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in column]
+
+
+def repeated_windows(texts: DataFrame, window: int = 50, period: int = 31) -> DataFrame:
+    """(_p_id, _p_whole, _p_windows): for each doc_id the contexts, and beyond them the windows, that documents of smaller id hold too.
+
+    Contexts are compared first, by 128 bits of their words. One that a smaller id has repeats as a whole. Only the
+    first of each of several contexts of an anchor needs more: its windows are compared with the others'.
     """
-    size = window - period + 1
-    texts = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-
-    def distinct(key: np.ndarray, text: np.ndarray, ids: np.ndarray, name: str) -> pa.RecordBatch:
-        order = np.lexsort((key, text))
-        key, text = key[order], text[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[text[new]])], [name, "doc_id"])
 
     def find(batches):
         for batch in slices(batches):
-            hashes, offsets = words([t.encode() for t in batch.column("text").to_pylist()])
-            text, _, anchor = anchors(hashes, offsets, window, period)
-            yield distinct(anchor, text, batch.column("doc_id").to_numpy(), "anchor")
+            found = Anchors(utf8(batch.column("text")), window, period)
+            own = _distinct(found.text, found.context[0])
+            ids = batch.column("doc_id").to_numpy()[found.text[own]]
+            yield pa.RecordBatch.from_arrays([_signed(found.hash[own]), _signed(found.context[0][own]), _signed(found.context[1][own]), pa.array(ids)], ["anchor", "c1", "c2", "doc_id"])
 
     def compare(batches):
         for batch in slices(batches):
-            hashes, offsets = words([t.encode() for t in batch.column("text").to_pylist()])
-            text, place, anchor = anchors(hashes, offsets, window, period)
-            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            wanted = np.zeros(len(hashes), bool)
-            for i, shared in enumerate(batch.column("shared")):
-                a, b = bounds[i], bounds[i + 1]
-                n = int(offsets[i + 1] - offsets[i])
-                hit = place[a:b][np.isin(anchor[a:b], shared.values.to_numpy().view(np.uint64))]
-                if len(hit):
-                    first = np.maximum(hit - period + 1, 0)
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, hit + 1, -1)
-                    own = np.cumsum(edge[:-1]) > 0
-                    own[max(0, n - window + 1) :] = False
-                    wanted[offsets[i] : offsets[i + 1]] = own
-            at = np.flatnonzero(wanted)
-            owner = np.searchsorted(offsets, at, "right") - 1
-            yield distinct(rolled(hashes, window)[at], owner, batch.column("doc_id").to_numpy(), "win")
-
-    found = texts.mapInArrow(find, "anchor bigint, doc_id bigint")
-    found = found.selectExpr("anchor", "doc_id", "min(doc_id) over (partition by anchor) as low", "max(doc_id) over (partition by anchor) as high")
-    shared = found.where("low < high").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
-    held = texts.join(shared, "doc_id").mapInArrow(compare, "win bigint, doc_id bigint")
-    held = held.selectExpr("win", "doc_id", "min(doc_id) over (partition by win) as low")
-    return held.where("low < doc_id").groupBy("doc_id").agg(F.collect_set("win").alias("windows"))
-
-
-def _kept(text: str, hashes: np.ndarray, windows, window: int) -> tuple[list[bytes], int]:
-    """The words that stay, and how many go."""
-    own = text.encode().split()
-    if windows is None:
-        return own, 0
-    starts = np.flatnonzero(np.isin(rolled(hashes, window), windows.view(np.uint64)))
-    starts = starts[starts <= len(own) - window]
-    gone = _spread(starts, window, len(own))
-    return [w for w, g in zip(own, gone, strict=True) if not g], int(gone.sum())
+            hit = np.flatnonzero(batch.column("some").is_valid().to_numpy(zero_copy_only=False))
+            if not len(hit):
+                continue
+            batch = batch.take(pa.array(hit))
+            found = Anchors(utf8(batch.column("text")), window, period)
+            at = np.flatnonzero(found.around(found.among(_marks(batch.column("some"))), False))
+            owner = np.searchsorted(found.offsets, at, "right") - 1
+            w1, w2 = (w[at] for w in found.windows())
+            own = _distinct(owner, w1)
+            yield pa.RecordBatch.from_arrays([_signed(w1[own]), _signed(w2[own]), pa.array(batch.column("doc_id").to_numpy()[owner[own]])], ["w1", "w2", "doc_id"])
+
+    named = texts.where("doc_id is not null")
+    seen = named.mapInArrow(find, "anchor bigint, c1 bigint, c2 bigint, doc_id bigint").repartition("anchor")
+    seen = seen.selectExpr("*", "min(doc_id) over (partition by anchor, c1, c2) as low", "min(c1) over (partition by anchor) as c0", "max(c1) over (partition by anchor) as c9")
+    seen = seen.where("low < doc_id or c0 <> c9").selectExpr("doc_id", "low < doc_id as whole", "c1")
+    marks = seen.groupBy("doc_id").agg(F.expr("collect_list(c1) filter (where whole)").alias("whole"), F.expr("collect_list(c1) filter (where not whole)").alias("some"))
+    marks = marks.selectExpr("doc_id as _p_id", "whole as _p_whole", "if(size(some) = 0, null, some) as some")
+    marks = materialize(marks)
+    held = texts.join(marks.select("_p_id", "some"), texts["doc_id"] == marks["_p_id"], "left").select("doc_id", "text", "some")
+    held = held.mapInArrow(compare, "w1 bigint, w2 bigint, doc_id bigint")
+    held = held.selectExpr("w1", "doc_id", "min(doc_id) over (partition by w1, w2) as low")
+    held = held.where("low < doc_id").groupBy(F.col("doc_id").alias("_w_id")).agg(F.collect_set("w1").alias("_p_windows"))
+    return marks.drop("some").join(held, marks["_p_id"] == held["_w_id"], "full").selectExpr("coalesce(_p_id, _w_id) as _p_id", "_p_whole", "_p_windows")
+
+
+def repeated_words(texts: list[bytes], whole: pa.Array, windows: pa.Array, window: int, period: int) -> list[np.ndarray | None]:
+    """For each text flags of the words that go, None where none do."""
+    whole, windows = _marks(whole), _marks(windows)
+    hit = [i for i in range(len(texts)) if len(whole[i]) or len(windows[i])]
+    out: list[np.ndarray | None] = [None] * len(texts)
+    if not hit:
+        return out
+    found = Anchors([texts[i] for i in hit], window, period)
+    gone = found.around(found.among([whole[i] for i in hit]), True)
+    first = found.windows()[0]
+    for k, i in enumerate(hit):
+        a, b = found.offsets[k], found.offsets[k + 1]
+        own = gone[a:b]
+        if len(windows[i]) and b - a >= window:
+            own = own | _spread(np.flatnonzero(np.isin(first[a : b - window + 1], windows[i])), window, b - a)
+        out[i] = own if own.any() else None
+    return out
+
+
+def _spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n places the runs of `length` from `starts` cover."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + length, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31, digest: bool = False) -> DataFrame:
     """All columns with the text's kept words joined by one space; with `digest` (doc_id, n_words, n_removed, kept_sha256).
 
     A word goes if a window of `window` words of its document that covers it also starts in a document with a smaller
-    id; windows are judged on the input. A document of which nothing goes keeps its text as it is. Null texts stay null (digest: no words). Rows whose id is null
-    keep their text and take no part; rows that repeat an id don't remove each other's words. Texts of fewer than
-    `window` words stay as they are.
+    id; windows are judged on the input. A document of which nothing goes keeps its text as it is. Null texts stay
+    null (digest: no words). Rows whose id is null keep their text and take no part; rows that repeat an id don't
+    remove each other's words. Texts of fewer than `window` words stay as they are. Other columns are kept, whatever
+    their names.
     """
-    windows = repeated_windows(docs, id_col, text_col, window, period)
-    gone = windows.select(F.col("doc_id").alias("_gone_id"), F.col("windows").alias("_gone"))
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) if digest else docs
-    key, text_at = ("doc_id", "text") if digest else (id_col, text_col)
-    joined = source.join(gone, source[key].cast("bigint") == gone["_gone_id"], "left").drop("_gone_id")
+    texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    marks = repeated_windows(texts, window, period)
+    if digest:
+        source, key, text_at = texts, "doc_id", "text"
+    else:
+        source, key, text_at = docs, id_col, text_col
     columns = source.columns
+    own, whole, windows = (free_name(x, columns) for x in ("_p_id", "_p_whole", "_p_windows"))
+    marks = marks.toDF(own, whole, windows)
+    joined = source.join(marks, source[key].cast("bigint") == marks[own], "left").drop(own)
 
     def run(batches):
         for batch in slices(batches, text_at):
-            texts = batch.column(text_at).to_pylist()
-            marks = [None if not x.is_valid else x.values.to_numpy() for x in batch.column("_gone")]
-            hit = [i for i, m in enumerate(marks) if m is not None]
-            hashes, offsets = words([(texts[i] or "").encode() for i in hit])
-            own = {i: hashes[offsets[k] : offsets[k + 1]] for k, i in enumerate(hit)}
+            texts = utf8(batch.column(text_at))
+            gone = repeated_words(texts, batch.column(whole), batch.column(windows), window, period)
             if digest:
                 rows = []
-                for i, text in enumerate(texts):
-                    kept, removed = _kept(text or "", own.get(i), marks[i], window)
-                    rows.append((len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
+                for text, g in zip(texts, gone, strict=True):
+                    own = text.split()
+                    kept = own if g is None else [w for w, x in zip(own, g.tolist(), strict=True) if not x]
+                    rows.append((len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 n, r, s = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
-                for i in hit:
-                    texts[i] = b" ".join(_kept(texts[i] or "", own[i], marks[i], window)[0]).decode()
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_at else batch.column(c) for c in columns], columns)
+                new = batch.column(text_at).to_pylist()
+                for i, g in enumerate(gone):
+                    if g is not None:
+                        new[i] = b" ".join([w for w, x in zip(texts[i].split(), g.tolist(), strict=True) if not x]).decode()
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_at else batch.column(c) for c in columns], columns)
 
-    kind = source.schema[key].dataType.simpleString()
-    fields = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" if digest else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    fields = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return joined.mapInArrow(run, fields)
