@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODES, ODD, U64, by_key, group_bounds, materialize, mix, powers, slices, utf8
+from ._common import BYTE_CODES, ODD, U64, by_key, discard, free_name, group_bounds, materialize, mix, slices, utf8
 
 #: Bytes of an anchor.
 ANCHOR = 64
@@ -28,18 +28,21 @@ def _extreme(x: np.ndarray, width: int, pick, rest) -> np.ndarray:
 
 
 def anchor_hashes(buf: np.ndarray) -> np.ndarray:
-    """Polynomial hash of the ANCHOR bytes from each place, by doubling (void near the end)."""
+    """Hash of the ANCHOR bytes from each place, by doubling, folded at each step so that no pattern cancels out (void near the end)."""
     out = BYTE_CODES[buf]
     width = 1
     while width < ANCHOR:
         if width < len(out):
-            out[:-width] += out[width:] * powers(ANCHOR)[width]
+            both = out[:-width] * ODD
+            both += out[width:]
+            both ^= both >> U64(32)
+            out[:-width] = both
         width *= 2
     return out
 
 
 def find_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash, hash of the context) of the anchors.
+    """(text, place, hash, two halves of a digest of the context) of the anchors.
 
     An anchor is a place whose hash is the least of all places within some window of `length` bytes (ties: all of
     them), so equal windows have equal anchors at equal distances. Its context is all that such windows can cover.
@@ -48,10 +51,11 @@ def find_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     ends = np.cumsum(size)
     starts = ends - size
     reach = length - ANCHOR
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    data = b"".join(texts)
+    buf = np.frombuffer(data, np.uint8)
     if not len(buf):
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), np.zeros((0, 2), np.uint64)
     text = np.repeat(np.arange(len(texts)), size)
     left = ends[text] - np.arange(len(buf))  # bytes from here to the text's end
     raw = anchor_hashes(buf)
@@ -63,10 +67,8 @@ def find_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero((most == key) & (left >= ANCHOR))
     own = text[at]
     a, b = np.maximum(starts[own], at - reach), np.minimum(ends[own], at + length)
-    context = mix((at - a).astype(np.uint64) * ODD + (b - at).astype(np.uint64))
-    for k in range(-(-(reach + length) // ANCHOR) + 1):
-        context = mix(context * ODD + raw[np.minimum(a + ANCHOR * k, b - ANCHOR)])
-    return own, at - starts[own], mix(raw[at]), context
+    context = [hashlib.blake2b(data[x:y], digest_size=16, salt=z.to_bytes(4, "little")).digest() for x, y, z in zip(a.tolist(), b.tolist(), (at - a).tolist(), strict=True)]
+    return own, at - starts[own], mix(raw[at]), np.frombuffer(b"".join(context), np.uint64).reshape(-1, 2)
 
 
 def _rows(parts: list[bytes], width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -165,27 +167,27 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
     def find(batches):
         for batch in slices(batches):
             own, place, anchor, context = find_anchors(utf8(batch.column("text")), length)
-            order = np.lexsort((place, context, anchor, own))
+            order = np.lexsort((place, context[:, 1], context[:, 0], anchor, own))
             own, place, anchor, context = own[order], place[order], anchor[order], context[order]
             new = np.ones(len(own) + 1, bool)  # a text that repeats a context has one row for it
-            new[1:-1] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+            new[1:-1] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]).any(axis=1)
             bounds = np.flatnonzero(new)
             at, times = bounds[:-1], np.diff(bounds)
             rest: list = [None] * len(at)
             for i in np.flatnonzero(times > 1).tolist():
                 rest[i] = place[at[i] + 1 : at[i] + times[i]]
             ids = batch.column("doc_id").to_numpy()[own[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(ids), pa.array(place[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(rest, pa.list_(pa.int64()))], ["h", "c", "doc_id", "pos", "times", "rest"])
+            halves = [pa.array(np.ascontiguousarray(context[at, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), *halves, pa.array(ids), pa.array(place[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(rest, pa.list_(pa.int64()))], ["h", "c1", "c2", "doc_id", "pos", "times", "rest"])
 
-    seen = texts.mapInArrow(find, "h bigint, c bigint, doc_id bigint, pos int, times int, rest array<bigint>").repartition("h")
-    whole = "over (partition by h, c order by doc_id, pos"
+    seen = texts.mapInArrow(find, "h bigint, c1 bigint, c2 bigint, doc_id bigint, pos int, times int, rest array<bigint>").repartition("h")
+    whole = "over (partition by h, c1, c2 order by doc_id, pos"
     seen = seen.selectExpr("*", f"sum(times) {whole} rows between unbounded preceding and unbounded following) as same", f"row_number() {whole}) as nth")
-    seen = seen.selectExpr("*", "min(c) over (partition by h) as c0", "max(c) over (partition by h) as c1", "sum(int(nth = 1)) over (partition by h) as kinds")
-    mark = f"int(same >= 2) + 2 * int(c0 <> c1 and nth = 1) + 4 * int(kinds > {group_rows})"
-    marks = materialize(seen.where("same >= 2 or c0 <> c1").selectExpr("doc_id", f"concat(array(bigint(pos) * 8 + {mark}), coalesce(transform(rest, p -> p * 8 + 1), array())) as mark").groupBy("doc_id").agg(F.flatten(F.collect_list("mark")).alias("marks")))
+    seen = seen.selectExpr("*", "sum(int(nth = 1)) over (partition by h) as kinds")
+    mark = f"int(same >= 2) + 2 * int(kinds > 1 and nth = 1) + 4 * int(kinds > {group_rows})"
+    marks = materialize(seen.where("same >= 2 or kinds > 1").selectExpr("doc_id", f"concat(array(bigint(pos) * 8 + {mark}), coalesce(transform(rest, p -> p * 8 + 1), array())) as mark").groupBy("doc_id").agg(F.flatten(F.collect_list("mark")).alias("marks")))
 
     def send(batches):
-        scale = powers(ANCHOR)
         names = ["key", "doc_id", "pos", "wanted", "lo", "hi", "lefts", "rights", "big"]
         for batch in slices(batches):
             key, doc, pos, wanted, lefts, rights, big = [], [], [], [], [], [], []
@@ -197,7 +199,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
                 if not len(at):
                     continue
                 buf = np.frombuffer(data, np.uint8)
-                key.append(mix((BYTE_CODES[buf[at[:, None] + np.arange(ANCHOR)]] * scale).sum(axis=1, dtype=np.uint64)))
+                key.append(mix(anchor_hashes(buf[at[:, None] + np.arange(ANCHOR)].ravel())[::ANCHOR]))
                 doc += [batch.column("doc_id")[i].as_py()] * len(at)
                 pos += at.tolist()
                 wanted += (m & 1 == 0).tolist()
@@ -219,12 +221,13 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
         far, near = "least(hi, length(lefts))", f"least({length} - lo, length(rights))"
         halves = halves.where(f"length(lefts) >= lo and length(rights) >= {length} - hi and {far} + {near} >= {length}")
         halves = halves.withColumn("key", F.expr(f"xxhash64(key, lo, hi, substring(lefts, length(lefts) - lo + 1, lo), substring(rights, 1, {length} - hi))"))
-        halves = halves.withColumn("all", F.expr(f"xxhash64(key, {far}, {near}, substring(lefts, length(lefts) - {far} + 1, {far}), substring(rights, 1, {near}))"))
-        halves = materialize(halves)
-        kinds = materialize(halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "pos")).alias("first")))
-        groups = materialize(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("same").alias("members")).where("members > 1"))
-        kinds = materialize(kinds.join(groups, "key"))
-        halves = materialize(halves.join(kinds.drop("key"), "all"))
+        halves = halves.withColumn("all", F.expr(f"struct({far} as far, {near} as near, sha2(concat(substring(lefts, length(lefts) - {far} + 1, {far}), substring(rights, 1, {near})), 256) as bytes)"))
+        all_halves = materialize(halves)
+        all_kinds = materialize(all_halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "pos")).alias("first")))
+        groups = materialize(all_kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("same").alias("members")).where("members > 1"))
+        kinds = materialize(all_kinds.join(groups, "key"))
+        halves = materialize(all_halves.join(kinds, ["key", "all"]))
+        discard(all_halves, all_kinds, groups, kinds)
         resolved.append(halves.where("same > 1 and wanted").selectExpr("doc_id", f"pos - {far} as start", f"pos + {near} as end"))
         halves = halves.where("kinds > 1 and first = struct(doc_id, pos)").withColumn("wanted", F.expr("wanted and same = 1"))
         ready = ready.unionByName(halves.where(f"kinds <= {group_rows}").select(ready.columns))
@@ -251,16 +254,18 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A byte of a text's UTF-8 goes if a string of `length` bytes that covers it starts anywhere else, in the same
     document too; strings are judged on the input, and every occurrence goes, the first included. Null texts are
     empty. Rows whose id is null keep their bytes and take no part. A repeated row is a copy like any other; ids name
-    one text, so rows of one id with different texts are judged by all of that id's spans.
+    one text, so rows of one id with different texts are judged by all of that id's spans. Other columns stay; where
+    one is named `kept`, the result's is `kept_`.
     """
     marks, spans = repeated_spans(docs, id_col, text_col, length, group_rows)
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) if digest else docs.drop("kept")
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) if digest else docs
     key, text_at = ("doc_id", "text") if digest else (id_col, text_col)
-    keyed = source.withColumn("_id", source[key].cast("bigint"))
-    joined = keyed.join(marks, "_id", "left").join(spans, "_id", "left").drop("_id")
     columns = source.columns
+    kept_at = free_name("kept", columns)
+    same, own, other, mark_at, start_at, end_at = (free_name(x, columns) for x in ("_s_id", "_s_marked", "_s_spanned", "_s_marks", "_s_starts", "_s_ends"))
+    keyed = source.withColumn(same, source[key].cast("bigint"))
+    marks, spans = marks.toDF(own, mark_at), spans.toDF(other, start_at, end_at)
+    joined = keyed.join(marks, keyed[same] == marks[own], "left").join(spans, keyed[same] == spans[other], "left").drop(same, own, other)
     reach = length - ANCHOR
 
     def gone(n: int, row_marks, starts, ends) -> np.ndarray:
@@ -277,7 +282,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for batch in slices(batches, text_at):
             rows = []
-            for data, m, s, e in zip(utf8(batch.column(text_at)), batch.column("marks"), batch.column("starts"), batch.column("ends"), strict=True):
+            for data, m, s, e in zip(utf8(batch.column(text_at)), batch.column(mark_at), batch.column(start_at), batch.column(end_at), strict=True):
                 if not m.is_valid and not s.is_valid:
                     rows.append((len(data), 0, 0, data))
                     continue
@@ -289,8 +294,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sha = [hashlib.sha256(k).hexdigest() for k in kept]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(kept, pa.binary())], [*columns, "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(kept, pa.binary())], [*columns, kept_at])
 
     kind = source.schema[key].dataType.simpleString()
-    fields = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" if digest else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "kept binary"])
+    fields = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" if digest else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{kept_at}` binary"])
     return joined.mapInArrow(run, fields)
