@@ -2,131 +2,185 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import by_key, group_bounds, materialize
 
-def vectors(column: pa.Array, dim: int | None = None, scale: float = 256.0) -> tuple[np.ndarray, np.ndarray]:
-    """floor(scale * x) of the usable vectors as an integer matrix, and their rows.
+#: Integer components up to this size (and so many of them) multiply exactly in 64 bits; other vectors are Python integers.
+WIDE, LONG = 2.0**24, 1 << 13
+CELL_BITS = 8
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
-    Vectors that are null, of another length than `dim`, or hold a null, non-finite or (scaled) over 2^27 large
-    component are left out.
-    """
-    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
-    if dim is None:
-        dim = int(size.max(initial=0))
-    rows = np.flatnonzero(size == dim)
-    if not dim or not len(rows):
-        return np.zeros((0, dim or 0), np.int64), np.zeros(0, np.int64)
-    flat = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64())
-    exact = np.floor(pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim) * scale)
-    fine = (np.abs(exact) <= 2.0**27).all(axis=1)  # false for nan too
-    return exact[fine].astype(np.int64), rows[fine]
+
+def vectors(column: pa.Array, scale: float = 256.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, floor(scale * x)) by length: an int64 matrix, and one of Python integers for vectors beyond WIDE or LONG."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        x = pc.list_flatten(column.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+        with np.errstate(over="ignore"):
+            exact = np.floor(x * scale)
+        small = (np.abs(exact) <= WIDE).all(axis=1) & (dim <= LONG)
+        if small.any():
+            yield rows[small], exact[small].astype(np.int64)
+        if not small.all():
+            a, b = float(scale).as_integer_ratio()
+            whole = [[n * a // (d * b) for n, d in map(float.as_integer_ratio, row)] for row in x[~small].tolist()]
+            yield rows[~small], np.array(whole, object).reshape(-1, dim)
 
 
 class ApproximationFile:
-    """Cells of 2^shift values per component. For a query q the cells c of a vector bound its score:
+    """Cells of vectors, at most 8 bits a component: cell = (x - low) >> shift, where low is the component's least value."""
 
-    2^shift * q.c + (2^shift - 1) * (sum of q's negative parts) <= q.x <= the same with the positive parts.
-    """
+    def __init__(self, low: np.ndarray, shift: int, cells: np.ndarray) -> None:
+        self.low, self.shift, self.cells = low, shift, cells
 
-    def __init__(self, exact: np.ndarray, shift: int = 2) -> None:
-        self.exact, self.shift = exact, shift
-        self.cells = exact >> shift
+    @classmethod
+    def of(cls, exact: np.ndarray) -> ApproximationFile:
+        low = exact.min(axis=0)
+        shift = max(0, int((exact - low).max(initial=0)).bit_length() - CELL_BITS)
+        return cls(low, shift, ((exact - low) >> shift).astype(np.uint8))
 
-    def upper(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds (queries, vectors); the lower ones are smaller by slack()."""
-        step = 1 << self.shift
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.cells).max(initial=0)) * queries.shape[1]
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # exact in each
-        inner = (queries.astype(kind) @ self.cells.T.astype(kind)).astype(np.int64 if most >= 2**24 else np.int32)
-        return inner * step + ((step - 1) * np.maximum(queries, 0).sum(axis=1, dtype=np.int64)[:, None]).astype(inner.dtype if most < 2**20 else np.int64)
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the products (queries, vectors); the shorter of both counts as filled with zeros.
 
-    def slack(self, queries: np.ndarray) -> np.ndarray:
-        return ((1 << self.shift) - 1) * np.abs(queries).sum(axis=1)
+        q.low + 2^shift q.cell + r * (q's negative parts) <= q.x <= the same with the positive parts, r = 2^shift - 1.
+        """
+        dim = min(queries.shape[1], self.cells.shape[1])
+        q, cells, low = queries[:, :dim], self.cells[:, :dim], self.low[:dim]
+        rest = (1 << self.shift) - 1
+        if q.dtype == object:
+            inner = q.dot(cells.T.astype(object)) if dim else np.zeros((len(q), len(cells)), object)
+            base = inner * (1 << self.shift) + (q * low.astype(object)).sum(axis=1)[:, None]
+            return _clipped(base + rest * np.minimum(q, 0).sum(axis=1)[:, None]), _clipped(base + rest * np.maximum(q, 0).sum(axis=1)[:, None])
+        most = float(np.abs(q).max(initial=0)) * 255 * dim
+        kind = np.float32 if most < 2**24 else np.float64  # exact in either
+        base = ((q.astype(kind) @ cells.T.astype(kind)).astype(np.int64) << self.shift) + (q @ low)[:, None]
+        return base + rest * np.minimum(q, 0).sum(axis=1)[:, None], base + rest * np.maximum(q, 0).sum(axis=1)[:, None]
 
 
-def nearest(file: ApproximationFile, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Merges the file's vectors into the `best` (scores, ids), each (queries, k); an absent place has id -1.
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, int(LEAST) + 1, int(MOST)).astype(np.int64)
 
-    Bounds of all cells first; then exact vectors in the order of their bounds: the k best bounds of a query fix a
-    score that the kth result reaches, and only vectors whose upper bound reaches it are read.
-    """
-    score, found = best
-    low = np.iinfo(np.int64).min
-    if not len(ids) or not len(queries):
-        return best
-    upper = file.upper(queries).astype(np.int64)
+
+def survivors(lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that may be among a query's k best: the upper bound reaches the kth best lower one."""
     own = query_ids[:, None] == ids[None, :]
-    upper[own] = low
-    first = np.argpartition(-upper, min(k, len(ids)) - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(queries), 1))
-    exact = np.einsum("qd,qkd->qk", queries, file.exact[first])
-    exact[np.take_along_axis(own, first, axis=1)] = low
-    sure = np.concatenate([np.where(found >= 0, score, low), exact], axis=1)
-    kth = np.sort(sure, axis=1)[:, -k]
-    at_query, at_vector = np.nonzero((upper >= kth[:, None]) & ~own)
-    exact = np.einsum("nd,nd->n", queries[at_query], file.exact[at_vector])
-    held = np.nonzero(found >= 0)
-    at_query = np.concatenate([at_query, held[0]])
-    all_scores = np.concatenate([exact, score[held]])
-    all_ids = np.concatenate([ids[at_vector], found[held]])
-    order = np.lexsort((all_ids, -all_scores, at_query))
-    at_query, all_scores, all_ids = at_query[order], all_scores[order], all_ids[order]
-    rank = np.arange(len(order)) - np.searchsorted(at_query, at_query)
-    kept = rank < k
-    score, found = np.full_like(score, low), np.full_like(found, -1)
-    score[at_query[kept], rank[kept]] = all_scores[kept]
-    found[at_query[kept], rank[kept]] = all_ids[kept]
-    return score, found
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int = 4096, chunk: int = 4096) -> DataFrame:
+    lower = np.where(own, LEAST, lower)
+    kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(query_ids), LEAST)
+    return np.nonzero((upper >= kth[:, None]) & ~own)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product of the components that both have; one beyond 64 bits is an error."""
+    dim = min(len(a), len(b))
+    out = int(a[:dim].dot(b[:dim])) if dim else 0
+    if not LEAST <= out <= MOST:
+        raise OverflowError("a score doesn't fit in 64 bits")
+    return out
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return json.dumps(x.tolist()).encode() if x.dtype == object else x.tobytes()
+
+
+def _unpack(data: bytes, n: int, dim: int, kind: type) -> np.ndarray:
+    return np.array(json.loads(data), object).reshape(n, dim) if kind is object else np.frombuffer(data, kind).reshape(n, dim)
+
+
+FIELDS = "bigint, dim int, wide boolean, ids binary, low binary, shift int, data binary"
+
+
+def _blocks(df: DataFrame, name: str, count: int, scale: float, cells: bool) -> DataFrame:
+    """(name, dim, wide, ids, low, shift, data): the vectors by the hash of their id, a row for each block and length of vectors."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        numbers, ids = table.column(name).to_numpy(), table.column("id").to_numpy()
+        bounds = group_bounds(numbers)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for own, x in vectors(table.column("v").slice(a, b - a).combine_chunks(), scale):
+                wide, low, shift, data = x.dtype == object, b"", 0, _pack(x)
+                if cells and not wide:
+                    file = ApproximationFile.of(x)
+                    low, shift, data = file.low.tobytes(), file.shift, file.cells.tobytes()
+                values = [[int(numbers[a])], [x.shape[1]], [wide], [ids[a:b][own].tobytes()], [low], [shift], [data]]
+                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], [name, "dim", "wide", "ids", "low", "shift", "data"])
+
+    return by_key(df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count))), name, work, f"{name} {FIELDS}", rows=1, order=("id",))
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int = 2048, chunk: int = 8192, tile: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k other rows with the highest integer inner product.
 
-    Components x count as floor(scale * x). Ties go to the smaller id. All rows are read for each block of about
-    `block` queries, which is all that is sent to the tasks at a time; each task returns k rows a query. Null ids and
-    unusable vectors (see `vectors`) take no part; rows that repeat an id are one another's own rows, so they never
-    find each other, and of queries that repeat an id one counts. Without queries or candidates the result is empty.
+    1. The approximation file: blocks of about `chunk` vectors' cells, written once; queries in blocks of about `block`.
+    2. Each block of cells meets each block of queries by a join on both numbers. Bounds leave few vectors of a block,
+       and the kth best lower bound over all blocks fewer.
+    3. Exact vectors are read for those alone, in the order of their bounds: first the 2k of a query with the highest
+       bound, which fix a score that the kth reaches, then what may still exceed it.
+
+    Components x count as floor(scale * x), exactly; where lengths differ, the shorter vector counts as filled with
+    zeros. Ties go to the smaller id. Null ids and vectors that are null or hold a null or non-finite component take
+    no part. Of rows that repeat an id the least vector counts, and an id never finds itself. A score beyond 64 bits is
+    an error. Without queries or candidates the result is empty. Other columns are not read.
     """
-    spark = rows.sparkSession
-    source = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    parts = []
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        if not own.num_rows:
-            continue
-        column = own.column("v").combine_chunks()
-        size = pc.mode(pc.list_value_length(column).drop_null())
-        exact, at = vectors(column, size[0]["mode"].as_py() if len(size) else 0, scale)
-        query_ids, first = np.unique(own.column("id").to_numpy()[at], return_index=True)
-        sent = spark.sparkContext.broadcast((exact[first], query_ids))
-
-        def run(batches, sent=sent):
-            q, q_ids = sent.value
-            best = np.full((len(q), k), np.iinfo(np.int64).min), np.full((len(q), k), -1, np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, chunk):
-                    part = batch.slice(at, chunk)
-                    x, usable = vectors(part.column("v"), q.shape[1], scale)
-                    ids = part.column("id").to_numpy()[usable]
-                    for a in range(0, len(q), 512):
-                        to = slice(a, a + 512)
-                        best[0][to], best[1][to] = nearest(ApproximationFile(x), ids, q[to], q_ids[to], k, (best[0][to], best[1][to]))
-            at_query, place = np.nonzero(best[1] >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at_query]), pa.array(best[1][at_query, place]), pa.array(best[0][at_query, place])], ["query_id", "vec_id", "score"])
-
-        if len(query_ids):
-            parts.append(source.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    found = found.dropDuplicates(["query_id", "vec_id", "score"])
+
+    def usable(df: DataFrame) -> DataFrame:
+        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        df = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return materialize(df.where(F.col("id").isNotNull() & fine).groupBy("id").agg(F.min("v").alias("v")))
+
+    source, asked = usable(rows), usable(queries)
+    n_blocks, n_asked = max(1, -(-source.count() // chunk)), max(1, -(-asked.count() // block))
+    cells = materialize(_blocks(source, "b", n_blocks, scale, True)).withColumn("qb", F.explode(F.expr(f"sequence(0L, {n_asked - 1}L)")))
+    sent = materialize(_blocks(asked, "qb", n_asked, scale, False)).withColumn("b", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")))
+    sent = sent.select("b", "qb", *(F.col(c).alias(f"q_{c}") for c in ("dim", "wide", "ids", "data")))
+
+    def scan(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                asked = _unpack(row["q_data"], len(query_ids), row["q_dim"], object if row["q_wide"] else np.int64)
+                x = _unpack(row["data"], len(ids), row["dim"], object if row["wide"] else np.uint8)
+                file = None if row["wide"] else ApproximationFile(np.frombuffer(row["low"], np.int64), row["shift"], x)
+                for at in range(0, len(query_ids), tile):
+                    q, q_ids = asked[at : at + tile], query_ids[at : at + tile]
+                    if file:
+                        lower, upper = file.bounds(q)
+                    else:  # beyond cells: the products themselves
+                        dim = min(q.shape[1], x.shape[1])
+                        lower = upper = _clipped(q[:, :dim].astype(object).dot(x[:, :dim].T)) if dim else np.zeros((len(q), len(x)), np.int64)
+                    a, v = survivors(lower, upper, ids, q_ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[v]), pa.array(lower[a, v]), pa.array(upper[a, v])], ["query_id", "vec_id", "lower", "upper"])
+
+    met = materialize(cells.join(sent, ["b", "qb"]).mapInArrow(scan, "query_id bigint, vec_id bigint, lower bigint, upper bigint"))
+
+    def kth_best(df: DataFrame, column: str) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.desc(column), "vec_id")
+        return df.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col(column).alias("least"))
+
+    def exact(batches):
+        for batch in batches:
+            v, q = ({i: y for own, x in vectors(batch.column(c), scale) for i, y in zip(own.tolist(), x, strict=True)} for c in ("v", "q"))
+            score = [product(q[i], v[i]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+
+    def read(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("query_id", "vec_id").join(source.selectExpr("id as vec_id", "v"), "vec_id").join(asked.selectExpr("id as query_id", "v as q"), "query_id")
+        return pairs.mapInArrow(exact, "query_id bigint, vec_id bigint, score bigint")
+
+    left = met.join(kth_best(met, "lower"), "query_id", "left").where("least is null or upper >= least").drop("least")
+    left = materialize(left.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))))
+    first = materialize(read(left.where(F.col("nth") <= 2 * k)))
+    rest = left.where(F.col("nth") > 2 * k).join(kth_best(first, "score"), "query_id").where("upper >= least")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.unionAll(read(rest)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
