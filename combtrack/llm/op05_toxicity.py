@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_name
+
 # Letters of other alphabets that look like Latin ones, and digits written for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ӏ": "l", "ո": "n", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -55,7 +59,7 @@ def _automaton(lexicon: ToxicLexicon):
 
 
 def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the patterns outside exception phrases; where several end or begin together the longest counts."""
+    """(start, end, weight) of the patterns outside exception phrases; where several begin together the longest counts."""
     if not len(automaton):
         return []
     found, spared = {}, []
@@ -66,21 +70,31 @@ def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
                 found[start] = (start, end + 1, weight)
         else:
             spared.append((end + 1 - size, end + 1))
-    return [m for m in found.values() if not any(a <= m[0] and m[1] <= b for a, b in spared)]
+    if not spared:
+        return list(found.values())
+    spared.sort()
+    reach = list(accumulate((b for _, b in spared), max))  # furthest end of the phrases that begin so early
+    begins = [a for a, _ in spared]
+    out = []
+    for m in found.values():
+        i = bisect_right(begins, m[0]) - 1
+        if i < 0 or reach[i] < m[1]:
+            out.append(m)
+    return out
 
 
 def density(automaton, text: str) -> float:
-    """Weight of the matches against the length: a long text needs more of them."""
+    """Weight of the matches, normalised by length: divided by the logarithm of the words, so that a long text needs more of them."""
     folded = fold(text)
     hits = matches(automaton, folded)
-    return sum(m[2] for m in hits) / math.log2(4 + folded.count(" ") / 100) if hits else 0.0
+    return math.fsum(m[2] for m in hits) / math.log2(4 + folded.count(" ") / 100) if hits else 0.0
 
 
 def _candidates(folded: str, shortest: int = 4, longest: int = 8) -> set[str]:
-    """Whole words ` word ` and their beginnings ` wor`."""
+    """Whole words ` word ` and their beginnings ` wor` of `shortest` to `longest` letters."""
     out = set()
     for word in set(folded.split()):
-        if len(word) >= 3 and len(word) <= 40:
+        if len(word) >= 3:
             out.add(f" {word} ")
             out.update(" " + word[:n] for n in range(shortest, min(longest, len(word)) + 1))
     return out
@@ -90,12 +104,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
     """Learns patterns, weights, exception phrases and the scale from a bounded sample of labelled documents.
 
     The sample holds, of either label, the `sample_docs` learnable documents with the lowest hash of their id; null
-    ids, texts and labels are left out, and copies count once. Patterns are words and beginnings of words with much
-    better odds in toxic documents, of which the greedy cover keeps those that explain documents no better pattern
-    explains. A phrase round a pattern that mostly clean documents use becomes an exception; every context in the sample
-    counts. The lexicon has a bounded size: the cover chooses among the `max_patterns` candidates that most toxic
-    documents hold, and of the exceptions the `max_patterns` that most clean documents hold stay. No label of another
-    row is read.
+    ids, texts and labels are left out, and copies count once. Patterns are words of three letters or more and
+    beginnings of four to eight letters with much better odds in toxic documents, of which the greedy cover keeps those
+    that explain documents no better pattern explains. A phrase round a pattern that mostly clean documents use becomes
+    an exception; every context in the sample counts. What the sample teaches has a bounded size too: the cover chooses
+    among the `max_patterns` candidates that most toxic documents hold (ties: the first in the alphabet), and of the
+    exceptions the `max_patterns` that most clean documents hold stay. No label of another row is read. Without
+    learnable toxic documents the lexicon is empty and every score 0; without clean ones every toxic word counts.
     """
     labelled = labels.where(learnable & labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).dropDuplicates(["id"])
     of_label = [labelled.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for x in (0, 1)]
@@ -188,17 +203,19 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
 def score_toxicity(docs: DataFrame, lexicon: ToxicLexicon, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, toxicity), or all columns and `toxicity` with `keep`: 0 without a match, towards 1 the more matches for the length.
 
-    Null and empty texts score 0; texts are read whole; equal texts score alike; null ids are kept.
+    Null and empty texts score 0; texts are read whole; equal texts score alike; null ids and repeated rows are kept.
+    Other columns stay; where one is named `toxicity`, the result's is `toxicity_`.
     """
-    source = docs.drop("toxicity") if keep else docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    source = docs if keep else docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     text_at = text_col if keep else "text"
     columns = source.columns if keep else ["doc_id"]
+    name = free_name("toxicity", columns)
 
     def run(batches):
         automaton = _automaton(lexicon)
         for batch in batches:
             score = [1 - math.exp(-lexicon.rate * density(automaton, t.as_py() or "")) for t in batch.column(text_at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score, pa.float64())], [*columns, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score, pa.float64())], [*columns, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in columns)
-    return source.mapInArrow(run, f"{fields}, toxicity double")
+    return source.mapInArrow(run, f"{fields}, `{name}` double")
