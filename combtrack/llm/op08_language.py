@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import free_name, slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Symbols of the automata: 26 letters, 32 trailing bytes, 4 kinds of leading bytes, one separator.
@@ -86,10 +86,12 @@ class SuffixAutomaton:
 
 
 def phrases(table: np.ndarray, starts: np.ndarray, seq: np.ndarray, offsets: np.ndarray, segment: int = 1024) -> np.ndarray:
-    """Phrases that the greedy cross-parse of each text needs, (texts, languages).
+    """Phrases that the greedy cross-parse of each whole text needs, (texts, languages).
 
     table: the languages' tables one after another, starts: where each begins. All segments of all texts advance in
-    step, one symbol at a time. A phrase ends at the end of a segment too.
+    step, one symbol at a time, each as if a phrase began with it. Then the parse of each segment goes on into the next
+    one until a phrase begins where one of that segment's own does, from where on both are the same; if none does, the
+    next segment ends in another state, and what follows is done again. So the result doesn't depend on `segment`.
     """
     size = np.diff(offsets)
     parts = -(-size // segment)
@@ -98,16 +100,45 @@ def phrases(table: np.ndarray, starts: np.ndarray, seq: np.ndarray, offsets: np.
     begin = offsets[:-1][owner] + nth * segment
     length = np.minimum(segment, offsets[1:][owner] - begin)
     order = np.argsort(-length, kind="stable")
-    begin, length, owner = begin[order], length[order], owner[order]
-    count = np.ones((len(starts), len(owner)), np.int32)
-    state = np.repeat(np.asarray(starts, np.int32)[:, None], len(owner), axis=1)
     base = np.asarray(starts, np.int32)[:, None]
-    active = np.searchsorted(-length, -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
+    state = np.repeat(base, len(owner), axis=1)
+    fresh = np.zeros((len(starts), len(seq)), bool)  # where a phrase begins in the parse of a segment
+    fresh[:, begin] = True
+    active = np.searchsorted(-length[order], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
+    at = begin[order]
     for t, k in enumerate(active):
-        value = table[state[:, :k] + seq[begin[:k] + t]]
+        value = table[state[:, :k] + seq[at[:k] + t]]
         if t:
-            count[:, :k] += value & 1
+            fresh[:, at[:k] + t] = value & 1
         state[:, :k] = (value >> 1) + base
+    end = np.empty_like(state)
+    end[:, order] = state
+    count = np.add.reduceat(fresh, begin, axis=1, dtype=np.int64) if len(begin) else np.zeros((len(starts), 0), np.int64)
+    own, last = count.copy(), end.copy()  # of segments parsed from their first symbol
+    lang, part = np.nonzero(np.repeat((nth > 0)[None, :], len(starts), axis=0))
+    while len(part):  # segments whose predecessor's end has changed
+        now, t = end[lang, part - 1], 0
+        total, missed = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)  # phrases begun by this parse, and by the segment's own
+        left = np.arange(len(part))
+        met = np.zeros(len(part), bool)
+        while len(left):
+            left = left[t < length[part[left]]]
+            place = begin[part[left]] + t
+            value = table[now[left] + seq[place]]
+            new, old = (value & 1).astype(bool), fresh[lang[left], place]
+            now[left] = (value >> 1) + base[lang[left], 0]
+            same = new & old
+            met[left[same]] = True
+            total[left] += new & ~same
+            missed[left] += old & ~same
+            left, t = left[~same], t + 1
+        ends = np.where(met, last[lang, part], now)
+        count[lang, part] = own[lang, part] + total - missed
+        changed = ends != end[lang, part]
+        end[lang, part] = ends
+        more = changed & (part + 1 < len(owner))
+        more[more] &= nth[part[more] + 1] > 0
+        lang, part = lang[more], part[more] + 1
     out = np.zeros((len(size), len(starts)), np.int64)
     np.add.at(out, owner, count.T)
     return out
@@ -130,42 +161,44 @@ def _tables(model: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray,
     return _TABLES[key]
 
 
-def learn_languages(docs: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, sample_chars: int = 20_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
-    """(language, text) pairs: the bounded sample from which the automata are built.
+def learn_languages(docs: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 16, long_chars: int = 5_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+    """(language, text) pairs: the whole texts from which the automata are built.
 
-    For each non-null language the `sample_docs` learnable documents with the lowest hash of their id give up to
-    `sample_chars` characters in all. Null ids and texts are left out. More than `max_languages` labels are an error.
+    For each non-null language these are `sample_docs` learnable documents, those with the lowest hash of their id
+    among documents of up to `long_chars` characters; a language that has fewer gives its shortest longer ones too. Copies
+    count once. Null ids and texts and languages of which the sample has no letter are left out. Labels are few: more
+    than `max_languages` are an error.
     """
-    rows = docs.where(learnable & docs[lang_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "rank").limit(sample_docs * max_languages + 1).collect()
+    rows = docs.where(learnable & docs[lang_col].isNotNull() & docs[id_col].isNotNull() & docs[text_col].isNotNull())
+    rows = rows.select(docs[id_col].cast("string").alias("id"), docs[lang_col].alias("lang"), F.xxhash64(docs[text_col]).alias("h"), F.greatest(F.length(docs[text_col]), F.lit(long_chars)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("n", F.xxhash64("id"), "id", "h"))
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample_docs).limit(sample_docs * max_languages + 1).collect()
     if len(chosen) > sample_docs * max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    rank_of = {r["id"]: r["rank"] for r in chosen}
-    texts = docs.where(docs[id_col].isin(list(rank_of)) & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col], docs[lang_col], F.substring(docs[text_col], 1, sample_chars)).collect() if rank_of else []
+    wanted = {(r["id"], r["lang"], r["h"]): r["rank"] for r in chosen}
+    key = docs[id_col].cast("string")
+    texts = docs.where(key.isin([r["id"] for r in chosen]) & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(key, docs[lang_col], F.xxhash64(docs[text_col]), docs[text_col]).distinct().collect() if chosen else []
     by_lang: dict[str, list] = defaultdict(list)
-    for i, lang, text in texts:
-        by_lang[lang].append((rank_of[i], i, text))
+    for i, lang, h, text in texts:
+        if (i, lang, h) in wanted:
+            by_lang[lang].append((wanted[i, lang, h], text))
     out = []
     for lang, found in sorted(by_lang.items()):
-        kept, seen = "", set()
-        for _, _, text in sorted(found):
-            if text not in seen:  # a copy adds nothing
-                seen.add(text)
-                kept += text[: max(0, sample_chars - len(kept))] + "\n"
+        kept = "\n".join(dict.fromkeys(text for _, text in sorted(found)))  # a copy adds nothing
         if _LETTER.search(kept):
             out.append((lang, kept))
     return tuple(out)
 
 
 def identify_language(docs: DataFrame, model: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, segment: int = 1024) -> DataFrame:
-    """(doc_id, lang_pred, score), or all columns and these two with `keep`.
+    """(doc_id, lang_pred, score, bits), or all columns and these three with `keep`.
 
     Every whole text is parsed greedily into the longest phrases that occur in a language's sample; the language with
-    the fewest phrases, each weighted by the bits of a pointer into the sample, wins (ties: the first by name).
-    Phrases don't cross segments of `segment` symbols. Null texts, texts without a letter and an empty model give
-    `und` with score 0; otherwise the score is the runner-up's share of the two lowest costs, 0.5 to 1. Repeated rows
-    get equal results; null ids are kept.
+    the fewest phrases, each weighted by the bits of a pointer into the sample, wins (ties: the first by name); `bits`
+    are its bits a symbol, the cross-parsing entropy. Null texts, texts without a letter and an empty model give `und`
+    with score 0 and null bits; otherwise the score is the runner-up's share of the two lowest costs, 0.5 to 1.
+    Repeated rows get equal results; null ids are kept. Other columns stay; where one has the name of a result, that
+    gets an underscore more. `segment` deals the work out and changes nothing.
     """
     names = [lang for lang, _ in model]
 
@@ -173,7 +206,7 @@ def identify_language(docs: DataFrame, model: tuple[tuple[str, str], ...], id_co
         table, starts, logs = _tables(model) if model else (None, np.zeros(0), np.zeros(0))
         for batch in slices(batches, text_col, 1 << 21):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, bits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             if model:
                 seq, offsets = fold(texts)
                 cost = phrases(table, starts, seq, offsets, segment) * logs
@@ -184,14 +217,16 @@ def identify_language(docs: DataFrame, model: tuple[tuple[str, str], ...], id_co
                         low = cost[i, order[i, 0]]
                         high = cost[i, order[i, 1]] if len(names) > 1 else low
                         score[i] = high / max(low + high, 1e-9)
+                        bits[i] = low / (offsets[i + 1] - offsets[i])
             held = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(lang, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(lang, pa.string()), pa.array(score), pa.array(bits, pa.float64())], [*columns, *new])
 
     if keep:
-        source = docs.drop("lang_pred", "score")
+        source = docs
     else:
         source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
         id_col, text_col = "doc_id", "text"
     columns = source.columns if keep else ["doc_id"]
+    new = [free_name(x, columns) for x in ("lang_pred", "score", "bits")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in columns)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{fields}, `{new[0]}` string, `{new[1]}` double, `{new[2]}` double")
