@@ -55,7 +55,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.model, self.visible = self.tokenizer.model, visible_bytes()
         self.pieces = _Pieces(self._encode, held)
 
@@ -83,6 +82,7 @@ class RankEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, for a byte-level tokenizer of the same library.
 
     In such a file a token's id is its rank, so tiktoken merges alike from the file's vocabulary, several times faster.
+    Strings of special tokens in a text become those tokens, as in the library's plain call.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -91,12 +91,20 @@ class RankEncoder:
         byte_of = {c: b for b, c in enumerate(visible_bytes())}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # the library's plain call gives the string of a special token in a text that token's id
+        self.special = special
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, text: str) -> bytes:
-        return np.array(encode_text(self.coder, text, 1 << 16), "<u4").tobytes()
+        if self.parts is None or not self.parts.search(text):
+            return np.array(encode_text(self.coder, text, 1 << 16), "<u4").tobytes()
+        out: list[int] = []
+        for part in self.parts.split(text):
+            out += [self.special[part]] if part in self.special else encode_text(self.coder, part, 1 << 16)
+        return np.array(out, "<u4").tobytes()
 
 
 def text_encoder(path: str, pattern: str | None = None) -> PieceEncoder | RankEncoder:

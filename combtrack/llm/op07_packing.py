@@ -82,17 +82,27 @@ def pack(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     return [windows[i] for i in order[:keep]] + ([loose] if loose else [])
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Little-endian 32-bit ids in 16 bits each where all fit."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if x.max(initial=0) < 1 << 16 else ids
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+
+
 def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int, pattern: str | None = None, size: int = 1024, shard_docs: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece, ids cut into sequences of `size`.
 
     A document's ids (those of its whole text and `end_id`) are first cut into full windows; the rests are dealt into
-    shards of about `shard_docs` documents by a hash of doc_id, and each shard is packed best fit decreasing. Each
-    shard leaves at most one sequence that isn't full. Null texts are empty and have the end id alone; null ids and
-    repeated rows are packed like any other. Ids must fit in 16 bits.
+    shards of about `shard_docs` documents by a hash of doc_id and text, and each shard is packed best fit decreasing.
+    Each shard leaves at most one sequence that isn't full. Null texts are empty and have the end id alone; null ids
+    and repeated rows are packed like any other. Ids may take 32 bits. Other columns are not read.
     """
     shards = max(1, -(-docs.count() // shard_docs))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    source = source.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    source = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +119,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int, pattern: str | Non
                     start.append(at)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part) if whole else None)
-                    rest.append(None if whole else np.frombuffer(part, np.uint32).astype(np.uint16).tobytes())
+                    rest.append(None if whole else _narrow(part))
                     total.append(n)
             at = pa.array(source_row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("shard").take(at), batch.column("doc_id").take(at), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(rest, pa.binary())], ["shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rest"])
@@ -128,7 +138,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int, pattern: str | Non
                 at = 0
                 for item, begin, n in window:
                     i = cut[item]
-                    ids = np.frombuffer(rest[i], np.uint16)[begin : begin + n].astype("<u4")
+                    ids = _wide(rest[i], length[i])[begin : begin + n]
                     rows.append((i, start[i] + begin, n, zlib.crc32(ids.tobytes()), w, at))
                     at += n
             row, begin, n, sums, window, at = (np.array(x, np.int64) for x in zip(*rows, strict=True))
