@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 # Fixed values of the format: tags, compressions, sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+FILL_ORDER, PLANES = 266, 284
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
@@ -40,9 +41,9 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def unpackbits(data: bytes, size: int) -> bytes:
+    out, at, held = [], 0, 0
+    while at < len(data) and held < size:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
@@ -52,6 +53,8 @@ def unpackbits(data: bytes) -> bytes:
             at += 2
         else:
             at += 1
+            continue
+        held += len(out[-1])
     return b"".join(out)
 
 
@@ -89,8 +92,9 @@ def lzw(data: bytes) -> bytes:
     return bytes(out) + (bits << pad).to_bytes((count + pad) // 8, "big")
 
 
-def unlzw(data: bytes) -> bytes:
-    out, bits, count, width = [], 0, 0, 9
+def unlzw(data: bytes, size: int) -> bytes:
+    """Up to about `size` bytes; a code that the table doesn't have yet is an error."""
+    out, bits, count, width, held = [], 0, 0, 9, 0
     fresh = [bytes([i]) for i in range(256)] + [b"", b""]
     known, before = list(fresh), b""
     for byte in data:
@@ -102,22 +106,33 @@ def unlzw(data: bytes) -> bytes:
         if code == 256:
             known, before, width = list(fresh), b"", 9
             continue
-        if code == 257:
+        if code == 257 or held >= size:
             break
+        if code > len(known) or code == len(known) and not before:
+            raise ValueError("an LZW code out of turn")
         if not before:
             entry = known[code]
         else:
             entry = known[code] if code < len(known) else before + before[:1]
-            known.append(before + entry[:1])
+            if len(known) < 4096:
+                known.append(before + entry[:1])
         out.append(entry)
+        held += len(entry)
         before = entry
         if len(known) + 1 >= 1 << width and width < 12:
             width += 1
     return b"".join(out)
 
 
+def inflate(data: bytes, size: int) -> bytes:
+    """No more than `size` bytes of a deflate stream."""
+    return zlib.decompressobj().decompress(data, max(1, size))
+
+
 PACK = {NONE: bytes, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits}
-UNPACK = {NONE: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
+UNPACK = {NONE: lambda data, size: data, LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpackbits}
+#: Bytes that a page may declare: more is an error, not an allocation.
+LARGEST = 1 << 28
 
 
 def predict(block: np.ndarray) -> np.ndarray:
@@ -181,12 +196,16 @@ def write_tiff(samples: np.ndarray, layout: Layout) -> bytes:
 
 
 def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
-    """The image directories of a file, each as tag -> values. A file that is no TIFF is a ValueError."""
+    """The image directories of a file, each as tag -> values. A file that is no TIFF is a ValueError, one that ends early a struct.error."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if not order or struct.unpack(order + "H", data[2:4])[0] != 42:
+    if not order or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF")
-    (at,), seen = struct.unpack(order + "I", data[4:8]), set()
-    while at and at not in seen:
+    (at,), seen = struct.unpack_from(order + "I", data, 4), set()
+    if not at:
+        raise ValueError("no image directory")
+    while at:
+        if at in seen:
+            raise ValueError("image directories in a circle")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
         tags = {}
@@ -197,33 +216,72 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
                 place = at + 10 + 12 * i
                 if size * count > 4:
                     (place,) = struct.unpack_from(order + "I", data, place)
+                if place + size * count > len(data):
+                    raise ValueError(f"the values of tag {tag} lie outside the file")
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place))
         yield tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
 def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """(height, width * samples) bytes of one page."""
-    one = lambda tag, other=None: tags.get(tag, [other])[0]
-    if set(tags.get(BITS, [8])) != {8}:
+    """(height, width * samples) bytes of one page; what is missing, contradictory or of another kind than 8-bit chunky samples is a ValueError."""
+
+    def one(tag: int, other: int | None = None, least: int = 1) -> int:
+        values = tags.get(tag) or ([] if other is None else [other])
+        if not values or values[0] < least:
+            raise ValueError(f"tag {tag} is missing or too small")
+        return values[0]
+
+    if set(tags.get(BITS, [1])) != {8}:
         raise ValueError("only 8-bit samples")
-    planes = one(SAMPLES, 1)
-    height, width = one(HEIGHT), one(WIDTH) * planes
-    unpack = UNPACK[one(COMPRESSION, NONE)]
+    if one(PLANES, 1) != 1 or one(FILL_ORDER, 1) != 1:
+        raise ValueError("only chunky samples with the high bit first")
+    predictor, packing, samples = one(PREDICTOR, 1), one(COMPRESSION, NONE), one(SAMPLES, 1)
+    if predictor not in (1, 2) or packing not in UNPACK:
+        raise ValueError(f"predictor {predictor}, compression {packing}")
+    height, width = one(HEIGHT), one(WIDTH) * samples
     tiled = TILE_AT in tags
-    rows, across = (one(TILE_HEIGHT), one(TILE_WIDTH) * planes) if tiled else (min(one(STRIP_ROWS, height), height), width)
-    columns = -(-width // across)
-    out = np.zeros((-(-height // rows) * rows, columns * across), np.uint8)
-    for i, (at, size) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+    rows, across = (one(TILE_HEIGHT), one(TILE_WIDTH) * samples) if tiled else (min(one(STRIP_ROWS, height), height), width)
+    down, columns = -(-height // rows), -(-width // across)
+    if down * rows * columns * across > LARGEST:
+        raise ValueError("larger than any page here")
+    places, sizes = (tags.get(x, []) for x in ((TILE_AT, TILE_BYTES) if tiled else (STRIP_AT, STRIP_BYTES)))
+    if len(places) != down * columns or len(sizes) != len(places):
+        raise ValueError("another number of strips or tiles than the page needs")
+    out = np.zeros((down * rows, columns * across), np.uint8)
+    for i, (at, size) in enumerate(zip(places, sizes, strict=True)):
         y, x = i // columns * rows, i % columns * across
-        block = np.frombuffer(unpack(data[at : at + size]), np.uint8)
-        block = block[: rows * across].reshape(-1, across)
-        if one(PREDICTOR, 1) == 2:
-            block = unpredict(block.reshape(len(block), -1, planes)).reshape(len(block), across)
-        out[y : y + len(block), x : x + across] = block
+        if at + size > len(data):
+            raise ValueError("a strip or tile lies outside the file")
+        n = rows if tiled else min(rows, height - y)
+        block = np.frombuffer(UNPACK[packing](data[at : at + size], n * across), np.uint8)[: n * across]
+        if len(block) < n * across:
+            raise ValueError("a strip or tile ends early")
+        block = block.reshape(n, across)
+        if predictor == 2:
+            block = unpredict(block.reshape(n, -1, samples)).reshape(n, across)
+        out[y : y + n, x : x + across] = block
     return out[:height, :width]
 
 
+def pages(data: bytes | None) -> Iterator[tuple[int, dict, np.ndarray | None, str | None]]:
+    """(page, tags, samples, error): a page that can't be read has an error, and so has the place where the directories can't be followed."""
+    walk, page = directories(data or b""), 0
+    while True:
+        try:
+            tags = next(walk, None)
+        except (ValueError, struct.error) as e:
+            yield page, {}, None, f"{type(e).__name__}: {e}"
+            return
+        if tags is None:
+            return
+        try:
+            yield page, tags, read_page(data, tags), None
+        except (ValueError, struct.error, zlib.error) as e:
+            yield page, tags, None, f"{type(e).__name__}: {e}"
+        page += 1
+
+
 def text_layout(payload: bytes) -> Layout:
     """Chosen by content, so that equal texts are stored alike and every codec is in use; LZW, the slowest here, least often."""
     kind = zlib.crc32(payload) % 16
@@ -259,31 +317,31 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per page: (doc_id, page, width, height, compression, predictor, samples, error).
 
-    Null and unreadable media give one row with page 0, no samples and the error; the other rows have a null error.
+    A page that can't be read has its number, no samples and the error, and the pages after it follow; where the file
+    or its chain of directories can't be read, a row with the next number has the error. Null media are unreadable.
+    Repeated rows and null ids stay; other columns are not read.
     """
+    names = ["doc_id", "page", "width", "height", "compression", "predictor", "samples", "error"]
+    kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    for page, tags in enumerate(directories(data or b"")):
-                        pixels = read_page(data, tags)
-                        rows.append((key, page, tags[WIDTH][0], tags[HEIGHT][0], tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0], pixels.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((key, 0, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for i, data in enumerate(batch.column(1)):
+                for page, tags, pixels, error in pages(data.as_py()):
+                    known = [None] * 4 if error else [tags[WIDTH][0], tags[HEIGHT][0], tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0]]
+                    values = [page, *known, None if error else pixels.tobytes(), error]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in zip(values, kinds, strict=True))], names)
 
-    names = ["doc_id", "page", "width", "height", "compression", "predictor", "samples", "error"]
-    kinds = [pa.int64() if media.schema[id_col].dataType.simpleString() == "bigint" else pa.string(), *[pa.int32()] * 5, pa.binary(), pa.string()]
-    key = media[id_col] if kinds[0] == pa.int64() else media[id_col].cast("string")
-    kind = "bigint" if kinds[0] == pa.int64() else "string"
-    return media.select(key.alias("doc_id"), media[media_col].alias("media")).mapInArrow(run, f"doc_id {kind}, page int, width int, height int, compression int, predictor int, samples binary, error string")
+    kind = media.schema[id_col].dataType.simpleString()
+    return media.select(media[id_col].alias("doc_id"), media[media_col].alias("media")).mapInArrow(run, f"doc_id {kind}, page int, width int, height int, compression int, predictor int, samples binary, error string")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = 576) -> DataFrame:
-    """Stores every text, walks the stored file's pages and describes what was read back, in one pass."""
+    """Stores every text, walks the stored file's pages and describes what was read back, in one pass.
+
+    Null and empty texts are one row of padding; equal texts give equal values; repeated rows and null ids stay; other
+    columns are not read. A stored page that can't be read is an error.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -291,15 +349,17 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raw = text.encode()
         payload = pad(raw, row)
         media = write_tiff(np.frombuffer(payload, np.uint8).reshape(-1, row), text_layout(payload))
-        pages, packing = [], 0
-        for tags in directories(media):
-            pages.append(read_page(media, tags))
+        read, packing = [], 0
+        for _, tags, pixels, error in pages(media):
+            if error:
+                raise ValueError(error)
+            read.append(pixels)
             packing = tags[COMPRESSION][0]
-        back = np.concatenate(pages)
+        back = np.concatenate(read)
         data = back.tobytes()
         share = np.bincount(back.ravel(), minlength=256) / back.size
         entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
-        feature = f"pages={len(pages)};rows={len(back)};compression={packing};mean={float((share * np.arange(256)).sum()):.4f};entropy={entropy:.4f}"
+        feature = f"pages={len(read)};rows={len(back)};compression={packing};mean={float((share * np.arange(256)).sum()):.4f};entropy={entropy:.4f}"
         return len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches):
