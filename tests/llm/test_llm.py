@@ -15,7 +15,7 @@ from combtrack.llm import op01_jaccard, op02_suffix, op03_bpe, op04_topk, op05_t
 from combtrack.llm._pieces import text_encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGES = ["", None, " ", "\n", "a", "A  b", "é́ ＡＢ Σίσυφος ΑΣ", "don't 's\n\n  x", "x" * 3000, "ab " * 400, "　y z\x1cw", "<|endoftext|> hi", "日本語\tテキスト 12"]
+EDGES = ["x <|endoftext|> y", "a<|startoftext|>", "", None, " ", "\n", "a", "A  b", "é́ ＡＢ Σίσυφος ΑΣ", "don't 's\n\n  x", "x" * 3000, "ab " * 400, "　y z\x1cw", "<|endoftext|> hi", "日本語\tテキスト 12"]
 ODD = "doc_id bigint, text string, sketch string, marks int, shard int"
 
 
@@ -97,6 +97,50 @@ def test_repeated_bytes(docs, rows, empty, group):
         assert op02_suffix.drop_repeated_bytes(empty, digest=True).count() == 0
 
 
+def thue_morse(n, zero, one):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(one if b else zero for b in bits), "".join(zero if b else one for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_of_balanced_patterns_differ(spark, n):
+    """Polynomials modulo a power of two can't tell these words apart, whatever their base."""
+    a, b = thue_morse(n, "a", "b")
+    many = [f"w{i}" for i in range(49)]
+    rows = [(1, a), (2, b), (3, " ".join([*many[:20], a, *many[20:]])), (4, " ".join([*many[:20], b, *many[20:]])), (5, " ".join(thue_morse(64, "x ", "y ")[0].split())), (6, " ".join(thue_morse(64, "x ", "y ")[1].split()))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert by_id(op01_jaccard.jaccard_components(df, 3, 90, 100)) == jaccard(rows, 3, 90, 100)
+    assert by_id(op09_passages.drop_repeated_passages(df, digest=True)) == repeated_words(rows, 50)
+    assert by_id(op02_suffix.drop_repeated_bytes(df, digest=True)) == repeated_bytes(rows, 200)
+
+
+def test_jaccard_links(docs, rows):
+    """All links of different texts, and whom each document stands for."""
+    links, members = (x.collect() for x in op01_jaccard.jaccard_links(docs, 3, 90, 100, group_rows=8))
+    sets, first = {}, {}
+    for i, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if w:
+            sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
+            first.setdefault(tuple(w), i)
+            assert (i, first[tuple(w)]) in {tuple(r) for r in members}
+    reps = sorted(first.values())
+    assert len(members) == len(sets)
+    assert sorted(tuple(r) for r in links) == [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("names", [("kept", "marks"), ("starts", "_p_id"), ("_s_id", "lang_pred"), ("toxicity", "score"), ("_gone", "win")])
+def test_clashing_columns(spark, names):
+    base = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, base, 5, "x"), (2, base, 6, "y"), (None, base, 7, "z")], f"doc_id bigint, text string, {names[0]} int, {names[1]} string")
+    model, lexicon = (("aa", "w w w"),), op05_toxicity.ToxicLexicon(((" w1 ", 1.0),), (), 1.0)
+    for out in (op02_suffix.drop_repeated_bytes(df), op09_passages.drop_repeated_passages(df), op05_toxicity.score_toxicity(df, lexicon, keep=True), op08_language.identify_language(df, model, keep=True), op01_jaccard.keep_one_of_each(df, op01_jaccard.jaccard_components(df))):
+        assert {(r["doc_id"], r[2], r[3]) for r in out.collect()} >= {(1, 5, "x"), (None, 7, "z")} and out.columns[:4] == df.columns
+    kept = {r["doc_id"]: bytes(r[-1]) for r in op02_suffix.drop_repeated_bytes(df).collect()}
+    assert kept == {1: b"", 2: b"", None: base.encode()}
+    assert {r["doc_id"]: r["text"] for r in op09_passages.drop_repeated_passages(df).collect()} == {1: base, 2: "", None: base}
+
+
 def test_prefix_intervals():
     assert sorted(op02_suffix.prefix_intervals([2, 3, 1])) == [(0, 2, 2), (0, 3, 1), (1, 2, 3)]
 
@@ -112,20 +156,39 @@ def test_byte_bpe(docs, rows):
     assert {i: bytes(x[0]) for i, x in back.items()} == {i: (t or "").encode() for i, t in rows}
 
 
-def test_top_k(spark):
+def nearest(data, k):
+    """By Python integers; vectors by id, those of an odd kind left out, the shorter filled with zeros."""
+    fine = {i: [a * 256 // b for a, b in map(float.as_integer_ratio, v)] for i, v in sorted(data, key=lambda x: str(x[1]), reverse=True) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q in sorted(i for i in fine if i % 50 == 0):
+        best = sorted((-sum(x * y for x, y in zip(fine[q], v, strict=False)), i) for i, v in fine.items() if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 2, "chunk": 3, "tile": 1}, {"block": 5, "chunk": 40, "tile": 2}])
+def test_top_k(spark, sizes):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 16))
     x[40:60] = x[40]  # ties
-    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [float("nan")] * 16), (302, [None] * 16), (350, x[1].tolist()), (303, [1.0])]
-    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4)
-    got = sorted(tuple(r) for r in op04_topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
-    exact = {i: np.floor(256 * np.array(v)).astype(int) for i, v in data if i < 300 or i == 350}
-    want = []
-    for q in sorted(i for i in exact if i % 50 == 0):
-        best = sorted((-int(exact[q] @ e), i) for i, e in exact.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
-    assert op04_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    odd = [(300, None), (301, [float("nan")] * 16), (302, [None] * 16), (304, [float("inf")]), (None, [1.0] * 16)]
+    wide = [(350, [600000.0, 0.0]), (400, rng.normal(0, 1e6, 16).tolist()), (401, rng.normal(0, 1e6, 16).tolist()), (402, rng.normal(0, 9e3, 16).tolist())]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + odd + wide + [(303, [1.0]), (450, [0.5] * 20), (500, [])]
+    df = spark.createDataFrame([(i, v, "z", 7) for i, v in data], "vec_id bigint, embedding array<double>, b string, qb int").repartition(4)
+    asked = df.where("vec_id % 50 = 0")
+    assert sorted(tuple(r) for r in op04_topk.top_k(df, asked, 5, **sizes).collect()) == nearest(data, 5)
+    if not sizes:
+        assert op04_topk.top_k(df.limit(0), df.limit(0)).count() == op04_topk.top_k(df, df.limit(0)).count() == 0
+        assert op04_topk.top_k(df.unionAll(df), asked.unionAll(asked), 5).count() == len(nearest(data, 5))  # repeated ids
+        assert op04_topk.top_k(df.limit(3), df.limit(3), 5).count() == 6
+
+
+def test_cells_bound_products():
+    rng = np.random.default_rng(4)
+    for scale in (3, 300, 2**24):
+        x, q = rng.integers(-scale, scale, (50, 7)), rng.integers(-scale, scale, (9, 7))
+        lower, upper = op04_topk.ApproximationFile.of(x).bounds(q)
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
 
 
 def test_toxicity(spark, empty):
@@ -147,6 +210,31 @@ def test_toxicity(spark, empty):
     assert by_id(op05_toxicity.score_toxicity(spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string"), lexicon)) == {1: (0.0,), 2: (0.0,)}
 
 
+def test_matches_against_plain_search():
+    rng = random.Random(12)
+    lexicon = op05_toxicity.ToxicLexicon(((" ab", 2.0), (" abc ", 3.0), (" ba ", 1.5)), (" x ab", " abc d ", " ba ba "), 1.0)
+    automaton = op05_toxicity._automaton(lexicon)
+    for _ in range(300):
+        folded = " " + " ".join(rng.choices(["ab", "abc", "ba", "x", "d", "abcd"], k=rng.randint(0, 12))) + " "
+        spared = [(k, k + len(p)) for p in lexicon.exceptions for k in range(len(folded)) if folded.startswith(p, k)]
+        want = {}
+        for pattern, weight in lexicon.patterns:
+            for k in range(len(folded)):
+                if folded.startswith(pattern, k) and k + len(pattern) > want.get(k, (0, 0, 0))[1]:
+                    want[k] = (k, k + len(pattern), weight)
+        want = sorted(m for m in want.values() if not any(a <= m[0] and m[1] <= b for a, b in spared))
+        assert sorted(op05_toxicity.matches(automaton, folded)) == want
+
+
+def test_toxicity_without_labels(spark, empty):
+    labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id bigint, toxic int")
+    df = spark.createDataFrame([(1, "a bad word"), (2, "bad " * 20000), (2, "bad"), (None, "bad")], "doc_id bigint, text string")
+    lexicon = op05_toxicity.learn_toxicity(df, labels, labels["doc_id"] > 0)
+    assert [r[1] for r in op05_toxicity.score_toxicity(df, lexicon).collect()] == [0.0] * 4
+    assert op05_toxicity.learn_toxicity(empty, labels.limit(0), labels["doc_id"] > 0).patterns == ()
+    assert op05_toxicity.score_toxicity(empty, lexicon).count() == 0
+
+
 def test_toxicity_reads_all_contexts(spark):
     """Two clean documents with far more than 2000 contexts each, of which only the alphabetically last is common to them."""
     rng = random.Random(2)
@@ -162,8 +250,7 @@ def test_toxicity_reads_all_contexts(spark):
 def test_encoders_equal_the_library(rows, name, pattern):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tok.path(name))
-    library.encode_special_tokens = True
+    library = Tokenizer.from_file(tok.path(name))  # the plain call: strings of special tokens are those tokens
     for _, t in rows:
         data = text_encoder(tok.path(name), pattern).encode(t or "")
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == library.encode(t or "", add_special_tokens=False).ids
@@ -218,6 +305,26 @@ def test_packing(docs, rows, empty):
     assert op07_packing.pack_tokens(empty, path, 0, tok.PATTERN).count() == 0
 
 
+def test_packing_of_wide_ids_and_repeated_rows(spark, tmp_path):
+    """A vocabulary beyond 16 bits: ids of the given file, moved up."""
+    import json
+
+    with open(tok.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {t: i + 60_000 for t, i in spec["model"]["vocab"].items()}
+    spec["added_tokens"] = []
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["hello wide world " * 9, None, "", "x", "x"]
+    df = spark.createDataFrame([(None if i < 2 else 7, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = op07_packing.pack_tokens(df, path, 3, tok.PATTERN, size=4096).collect()
+    enc = text_encoder(path, tok.PATTERN)
+    want = [enc.encode(t or "") + struct.pack("<I", 3) for t in texts]
+    assert max(np.frombuffer(want[0], "<u4")) > 65_535
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == Counter((None if i < 2 else 7, len(w) // 4, zlib.crc32(w)) for i, w in enumerate(want))
+
+
 def test_language(spark, empty):
     rng = random.Random(4)
     kinds = {"aa": ["the", "and", "ing", "ther"], "bb": ["und", "ich", "sch", "keit"], "cc": ["eau", "é", "ment", "les"]}
@@ -226,14 +333,45 @@ def test_language(spark, empty):
     model = op08_language.learn_languages(df, df["doc_id"] % 2 == 0)
     got = by_id(op08_language.identify_language(df, model))
     assert all(got[i][0] == lang for i, _, lang in data)
-    assert got[900] == got[901] == ("und", 0.0)
+    assert got[900] == got[901] == ("und", 0.0, None)
     assert op08_language.identify_language(empty, model).count() == 0
 
 
 def test_cross_parse():
-    automaton = op08_language.SuffixAutomaton(op08_language.fold(["abcab"])[0])
-    seq, offsets = op08_language.fold(["bcab", "cabbc"])
-    assert op08_language.phrases(automaton.table(), np.array([0]), seq, offsets).ravel().tolist() == [1, 3]  # cab, bc, the end of the text
+    """Against a quadratic search for longest matches; how the work is cut changes nothing."""
+    rng = random.Random(9)
+    samples = ["".join(rng.choices("abc ", k=120)), "ab" * 40 + "c", "q"]
+    texts = ["".join(rng.choices("abcdé ", k=rng.randint(1, 300))) for _ in range(20)] + ["ab" * 200, "a", "q" * 50, "ba" * 150 + "c" * 30]
+    tables, starts = [], []
+    for x in samples:
+        starts.append(sum(map(len, tables)))
+        tables.append(op08_language.SuffixAutomaton(op08_language.fold([x])[0]).table())
+    seq, offsets = op08_language.fold(texts)
+    want = []
+    for i in range(len(texts)):
+        own, row = seq[offsets[i] : offsets[i + 1]].tobytes(), []
+        for x in samples:
+            sample, at, n = op08_language.fold([x])[0].tobytes(), 0, 0
+            while at < len(own):
+                size = 1
+                while at + size < len(own) and own[at : at + size + 1] in sample:
+                    size += 1
+                at, n = at + size, n + 1
+            row.append(n)
+        want.append(row)
+    for segment in (1, 3, 16, 1024):
+        assert op08_language.phrases(np.concatenate(tables), np.array(starts), seq, offsets, segment).tolist() == want
+
+
+def test_languages_learn_whole_texts(spark):
+    rows = [(i, f"w{i} " * 50, "aa") for i in range(5)] + [(9, "long " * 9000, "bb"), (10, None, "bb"), (11, "t", None), (12, "12", "cc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = dict(op08_language.learn_languages(df, df["doc_id"] >= 0, sample_docs=3))
+    assert set(model) == {"aa", "bb"} and model["bb"] == "long " * 9000 and len(model["aa"]) == 3 * 150 + 2
+    with pytest.raises(ValueError, match="languages"):
+        op08_language.learn_languages(df, df["doc_id"] >= 0, sample_docs=1, max_languages=1)
+    twins = (("aa", "same text"), ("bb", "same text"))
+    assert by_id(op08_language.identify_language(df.where("doc_id = 11"), twins))[11][:2] == ("aa", 0.5)  # ties: the first by name
 
 
 def repeated_words(rows, window):
@@ -270,7 +408,7 @@ def test_tiff(docs, rows, spark):
     for n in (0, 1, 5000):
         for kinds in (1, 3, 256):
             data = bytes(rng.randrange(kinds) for _ in range(n))
-            assert op10_tiff.unlzw(op10_tiff.lzw(data)) == op10_tiff.unpackbits(op10_tiff.packbits(data)) == data
+            assert op10_tiff.unlzw(op10_tiff.lzw(data), n) == op10_tiff.unpackbits(op10_tiff.packbits(data), n) == data
     pixels = np.frombuffer(rng.randbytes(576 * 300), np.uint8).reshape(-1, 576)
     for packing in (1, 5, 8, 32773):
         for tile in (0, 64):
@@ -282,10 +420,53 @@ def test_tiff(docs, rows, spark):
         assert got[i][:4] == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     pages = op10_tiff.read_pages(op10_tiff.store_texts(docs)).collect()
     assert {r["doc_id"] for r in pages} == {i for i, _ in rows} and all(r["error"] is None for r in pages)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in op10_tiff.store_texts(docs).collect()}
+    read = defaultdict(list)
+    for r in pages:
+        read[r["doc_id"]].append((r["page"], r["height"], r["compression"], bytes(r["samples"])))
+    for i, t in rows:
+        own = sorted(read[i])
+        data = b"".join(x[3] for x in own)
+        assert data == op10_tiff.pad((t or "").encode())
+        share = [data.count(b) / len(data) for b in range(256)]
+        entropy = -sum(p * np.log2(p) for p in share if p)
+        feature = f"pages={len(own)};rows={sum(x[1] for x in own)};compression={own[-1][2]};mean={sum(b * p for b, p in enumerate(share)):.4f};entropy={entropy:.4f}"
+        assert got[i][4:] == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest(), feature)
     bad = op10_tiff.read_pages(spark.createDataFrame([(1, None), (2, b"II*"), (3, b"no")], "doc_id bigint, media binary")).collect()
     assert len(bad) == 3 and all(r["error"] for r in bad)
 
 
+def test_malformed_tiff_gives_errors(spark):
+    """Every byte of a small file of two pages set to other values: never an exception, and a page keeps its number."""
+    pixels = np.arange(40, dtype=np.uint8).reshape(-1, 8)
+    for layout in (op10_tiff.Layout(1, 1, rows=2, page_rows=3), op10_tiff.Layout(5, 2, rows=2, page_rows=3), op10_tiff.Layout(8, 1, tile=16, page_rows=3), op10_tiff.Layout(32773, 1, rows=2, page_rows=3)):
+        data = op10_tiff.write_tiff(pixels, layout)
+        for at in range(len(data)):
+            for value in (0, 1, 127, 255):
+                found = list(op10_tiff.pages(data[:at] + bytes([value]) + data[at + 1 :]))
+                assert found and [p[0] for p in found] == list(range(len(found)))
+                assert all((x is None) != (e is None) for _, _, x, e in found)
+            assert list(op10_tiff.pages(data[:at])) or at == 0
+    second = bytearray(data)
+    first = struct.unpack_from("<I", second, 4)[0]
+    link = first + 2 + 12 * struct.unpack_from("<H", second, first)[0]
+    at = struct.unpack_from("<I", second, link)[0]
+    second[at + 10 : at + 14] = b"\0\0\0\0"  # the second page's width
+    found = list(op10_tiff.pages(bytes(second)))
+    assert [(p, e is None) for p, _, _, e in found] == [(0, True), (1, False)]
+    df = spark.createDataFrame([("k", bytes(second)), (None, data), ("k", None)], "doc_id string, media binary")
+    got = Counter((r["doc_id"], r["page"], r["error"] is None) for r in op10_tiff.read_pages(df).collect())
+    assert got == Counter([("k", 0, True), ("k", 1, False), (None, 0, True), (None, 1, True), ("k", 0, False)])
+    assert op10_tiff.media_digests(df.limit(0).selectExpr("doc_id", "string(media) as text")).count() == 0
+
+
+def test_big_endian_tiff():
+    tags = [(256, 4, 4), (257, 4, 2), (258, 3, 8 << 16), (259, 3, 1 << 16), (273, 4, 8), (278, 4, 2), (279, 4, 8)]
+    data = b"MM\0*" + struct.pack(">I", 16) + bytes(range(8)) + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", t, k, 1, v) for t, k, v in tags) + b"\0" * 4
+    ((page, _, pixels, error),) = op10_tiff.pages(data)
+    assert (page, error, pixels.tolist()) == (0, None, [[0, 1, 2, 3], [4, 5, 6, 7]])
+
+
 def test_pipeline(spark):
     import os
 

@@ -41,9 +41,17 @@ def rows():
     return out
 
 
-def test_language_stage(spark, rows):
+def test_language_stage(spark, rows, monkeypatch):
+    """Kept rows get the predicted label; texts without a letter, of another language than those wanted, or of none go."""
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("aa", "bb"))
+    rng = random.Random(3)
+    other = ["ñoz", "gwyx", "pfk", "qum"]
+    third = [(600 + i, " ".join("".join(rng.choices(other, k=3)) for _ in range(60)), "cc") for i in range(20)]
+    noise = [(700, "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=400)), "aa"), (None, "".join(rng.choices("0123456789абвгдежз", k=300)), "bb")]
     gone = [(400, None, "aa"), (401, "", "aa"), (402, "12 3 !", "bb"), (None, "77", "bb"), (None, None, "aa")]
-    assert held(corpus_pipeline.language(spark, frame(spark, rows + gone), "")) == want(rows)
+    wrong = [(800, rows[0][1], "bb" if rows[0][2] == "aa" else "aa"), (801, rows[1][1], None), (802, third[0][1], "aa")]
+    got = held(corpus_pipeline.language(spark, frame(spark, rows + gone + third + noise + wrong), ""))
+    assert got == want(rows + [(800, rows[0][1], rows[0][2]), (801, rows[1][1], rows[1][2])])
 
 
 def test_toxicity_stage(spark, rows, tmp_path):
