@@ -18,36 +18,50 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+#: The corpus is of these languages; a text that takes more bits a symbol to parse is in none of them, if it isn't too short to tell.
+LANGUAGES, MOST_BITS, SHORT = ("de", "en", "es", "fr"), 4.5, 64
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones show; those without text or a letter go."""
+    """Documents in one of LANGUAGES by what they say, with that language as `lang`, whatever their label was.
+
+    Those without text or a letter go, and those of at least SHORT characters that no learnt language explains.
+    Languages without a labelled document can't be found. Null ids and repeated rows are judged like any other.
+    """
     found = identify_language(docs, learn_languages(docs, _fold(3) != 1), keep=True)
-    return found.where("lang_pred <> 'und'").drop("lang_pred", "score")
+    lang_pred, _, bits = (F.col(c) for c in found.columns[-3:])
+    found = found.where(lang_pred.isin(*LANGUAGES) & ((F.length("text") < SHORT) | (bits <= MOST_BITS)))
+    return found.withColumn("lang", lang_pred).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3, by a lexicon learnt from the labels of those that got here."""
+    """Documents that score below 0.3, by a lexicon learnt from the labels of those that got here. Null and empty texts score 0; null ids and repeated rows stay."""
     lexicon = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _fold(4) != 2)
-    return score_toxicity(docs, lexicon, keep=True).where("toxicity < 0.3").drop("toxicity")
+    scored = score_toxicity(docs, lexicon, keep=True)
+    return scored.where(F.col(scored.columns[-1]) < 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 of five-word shingles the document with the smallest id."""
+    """Of each group linked by a similarity of 0.8 of five-word shingles the document with the smallest id.
+
+    Repeated rows of that id all stay, and so do rows with a null id and texts without words.
+    """
     return keep_one_of_each(docs, jaccard_components(docs, n=5, num=80, den=100))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words that an earlier one holds."""
+    """Documents without the passages of 50 words that one of smaller id holds. Null and short texts and rows with a null id stay as they are."""
     return drop_repeated_passages(docs, window=50).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens. A null or empty text is one piece of the end id; null ids and repeated rows are packed like any other."""
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, public_tokenizers.PATTERN)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]
 
-#: No stage of learnt models and none with a tokenizer can be told in SQL; tests compare the stages with brute force.
+#: Stages of learnt models or a tokenizer can't be told in SQL; tests/llm compares each stage's rows with plain Python.
 ORACLE_SQL = None
 
 
