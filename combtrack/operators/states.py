@@ -6,30 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grid(df: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """Every key with td = 0 to bins - 1."""
-    return df.select(*keys).distinct().withColumn("td", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-
-
 def filled(df: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """The bins' metrics on the grid, null where nothing was seen."""
-    return grid(df, keys, bins).join(df, [*keys, "td"], "left")
+    """Every key's bins 0 to bins - 1, each once, with its metrics; null where nothing was seen.
 
-
-def _segments(df: DataFrame, keys: list[str], seen: Column) -> DataFrame:
+    A seen bin stands for itself and the unseen ones up to the next, the first also for those before it: one pass over
+    each key's rows, without a grid to join.
+    """
     w = Window.partitionBy(*keys).orderBy("td")
-    out = df.withColumn("obs", F.coalesce(seen, F.lit(False)))
-    out = out.withColumn("_c", F.coalesce(F.lag("obs").over(w) != F.col("obs"), F.lit(True)).cast("int"))
-    out = out.withColumn("seg", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = Window.partitionBy(*keys, "seg")
-    out = out.withColumns({"s": F.min("td").over(ends), "e": F.max("td").over(ends) + 1})
-    return out.withColumn("nseg", F.max("seg").over(Window.partitionBy(*keys))).drop("_c")
+    columns = [c for c in df.columns if c not in (*keys, "td")]
+    fill = F.sequence(F.when(F.lag("td").over(w).isNull(), 0).otherwise(F.col("td")), F.coalesce(F.lead("td").over(w), F.lit(bins)) - 1)
+    out = df.withColumn("_fill", fill).withColumnRenamed("td", "_at").withColumn("td", F.explode("_fill"))
+    return out.select(*keys, "td", *[F.when(F.col("td") == F.col("_at"), F.col(c)).alias(c) for c in columns])
 
 
-def _probe(df: DataFrame, keys: list[str], flag: str, at: Column) -> DataFrame:
-    """`probed`: the flag of the same key's bin `at`."""
-    flags = df.select(*keys, F.col("td").alias("at"), F.col(flag).alias("probed"))
-    return df.withColumn("at", at).join(flags, [*keys, "at"], "left")
+def _segments(df: DataFrame, keys: list[str], bins: int, seen: Column, flag: Column) -> DataFrame:
+    """`obs`, `flag`, and per row: `cut` (a run of `obs` begins here), `until`, the end of the first run (null if it is the only one)."""
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy("td")
+    out = filled(df, keys, bins).select(*keys, "td", F.coalesce(seen, F.lit(False)).alias("obs"), F.coalesce(flag, F.lit(False)).alias("flag"))
+    out = out.withColumn("cut", F.coalesce(F.lag("obs").over(w) != F.col("obs"), F.lit(False)))
+    return out.withColumn("until", F.min(F.when(F.col("cut"), F.col("td"))).over(whole))
+
+
+def _at_cut(value: Column, keys: list[str]) -> Column:
+    """The value at the first bin of the row's run; of the first run null."""
+    upto = Window.partitionBy(*keys).orderBy("td").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(F.when(F.col("cut"), value), ignorenulls=True).over(upto)
 
 
 def in_hive(df: DataFrame, keys: list[str], bins: int, seen: Column, close: Column, same_bin: bool = False) -> DataFrame:
@@ -38,19 +40,27 @@ def in_hive(df: DataFrame, keys: list[str], bins: int, seen: Column, close: Colu
     Seen bins are inside. An unseen run is outside if the bin before it was close to the exit; a run from the first
     bin on if the second bin (`same_bin`: the first) after it is. An individual seen never is unknown throughout.
     """
-    out = _segments(filled(df, keys, bins), keys, seen).withColumn("close", F.coalesce(close, F.lit(False)))
-    first = F.col("e") if same_bin else F.least(F.col("e") + 1, F.lit(bins - 1))
-    out = _probe(out, keys, "close", F.when(F.col("seg") == 1, first).otherwise(F.col("s") - 1))
-    state = F.when(F.col("nseg") == 1, F.when(F.col("obs"), 1)).when(F.col("obs"), 1).when(F.coalesce("probed", F.lit(False)), 0).otherwise(1)
+    out = _segments(df, keys, bins, seen, close)
+    w = Window.partitionBy(*keys).orderBy("td")
+    out = out.withColumn("_before", F.lag("flag").over(w)).withColumn("_before", _at_cut(F.col("_before"), keys))
+    probe = F.col("until") if same_bin else F.least(F.col("until") + 1, F.lit(bins - 1))
+    out = out.withColumn("_after", F.max(F.when(F.col("td") == probe, F.col("flag"))).over(Window.partitionBy(*keys)))
+    probed = F.when(F.col("td") < F.col("until"), F.col("_after")).otherwise(F.col("_before"))
+    state = F.when(F.col("until").isNull(), F.when(F.col("obs"), 1)).when(F.col("obs"), 1).when(F.coalesce(probed, F.lit(False)), 0).otherwise(1)
     return out.select(*keys, "td", state.cast("int").alias("state"))
 
 
 def on_substrate(df: DataFrame, keys: list[str], bins: int, seen: Column, top: Column, per_bin: bool = False) -> DataFrame:
     """(keys, td, state): 1 on the substrate, 0 off it. A seen run takes the state of its first bin (`per_bin`: each its own), an unseen one that of the bin before, or after the first run."""
-    out = _segments(filled(df, keys, bins), keys, seen).withColumn("top", F.coalesce(top, F.lit(False)))
-    at = F.when(F.col("nseg") == 1, 0).when(F.col("obs"), F.col("td") if per_bin else F.col("s")).when(F.col("seg") == 1, F.col("e")).otherwise(F.col("s") - 1)
-    out = _probe(out, keys, "top", at)
-    state = F.when(F.col("nseg") == 1, F.when(F.col("obs") & F.col("probed"), 1)).otherwise(F.coalesce("probed", F.lit(False)).cast("int"))
+    out = _segments(df, keys, bins, seen, top)
+    whole = Window.partitionBy(*keys)
+    out = out.withColumn("_before", F.lag("flag").over(whole.orderBy("td")))
+    out = out.withColumns({"_here": _at_cut(F.col("flag"), keys), "_before": _at_cut(F.col("_before"), keys)})
+    out = out.withColumns({"_first": F.max(F.when(F.col("td") == 0, F.col("flag"))).over(whole), "_after": F.max(F.when(F.col("td") == F.col("until"), F.col("flag"))).over(whole)})
+    in_first = F.col("td") < F.col("until")
+    seen_state = F.col("flag") if per_bin else F.when(in_first, F.col("_first")).otherwise(F.col("_here"))
+    probed = F.when(F.col("obs"), seen_state).when(in_first, F.col("_after")).otherwise(F.col("_before"))
+    state = F.when(F.col("until").isNull(), F.when(F.col("obs") & F.col("_first"), 1)).otherwise(F.coalesce(probed, F.lit(False)).cast("int"))
     return out.select(*keys, "td", state.cast("int").alias("state"))
 
 

@@ -91,7 +91,8 @@ def _leaves(spark, d):
 
 
 def _binned(spark, d):
-    rows = _geo(spark, d).withColumn("td", F.expr(f"framenum div {HOUR}").cast("int"))
+    rows = _geo(spark, d).select("uid", "daynum", F.expr(f"framenum div {HOUR}").cast("int").alias("td"), "exit_dist", "frame")
+    rows = rows.repartition("uid", "daynum")  # a median needs all rows in any case, and the windows of a day's bins go on in these partitions
     return rows.groupBy("uid", "daynum", "td").agg(F.count("*").alias("n"), F.median("exit_dist").alias("exit_med"), F.avg(F.col("frame").isin(0, 3).cast("double")).alias("top"))
 
 
@@ -113,7 +114,7 @@ def _speeds(spark, d):
     return out.withColumns({"flat": w.flat_step(C), "pf": lag("frame"), "pc": lag("camera"), "dx": F.col("xa") - lag("xa"), "dy": F.col("y") - lag("y")})
 
 
-@query(DET + " SELECT event_id, uid, daynum, framenum, x, y, camera FROM det WHERE value / 500 > 0.3 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 3000")
+@query(DET + " SELECT event_id, uid, daynum, framenum, x, y, camera FROM det WHERE value / 500 > 0.3 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'")
 def scan_filter_confidence(spark, d):
     rows = detections(spark, d, C).withColumn("confidence", F.col("value") / 500)
     return scan_detections(rows, None, 4096, 0.3, "2024-01-03", "2024-01-20").select("event_id", "uid", "daynum", "framenum", "x", "y", "camera")
