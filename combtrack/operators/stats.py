@@ -16,10 +16,50 @@ def cut(value: Column, edges: list[float]) -> Column:
     return out
 
 
+#: At most so many values part the distinct ones into ranges, each of which is a task's.
+RANGES = 256
+
+
+def numbered_values(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, before, total): the distinct values, how often each occurs, rows below it, rows in all; nulls are left out.
+
+    Values are counted, and the counts dealt into ranges between values that a hash picks, so the picks are the same
+    whenever they are computed. Sums within ranges and the few ranges' totals give the rows below: no task sees all.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    mixed = F.xxhash64("value")
+    picked = counts.groupBy(F.pmod(mixed, F.lit(RANGES))).agg(F.min_by("value", mixed).alias("value"))
+    picks = F.broadcast(picked.agg(F.sort_array(F.collect_list("value")).alias("_picks")))  # one row of at most RANGES values
+    dealt = counts.crossJoin(picks).withColumn("_range", F.size(F.filter("_picks", lambda x: x <= F.col("value")))).drop("_picks")
+    totals = dealt.groupBy("_range").agg(F.sum("n").alias("_n")).agg(F.collect_list(F.struct("_range", "_n")).alias("_totals"))  # a row of ranges
+    inside = Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).crossJoin(F.broadcast(totals))
+    added = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y["_n"])
+    lower = F.filter("_totals", lambda x: x["_range"] < F.col("_range"))
+    return out.select("value", "n", (F.col("_in") + added(lower)).alias("before"), added(F.col("_totals")).alias("total"))
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row, `_q`: the exact quantiles, interpolated linearly between the values next to them; null without values."""
+    at = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    near = F.array(*[x for p in shares for x in (F.floor(at(p)), F.ceil(at(p)))])
+    held = numbered_values(df, column).where(F.exists(near, lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n"))))
+    row = held.agg(F.collect_list(F.struct("before", "n", "value")).alias("_held"), F.max("total").alias("total"))
+
+    def value_at(x: Column) -> Column:
+        return F.get(F.filter("_held", lambda h: (h["before"] <= x) & (x < h["before"] + h["n"])), F.lit(0))["value"].cast("double")
+
+    def one(p: float) -> Column:
+        lower, upper = F.floor(at(p)), F.ceil(at(p))
+        return F.when(lower == upper, value_at(lower)).otherwise((upper - at(p)) * value_at(lower) + (at(p) - lower) * value_at(upper))
+
+    return row.select(F.when(F.col("total").isNotNull(), F.array(*map(one, shares))).alias("_q"))
+
+
 def qcut(df: DataFrame, column: str, n: int) -> DataFrame:
     """`bin`: right-closed quantile bins, the lowest value in the first; equal edges are an error. One row of edges is broadcast."""
-    edges = df.agg(F.expr(f"percentile({column}, array({', '.join(str(i / n) for i in range(n + 1))}))").alias("_edges"))
-    edges = edges.select(F.when(F.size(F.array_distinct("_edges")) == F.size("_edges"), F.col("_edges")).otherwise(F.raise_error(F.lit("bin edges must be unique"))).alias("_edges"))
+    edges = quantiles(df, column, [i / n for i in range(n + 1)]).withColumnRenamed("_q", "_edges")
+    edges = edges.select(F.when(F.col("_edges").isNull() | (F.size(F.array_distinct("_edges")) == F.size("_edges")), F.col("_edges")).otherwise(F.raise_error(F.lit("bin edges must be unique"))).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(column))) - 1
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(F.col(column).isNotNull(), F.greatest(below, F.lit(0)))).drop("_edges")
 
@@ -34,9 +74,18 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def ranked(df: DataFrame, column: str) -> DataFrame:
     """(value, rank): average ranks of the distinct values; counts per value are ranked, not rows."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_t", total).select("value", (F.col("_t") - (F.col("n") - 1) / 2).alias("rank"))
+    return numbered_values(df, column).select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def positions(df: DataFrame, column: str) -> DataFrame:
+    """(value, first, last): the places, from 1, that the rows of each value take in the order of all."""
+    return numbered_values(df, column).select("value", (F.col("before") + 1).alias("first"), (F.col("before") + F.col("n")).alias("last"))
+
+
+def equal_width_edges(low: float, high: float, n: int) -> list[float]:
+    """Edges of n equal-width bins for `cut`; the first is lowered by a thousandth of the range, so that it takes the lowest value."""
+    step = (high - low) / n
+    return [low - 0.001 * (high - low), *[low + step * i for i in range(1, n)], high]
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,12 +95,27 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.agg(F.corr("_ra", "_rb").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
 
 
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of all pairs i < j; ranks are those among the rows that have both."""
+    out = None
+    for a, b in combinations(columns, 2):
+        one = spearman(df, a, b)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def histogram(df: DataFrame, column: str, lo: float, hi: float, n: int) -> DataFrame:
     """(bin, n, density) of equal-width bins of [lo, hi]; the last includes hi, values outside are left out."""
-    inside = df.where(F.col(column).between(lo, hi))
-    width = (hi - lo) / n
-    bins = inside.select(F.least(F.floor((F.col(column) - lo) / width), F.lit(n - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    return bins.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy()) * width))
+    return histogram_of(df, column, [lo + (hi - lo) * i / n for i in range(n)] + [hi])
+
+
+def histogram_of(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """(bin, n, density) of the bins between the edges, each with its lower edge, the last with its upper one too."""
+    x, last = F.col(column), len(edges) - 2
+    at = F.least(F.size(F.filter(F.array(*map(F.lit, map(float, edges))), lambda e: e <= x)) - 1, F.lit(last))
+    bins = df.where(x.between(edges[0], edges[-1])).select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    width = F.get(F.array(*[F.lit(float(b - a)) for a, b in zip(edges, edges[1:], strict=False)]), F.col("bin"))
+    return bins.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy()) * width))  # of the few bins
 
 
 def box(df: DataFrame, key: str, column: str) -> DataFrame:
