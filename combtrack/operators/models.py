@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAMES = ("naive_bayes", "logistic", "forest", "svm")
@@ -57,15 +57,15 @@ def judged(model: Estimator, rows: DataFrame, test_share: int = 33, folds: int =
     return performance(held_out.unionByName(inner).unionByName(outer), "on")
 
 
-def nearest_vote(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, block: int = 2048, weighted: bool = False) -> DataFrame:
-    """(key, predicted): the commonest label of the k nearest points (Euclid), ties to the smaller label and key.
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, block: int = 2048) -> DataFrame:
+    """(key, d, near, vote, nth): the k nearest points of each query (Euclid), with their labels; ties to the smaller key.
 
     `queries` is a stated set; blocks of about `block` queries meet blocks of 4 * `block` points, and only k points per
-    query and block are shuffled. `weighted` votes by inverse distance, where points at no distance outvote all others.
+    query and block are shuffled. A matrix product of two blocks leaves few pairs, whose distances are then taken exactly.
     """
     parts = lambda df, size: -(-df.count() // size) or 1
     nq, np_ = parts(queries, block), parts(points, 4 * block)
-    spread = lambda df, name, n, other, m: df.select(key, vector, *([label] if label in df.columns and name == "_p" else []), F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias(other))
+    spread = lambda df, name, n, other, m: df.select(key, vector, *([label] if name == "_p" else []), F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias(other))
     left = spread(queries.where(F.col(vector).isNotNull()), "_q", nq, "_p", np_)
     right = spread(points.where(F.col(vector).isNotNull() & F.col(label).isNotNull()), "_p", np_, "_q", nq)
 
@@ -73,29 +73,48 @@ def nearest_vote(queries: DataFrame, points: DataFrame, k: int, vector: str, lab
         if not len(q) or not len(p):
             return pd.DataFrame({key: [], "d": [], "near": [], "vote": []})
         p = p.sort_values(key)
-        at, out = np.stack(p[vector].to_list()).astype(float), []
-        for one, v in zip(q[key], q[vector]):
-            d = np.sqrt(((at - np.asarray(v, float)) ** 2).sum(axis=1))
-            first = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({key: one, "d": d[first], "near": p[key].to_numpy()[first], "vote": p[label].to_numpy()[first]}))
-        return pd.concat(out)
+        at, of = np.stack(p[vector].to_list()).astype(float), np.stack(q[vector].to_list()).astype(float)
+        size, most = (at**2).sum(axis=1), min(k, len(at)) - 1
+        who, rows, far = [], [], []
+        for i in range(0, len(of), 256):
+            part = of[i : i + 256]
+            about = (part**2).sum(axis=1)[:, None] + size - 2 * part @ at.T
+            rim = np.partition(about, most, axis=1)[:, most] + 1e-9 * (1 + size.max() + (part**2).sum(axis=1))
+            a, b = np.nonzero(about <= rim[:, None])
+            d = np.sqrt(((part[a] - at[b]) ** 2).sum(axis=1))
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < k
+            who.append(i + a[first])
+            rows.append(b[first])
+            far.append(d[first])
+        who, rows = np.concatenate(who), np.concatenate(rows)
+        return pd.DataFrame({key: q[key].to_numpy()[who], "d": np.concatenate(far), "near": p[key].to_numpy()[rows], "vote": p[label].to_numpy()[rows]})
 
     found = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(nearest, f"{key} long, d double, near long, vote long")
-    top = found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("d", "near"))).where(F.col("_n") <= k)
-    touching = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy(key))
-    weight = F.when(touching == 1, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "d")) if weighted else F.lit(1.0)
-    votes = top.withColumn("_w", weight).groupBy(key, "vote").agg(F.sum("_w").alias("_w"))
-    return votes.groupBy(key).agg(F.max_by("vote", F.struct("_w", -F.col("vote"))).alias("predicted"))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("d", "near"))).where(F.col("nth") <= k)
+
+
+def voted(near: DataFrame, key: str, weighted: Column, *keys: str) -> DataFrame:
+    """(key, keys, predicted): the commonest label, ties to the smaller one; `weighted` by inverse distance, where points at no distance outvote all others."""
+    touching = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy(key, *keys))
+    inverse = F.when(touching == 1, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "d"))
+    votes = near.withColumn("_w", F.when(weighted, inverse).otherwise(1.0)).groupBy(key, *keys, "vote").agg(F.sum("_w").alias("_w"))
+    return votes.groupBy(key, *keys).agg(F.max_by("vote", F.struct("_w", -F.col("vote"))).alias("predicted"))
+
+
+def nearest_vote(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, block: int = 2048, weighted: bool = False) -> DataFrame:
+    """(key, predicted): the label that the k nearest points vote for."""
+    return voted(nearest_points(queries, points, k, vector, label, key, block), key, F.lit(weighted))
 
 
 def best_neighbours(points: DataFrame, ks: range, vector: str, label: str, key: str, folds: int = 5) -> DataFrame:
-    """(k, weighted, accuracy) of cross-validation over a grid; the best first. For samples: every row is a query once."""
-    fold, results = F.pmod(F.xxhash64(key), F.lit(folds)), None
-    for k in ks:
-        for weighted in (False, True):
-            for i in range(folds):
-                rest, own = points.where(fold != i), points.where(fold == i)
-                got = nearest_vote(own, rest, k, vector, label, key, weighted=weighted).join(own.select(key, label), key)
-                got = got.select(F.lit(k).alias("k"), F.lit(weighted).alias("weighted"), (F.col("predicted") == F.col(label)).cast("double").alias("right"))
-                results = got if results is None else results.unionByName(got)
-    return results.groupBy("k", "weighted").agg(F.avg("right").alias("accuracy")).orderBy(F.desc("accuracy"), "k", "weighted")
+    """(k, weighted, accuracy) of cross-validation over a grid, the best first. One search a fold serves the whole grid. For samples: every row is a query once."""
+    fold, near = F.pmod(F.xxhash64(key), F.lit(folds)), None
+    for i in range(folds):
+        found = nearest_points(points.where(fold == i), points.where(fold != i), max(ks), vector, label, key)
+        near = found if near is None else near.unionByName(found)
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("weighted")) for k in ks for w in (False, True)]))
+    near = near.withColumn("_g", grid).select(key, "d", "near", "vote", "nth", "_g.k", "_g.weighted").where("nth <= k")
+    got = voted(near, key, F.col("weighted"), "k", "weighted").join(points.select(key, label), key)
+    return got.groupBy("k", "weighted").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy")).orderBy(F.desc("accuracy"), "k", "weighted")
