@@ -52,3 +52,39 @@ def angle_wrapped(a: Column) -> Column:
 def circadian(hour: Column) -> Column:
     """A sine over the day, highest at 11:30."""
     return F.sin((hour - 5.5) / 24 * 2 * F.pi())
+
+
+def frame_in_image(c: HiveConfig, y="y", camera="camera") -> Column:
+    """0 to 2 on camera 1, 3 to 5 on camera 0, by each side's own dividers; the last frame includes the lower edge, outside the image null."""
+
+    def on(dividers: tuple[int, int], first: int) -> Column:
+        return F.when((F.col(y) < 0) | (F.col(y) > c.ypixels), None).when(F.col(y) < dividers[0], first).when(F.col(y) < dividers[1], first + 1).when(F.col(y) <= c.ypixels, first + 2)
+
+    return F.when(F.col(camera) == 1, on(c.div_left, 0)).when(F.col(camera) == 0, on(c.div_right, 3))
+
+
+def cell(c: HiveConfig, x="xa", y="y") -> Column:
+    """Number of the square of unfolded coordinates, column by column; null outside."""
+    return bin_of(F.col(x), c.x_bins, 2.0 * c.xpixels) * c.y_bins + bin_of(F.col(y), c.y_bins, float(c.ypixels))
+
+
+def cell_bins(number: Column, c: HiveConfig) -> list[Column]:
+    """`xbin` and `ybin` of a square's number."""
+    return [F.floor(number / c.y_bins).cast("int").alias("xbin"), F.pmod(number, F.lit(c.y_bins)).cast("int").alias("ybin")]
+
+
+def log_positive(value: Column) -> Column:
+    """Natural logarithm; null where there is none."""
+    return F.when(value > 0, F.log(value))
+
+
+def clipped(value: Column, low: Column, high: Column) -> Column:
+    """Share of the way from low to high, cut to 0..1 and scaled by 0.99, so that it numbers a colour; null for a range of nothing."""
+    share = F.try_divide(value - low, high - low)
+    return F.when(share.isNotNull(), 0.99 * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+
+
+def opacity(count: Column, norm: Column) -> Column:
+    """A histogram's count as an opacity: 1 from the norm on; null for a norm of nothing."""
+    share = F.try_divide(count, norm)
+    return F.when(share.isNotNull(), F.least(share, F.lit(1.0)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import HiveConfig
+from ..functions.timeops import shifted
+from .windows import best_confidence
 
 #: Samples that one matrix product filters.
 BLOCK = 256
@@ -133,3 +135,12 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
     rows = rows.withColumn("_bad", F.max("_wrong").over(group)).drop("_n", "_wrong")
     fine, bad = rows.where(~F.col("_bad")).drop("_bad"), rows.where("_bad").drop("_bad")
     return fine.unionByName(_dealt(bad, keys).groupBy(*keys).applyInPandas(work, df.schema))
+
+
+def clean_trajectories(df: DataFrame, c: HiveConfig, confidence: float, least: int = 10, max_speed: float | None = None, shift_hours: float = 0.0, every: int = 1) -> DataFrame:
+    """Raw detections (confidence, ts, geometry) as trajectories: the best detection of each frame, if above `confidence`;
+    hours with fewer than `least` rows go; speed errors go (`drop_speed_errors`); the clock is shifted; every k-th frame stays.
+    """
+    hours = best_confidence(df, confidence).withColumn("_hour", F.expr(f"framenum div {c.frames_per_day // 24}"))
+    kept = drop_speed_errors(hours, c, ["uid", "daynum", "_hour"], max_speed, least).drop("_hour")
+    return kept.withColumn("framenum", shifted(F.col("framenum"), shift_hours, c)).where(F.col("framenum") % every == 0)

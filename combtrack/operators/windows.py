@@ -79,6 +79,34 @@ def largest_gap(df: DataFrame) -> DataFrame:
     return best.select("uid", "daynum", (-F.col("m.f")).alias("left"), (F.col("m.gap") - F.col("m.f")).alias("back"), F.col("m.gap").alias("gap"))
 
 
+def around_gap(events: DataFrame, rows: DataFrame, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """The longest absence of an individual round each event (event_id, uid, daynum, framenum), and the sightings round that.
+
+    First (event_id, uid, daynum, new_frame, return_frame, last_frame): in the closed window of frames round the event,
+    the frame after the sighting before the longest gap (the first of equal ones), the sighting after it, or -1 where
+    the day's last sighting is at that new frame, and the last sighting. An event with fewer than two sightings in its
+    window has null frames. Second (event_id, daynum, uid, framenum, sighting) of the window round the new frame.
+    """
+    e = events.select("event_id", "uid", "daynum", F.col("framenum").alias("_at"))
+    r = rows.select("uid", "daynum", "framenum", F.col("event_id").alias("sighting"))
+    last = r.groupBy("uid", "daynum").agg(F.max("framenum").alias("last_frame"))
+    near = e.join(r, ["uid", "daynum"]).where(F.col("framenum").between(F.col("_at") - before, F.col("_at") + after))
+    following = F.lead("framenum").over(Window.partitionBy("event_id").orderBy("framenum", "sighting"))
+    gaps = near.withColumn("_next", following).where("_next is not null")
+    best = gaps.groupBy("event_id").agg(F.max(F.struct((F.col("_next") - F.col("framenum")).alias("gap"), (-F.col("framenum")).alias("f"))).alias("_m"))
+    new = e.join(best, "event_id", "left").join(last, ["uid", "daynum"], "left").withColumn("new_frame", 1 - F.col("_m.f"))
+    back = F.when(F.col("last_frame") == F.col("new_frame"), -1).otherwise(F.col("_m.gap") - F.col("_m.f"))
+    found = new.select("event_id", "uid", "daynum", "new_frame", F.when(F.col("new_frame").isNotNull(), back).alias("return_frame"), "last_frame")
+    view = found.join(r, ["uid", "daynum"]).where(F.col("framenum").between(F.col("new_frame") - before, F.col("new_frame") + after))
+    return found, view.select("event_id", "daynum", "uid", "framenum", "sighting")
+
+
+def numbered_rows(df: DataFrame, every: int) -> DataFrame:
+    """`index` of each sighting in its individual's day, from 0, and `phase`, the index modulo `every`."""
+    out = df.withColumn("index", F.row_number().over(by_day()) - 1)
+    return out.withColumn("phase", F.col("index") % every)
+
+
 def best_confidence(df: DataFrame, threshold: float) -> DataFrame:
     """The detection of highest confidence per individual and frame (ties: the latest, then the higher event), if above the threshold."""
     w = Window.partitionBy("uid", "daynum", "framenum").orderBy(F.desc("confidence"), F.desc("ts"), F.desc("event_id"))

@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from . import catalogue, surfaces  # noqa: F401  (surfaces adds to the catalogue)
+from . import catalogue, seasons, surfaces  # noqa: F401  (they add to the catalogue)
