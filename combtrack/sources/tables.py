@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import HIVE_2018, HiveConfig
@@ -60,6 +60,41 @@ def write_days(df: DataFrame, path: str, mode: str = "error") -> None:
     df.repartition("daynum").sortWithinPartitions("uid", "framenum").write.partitionBy("daynum").option("compression", "zstd").mode(mode).parquet(path)
 
 
+def day_paths(days: Sequence[int], template: str, folders: dict[tuple[int, int], str]) -> list[str]:
+    """Paths of the days' files: `template` has {folder} and {day}, with any padding; `folders` by range of days, ends included."""
+    out = []
+    for day in days:
+        folder = next((f for (a, b), f in folders.items() if a <= day <= b), None)
+        if folder is None:
+            raise ValueError(f"no folder for day {day}")
+        out.append(template.format(folder=folder, day=day))
+    return out
+
+
+def read_day_files(spark: SparkSession, days: Sequence[int], template: str, folders: dict[tuple[int, int], str]) -> DataFrame:
+    """The Parquet files of some days, one a day; no days are an error, as they have no schema."""
+    return spark.read.parquet(*day_paths(days, template, folders))
+
+
+def convert_days(df: DataFrame, path: str, whole: Sequence[str], mode: str = "error") -> None:
+    """Writes a table by day with the columns of whole numbers, however they came, as integers; text that is no number is null."""
+    casts = {c: F.col(c).try_cast("double").try_cast("int") for c in whole}
+    write_days(df.withColumns(casts), path, mode)
+
+
+def read_rasters(spark: SparkSession, path: str) -> DataFrame:
+    """(measurement, nth, raster_id, height, width, pixels) of the images in `path`/<measurement>/, numbered by name.
+
+    Pixels are three bytes each in the order blue, green, red, as Spark's image source has them; of other images only
+    those of three channels are read. A raster's id is 2 * measurement + nth, as a measurement has a pair of images.
+    """
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
+    images = images.where("nChannels = 3").withColumn("measurement", F.regexp_extract("origin", "/([0-9]+)/[^/]*$", 1).try_cast("int"))
+    nth = F.row_number().over(Window.partitionBy("measurement").orderBy("origin")) - 1
+    out = images.where("measurement is not null").withColumn("nth", nth)
+    return out.select("measurement", "nth", (2 * F.col("measurement") + F.col("nth")).cast("bigint").alias("raster_id"), "height", "width", F.col("data").alias("pixels"))
+
+
 def read_days(spark: SparkSession, path: str, days: Sequence[int]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("daynum").isin(list(days)))
 
