@@ -55,8 +55,8 @@ def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the numbers of elements by residue of their hash, of a power of two of residues near twice the size."""
-    bits = 1 << max(8, min(14, int(2 * len(own) - 1).bit_length())) if len(own) else 256
+    """Parities of the numbers of elements by residue of their hash, of a power of two of residues near the size."""
+    bits = 1 << max(8, min(13, int(len(own) - 1).bit_length())) if len(own) else 256
     parity = np.bincount((own & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
