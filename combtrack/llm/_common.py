@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -130,12 +130,14 @@ def word_bytes(texts: list[bytes], lower: bool = False) -> tuple[pa.Array, np.nd
 
 
 def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word (2, words), halves of a BLAKE2b digest of its bytes, and each text's offset."""
+    """Two independent 64-bit hashes of each word (2, words), halves of the 128-bit XXH3 of its bytes, and each text's offset."""
     array, offsets = word_bytes(texts, lower)
     if not len(array):
         return np.zeros((2, 0), np.uint64), offsets
     coded = array.dictionary_encode()
-    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+    _, ends, data = coded.dictionary.buffers()
+    at, data = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+    digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at, at[1:], strict=False)])
     lanes = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
     return np.ascontiguousarray(lanes[:, coded.indices.to_numpy()]), offsets
 
