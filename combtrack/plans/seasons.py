@@ -11,8 +11,9 @@ from ..operators import events as ev
 from ..operators import identity, models, sampling, signal, stats, substrate, timebins, training
 from ..operators import states as st
 from ..operators import windows as w
+from ..sources import tables
 from ..sources.tables import detections, scan_detections, table
-from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, LOOK_BACK, STEP, _geo, _in_hive, _leaves, _speeds, _visits, query, r6
+from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, LOOK_BACK, STEP, _binned, _geo, _in_hive, _leaves, _speeds, _visits, query, r6
 from .surfaces import AT, _at
 
 # Two individuals, so that an hour has enough rows; parts of twenty minutes and steps of up to two hours.
@@ -298,3 +299,34 @@ def scan_by_ids(spark, d):
 def knn_grid(spark, d):
     """Accuracy of the vote by number of neighbours and weighting."""
     return models.best_neighbours(table(spark, d, "embeddings"), range(2, 11), "embedding", "label", "vec_id").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(DET + " SELECT event_id, framenum FROM det WHERE framenum % 3 = 0")
+def every_third_frame(spark, d):
+    return detections(spark, d, C).where("framenum % 3 = 0").select("event_id", "framenum")
+
+
+@query(STEP + " SELECT event_id, round(speed, 6) AS speed, round(distance, 6) AS distance FROM spd WHERE speed IS NOT NULL AND distance IS NOT NULL")
+def complete_rows(spark, d):
+    return _speeds(spark, d).dropna(subset=["speed", "distance"]).select("event_id", r6("speed", "speed"), r6("distance", "distance"))
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS exp_day FROM nation WHERE n_regionkey = 1 UNION ALL SELECT CAST(n_nationkey AS INTEGER) FROM nation WHERE n_regionkey = 3")
+def flagged_days(spark, d):
+    """Days of a calendar made of the nations whose flag is set, and those with a label."""
+    flag = F.when(F.col("n_regionkey") == 1, "TRUE").when(F.col("n_regionkey") == 3, "half").otherwise("FALSE")
+    calendar = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("exp_day"), flag.alias("rest_day"))
+    return tables.flagged_days(calendar, "rest_day").unionAll(tables.flagged_days(calendar, "rest_day", "half"))
+
+
+@query(GRID + f", dd AS (SELECT uid, daynum, td, lead(state) OVER (PARTITION BY uid, daynum ORDER BY td) - state AS diff FROM inh) SELECT uid, daynum, CAST(td * {HOUR} AS INTEGER) AS framenum FROM dd WHERE diff = 1")
+def hive_returns(spark, d):
+    """When individuals come back: the other direction of the list of leaves."""
+    return st.hive_events(_in_hive(spark, d), ["uid", "daynum"], BINS, DAY).where("diff = 1").select("uid", "daynum", "framenum")
+
+
+@query(GRID.replace("p.td = CASE WHEN a.nseg = 1 THEN 0 WHEN a.obs THEN a.s WHEN", "p.td = CASE WHEN a.nseg = 1 THEN 0 WHEN a.obs THEN a.td WHEN") + " SELECT uid, daynum, td, state FROM ons")
+def on_substrate_per_bin(spark, d):
+    """Each seen bin's own state, instead of that of its run's first."""
+    rows = _binned(spark, d)
+    return st.on_substrate(rows, ["uid", "daynum"], BINS, F.col("n") >= 1, F.col("top") > 0.5, per_bin=True)

@@ -20,6 +20,18 @@ def test_windows_of_a_stream(spark, tmp_path):
         assert own == batch  # the last row moves the watermark past all others
 
 
+def test_first_detections_of_a_stream(spark, tmp_path):
+    """Of repeated detections one stays, whichever file it comes in."""
+    for rows in ([(1, 0), (1, 0), (2, 0)], [(1, 0), (1, 30), (2, 0)], [(2, 59), (2, 59)]):
+        df = spark.createDataFrame([(u, f"2024-01-01 00:00:{s:02d}") for u, s in rows], "uid int, at string").select("uid", F.to_timestamp("at").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windows.first_detections(stream).writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["uid"], r["ts"].second) for r in spark.table("firsts").collect()) == [(1, 0), (1, 30), (2, 0), (2, 59)]
+
+
 def test_samples_are_fixed_by_the_seed(spark):
     df = spark.range(100).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
     one = sorted(r["id"] for r in balanced_sample(df, "label", "id", 8, 1).collect())
