@@ -152,17 +152,39 @@ def extend(keys: np.ndarray, left: list[bytes], right: list[bytes], lo: np.ndarr
     return before, after
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200, group_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
+#: Parts into which the rows of an anchor that a sample finds often are dealt.
+SALTS = 64
+
+
+def _often(texts: DataFrame, length: int, sample_docs: int) -> np.ndarray:
+    """Sorted hashes of anchors that many documents of a bounded sample hold; they only decide how rows are dealt out."""
+    count = texts.count()
+    step = max(1, -(-count // sample_docs))
+
+    def spread(batches):
+        for batch in slices(batches):
+            own, _, anchor, _ = find_anchors(utf8(batch.column("text")), length)
+            pairs = np.unique(np.stack([own.astype(np.uint64), anchor]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["h"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).mapInArrow(spread, "h bigint")
+    often = sampled.groupBy("h").count().where(F.col("count") >= max(8, min(count, sample_docs) // 200)).orderBy(F.desc("count"), "h").limit(50_000)
+    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200, group_rows: int = 4096, sample_docs: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, marks) and (doc_id, starts, ends): what repeats of `length` bytes cover, as marked anchors and as spans.
 
-    1. Anchors of all texts, dealt out by hash. Where a whole context occurs again, all windows round it are repeats:
-       mark 1. Where contexts of an anchor differ, one occurrence of each (mark 2) is sent on with its context.
+    1. Anchors of all texts, dealt out by hash, those that a bounded sample finds often in parts that are then summed.
+       Where a whole context occurs again, all windows round it are repeats: mark 1. Where contexts of an anchor differ,
+       one occurrence of each (mark 2) is sent on with its context.
     2. The contexts of each anchor go through `extend`. An anchor with over `group_rows` contexts is first divided by
        the bytes that all windows of a half have in common, again and again: occurrences with all bytes of the half
        alike are repeats and one of them stays for the others, one without company is none, and small groups go on.
     """
     reach = length - ANCHOR
     texts = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    often = _often(texts, length, sample_docs)
 
     def find(batches):
         for batch in slices(batches):
@@ -177,15 +199,24 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
             for i in np.flatnonzero(times > 1).tolist():
                 rest[i] = place[at[i] + 1 : at[i] + times[i]]
             ids = batch.column("doc_id").to_numpy()[own[at]]
+            part = np.where(np.isin(anchor[at], often), 1 + ids % SALTS, 0).astype(np.int32)
             halves = [pa.array(np.ascontiguousarray(context[at, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), *halves, pa.array(ids), pa.array(place[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(rest, pa.list_(pa.int64()))], ["h", "c1", "c2", "doc_id", "pos", "times", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(part), *halves, pa.array(ids), pa.array(place[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(rest, pa.list_(pa.int64()))], ["h", "part", "c1", "c2", "doc_id", "pos", "times", "rest"])
 
-    seen = texts.mapInArrow(find, "h bigint, c1 bigint, c2 bigint, doc_id bigint, pos int, times int, rest array<bigint>").repartition("h")
-    whole = "over (partition by h, c1, c2 order by doc_id, pos"
+    seen = texts.mapInArrow(find, "h bigint, part int, c1 bigint, c2 bigint, doc_id bigint, pos int, times int, rest array<bigint>").repartition("h", "part")
+    whole = "over (partition by h, part, c1, c2 order by doc_id, pos"
     seen = seen.selectExpr("*", f"sum(times) {whole} rows between unbounded preceding and unbounded following) as same", f"row_number() {whole}) as nth")
-    seen = seen.selectExpr("*", "sum(int(nth = 1)) over (partition by h) as kinds")
-    mark = f"int(same >= 2) + 2 * int(kinds > 1 and nth = 1) + 4 * int(kinds > {group_rows})"
-    marks = materialize(seen.where("same >= 2 or kinds > 1").selectExpr("doc_id", f"concat(array(bigint(pos) * 8 + {mark}), coalesce(transform(rest, p -> p * 8 + 1), array())) as mark").groupBy("doc_id").agg(F.flatten(F.collect_list("mark")).alias("marks")))
+    seen = seen.selectExpr("*", "sum(int(nth = 1)) over (partition by h, part) as kinds")
+    seen = materialize(seen.where("part > 0 or same >= 2 or kinds > 1").drop("times"))
+    parts = seen.where("part > 0 and nth = 1").groupBy("h", "c1", "c2").agg(F.sum("same").alias("same"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    parts = materialize(parts)
+    kinds = parts.groupBy("h").agg(F.count("*").alias("kinds"))
+    summed = parts.join(kinds, "h").where("same >= 2 or kinds > 1")
+    columns = ["doc_id", "pos", "rest", "same", "kinds", "first"]
+    hot = seen.where("part > 0").drop("same", "kinds", "nth").join(summed, ["h", "c1", "c2"]).withColumn("first", F.expr("first = struct(doc_id, pos)")).select(columns)
+    seen = seen.where("part = 0").withColumn("first", F.expr("nth = 1")).select(columns).unionByName(hot)
+    mark = f"int(same >= 2) + 2 * int(kinds > 1 and first) + 4 * int(kinds > {group_rows})"
+    marks = materialize(seen.selectExpr("doc_id", f"concat(array(bigint(pos) * 8 + {mark}), coalesce(transform(rest, p -> p * 8 + 1), array())) as mark").groupBy("doc_id").agg(F.flatten(F.collect_list("mark")).alias("marks")))
 
     def send(batches):
         names = ["key", "doc_id", "pos", "wanted", "lo", "hi", "lefts", "rights", "big"]
@@ -248,7 +279,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 20
     return marks.select("doc_id", F.expr("filter(marks, m -> m & 1 > 0)").alias("marks")).where("size(marks) > 0"), spans
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, group_rows: int = 1000) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, group_rows: int = 4096) -> DataFrame:
     """All columns and `kept` (binary: the bytes that stay); with `digest` (doc_id, n_bytes, n_removed, n_spans, kept_sha256).
 
     A byte of a text's UTF-8 goes if a string of `length` bytes that covers it starts anywhere else, in the same
