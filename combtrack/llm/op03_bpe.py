@@ -10,8 +10,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import utf8  # noqa: F401  (re-exported for tests)
-
 #: After a non-space and before one space and a non-space every match of the pattern ends.
 _SAFE = regex.compile(r"(?<=\S)(?= \S)")
 _CODERS: dict = {}
@@ -53,7 +51,8 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(doc_id, ids array<int>): the ids of every whole text, without special tokens.
 
     Null and empty texts give an empty list; long texts are encoded piece by piece, cut where no match of the
-    pattern crosses (before a single space between two non-spaces). Null ids and repeated rows stay as they are;
+    pattern crosses (before a single space between two non-spaces); a text without such a place is encoded in one piece,
+    with memory for all of it. Strings of special tokens are ordinary text. Null ids and repeated rows stay as they are;
     other columns are not read.
     """
 
@@ -81,7 +80,10 @@ def decode_bpe(coded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = 1 << 16) -> DataFrame:
-    """encode_bpe and decode_bpe of every text in one pass, as digests: neither ids nor bytes leave the worker."""
+    """encode_bpe and decode_bpe of every text in one pass, as digests: neither ids nor bytes leave the worker.
+
+    Null and empty texts have no tokens; null ids and repeated rows stay as they are; other columns are not read.
+    """
 
     def run(batches):
         enc = coder(path, pattern)

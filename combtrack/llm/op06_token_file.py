@@ -103,22 +103,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, pattern: str
 
     Texts are dealt out by ranges of doc_id and sorted; each task cuts its ids into files of about `file_ids` ids
     (whole documents), kept as rows (part, seq, before, doc_ids, lengths, data) of a parquet table in the shared folder; `before` counts the part's ids ahead. Null
-    texts are empty; null ids come first; repeated rows stay, those of one id in the order of their texts' hashes.
+    texts are empty; null ids come first; repeated rows stay, those of one id in the order of their texts' hashes. Ids
+    may be of any type that Spark orders; other columns are not read.
     """
     spark = docs.sparkSession
     path = path or work_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder, end = text_encoder(tokenizer, pattern), struct.pack("<I", end_id)
+        coder, end, of_ids = text_encoder(tokenizer, pattern), struct.pack("<I", end_id), None
         part, seq, before, held, names, sizes, size = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def file():
             data = pack_ids(np.frombuffer(b"".join(held), np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "before", "doc_ids", "lengths", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(of_ids)), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "before", "doc_ids", "lengths", "n_ids", "data"])
 
         for batch in batches:
+            of_ids = batch.column("doc_id").type
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = coder.encode(text.as_py() or "") + end
                 held.append(ids)
@@ -132,7 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, pattern: str
             yield file()
 
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, seq int, before bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, data binary").write.parquet(path)
+    ordered.mapInArrow(run, f"part int, seq int, before bigint, doc_ids array<{kind}>, lengths array<bigint>, n_ids bigint, data binary").write.parquet(path)
     return path
 
 
@@ -150,6 +153,7 @@ def _read(spark, path: str, ids: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            of_ids = batch.column("doc_ids").type.value_type
             for row in batch.to_pylist():
                 own = unpack_ids(row["data"]).astype("<u4")
                 ends = np.cumsum(row["lengths"])
@@ -159,12 +163,16 @@ def _read(spark, path: str, ids: bool) -> DataFrame:
                     last = pa.array([own[a:b].astype(np.int64) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64()))
                 else:
                     last = pa.array([zlib.crc32(own[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), place, pa.array(row["lengths"], pa.int64()), last], ["doc_id", "start", "n_tokens", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], of_ids), place, pa.array(row["lengths"], pa.int64()), last], ["doc_id", "start", "n_tokens", "last"])
 
     rows = files.select("part", "before", "doc_ids", "lengths", "data")
-    return rows.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, last {'array<bigint>' if ids else 'bigint'}").withColumnRenamed("last", "ids" if ids else "ids_crc32")
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, last {'array<bigint>' if ids else 'bigint'}").withColumnRenamed("last", "ids" if ids else "ids_crc32")
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from the files that write_token_files writes."""
+    """(doc_id, start, n_tokens, ids_crc32) read back from the files that write_token_files writes.
+
+    Null and empty texts have the end id alone; null ids, repeated rows and other columns are as in write_token_files.
+    """
     return _read(docs.sparkSession, write_token_files(docs, tokenizer, end_id, **options), False)

@@ -279,6 +279,43 @@ def test_token_files(docs, rows, empty):
     assert op06_token_file.token_file_digests(empty, path, 1).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_token_files_of_odd_rows(spark, kind):
+    """Null and repeated ids, ids of text, and the ids themselves read back."""
+    path = tok.path("word_bpe_49k.json")
+    texts = [("10", "ten words"), ("2", "two"), ("2", None), (None, "nobody"), ("2", "two")]
+    df = spark.createDataFrame([(None if i is None else i if kind == "string" else int(i), t) for i, t in texts], f"doc_id {kind}, text string").repartition(2)
+    folder = op06_token_file.write_token_files(df, path, 1, file_ids=2)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], list(r["ids"])) for r in op06_token_file.read_token_files(spark, folder).collect())
+    want = {t: list(np.frombuffer(text_encoder(path).encode(t or ""), "<u4")) + [1] for _, t in texts}
+    assert [r[1] for r in got] == [None, *(["10", "2", "2", "2"] if kind == "string" else [2, 2, 2, 10])]
+    assert Counter((r[1] and str(r[1]), tuple(r[3])) for r in got) == Counter((i, tuple(want[t])) for i, t in texts)
+    at = 0
+    for start, _, n, ids in got:
+        assert (start, n) == (at, len(ids))
+        at += n
+
+
+def test_bpe_of_odd_rows(spark, empty):
+    path = tok.path("byte_bpe_50k.tiktoken")
+    enc, long = op03_bpe.coder(path, tok.PATTERN), "x" * 70_000
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (2, long)], "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in op03_bpe.bpe_digests(df, path, tok.PATTERN).collect())
+    assert got == Counter([(None, 2), (None, 2), (1, 0), (2, len(enc.encode_ordinary(long)))])
+    assert op03_bpe.bpe_digests(empty, path, tok.PATTERN).count() == op03_bpe.decode_bpe(op03_bpe.encode_bpe(empty, path, tok.PATTERN), path, tok.PATTERN).count() == 0
+
+
+def test_jaccard_of_odd_rows(spark):
+    """Null ids are left out; an id's rows are one document's; long texts have many prefix rows."""
+    rng = random.Random(7)
+    make = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long, a, b = make(4000), make(50), make(50)
+    rows = [(1, long), (2, long + " end"), (3, a), (4, a), (4, b), (5, b), (6, b), (7, make(4000)), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in op01_jaccard.jaccard_components(df, 3, 90, 100).collect())
+    assert got == Counter([(1, 1), (2, 1), (3, 3), (4, 3), (4, 3), (5, 3), (6, 3), (7, 7)])
+
+
 def test_packing(docs, rows, empty):
     path = tok.path("byte_bpe_50k.json")
     got = op07_packing.pack_tokens(docs, path, 0, tok.PATTERN, size=64, shard_docs=16).collect()
