@@ -71,11 +71,21 @@ def _clipped(x: np.ndarray) -> np.ndarray:
 
 
 def survivors(lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) that may be among a query's k best: the upper bound reaches the kth best lower one."""
+    """Pairs (query, vector) that may be among a query's k best.
+
+    The upper bound passes the kth best lower one, or reaches it with an id no larger than that one's: of equal vectors
+    whose cells are exact no more than k survive.
+    """
     own = query_ids[:, None] == ids[None, :]
     lower = np.where(own, LEAST, lower)
-    kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(query_ids), LEAST)
-    return np.nonzero((upper >= kth[:, None]) & ~own)
+    if len(ids) <= k:
+        return np.nonzero(~own)
+    kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
+    last = np.full(len(kth), MOST)  # the id of the kth best: of those at its bound the first few by id are in
+    for i in np.flatnonzero(kth > LEAST).tolist():
+        tied, room = ids[lower[i] == kth[i]], k - int((lower[i] > kth[i]).sum())
+        last[i] = np.partition(tied, room - 1)[room - 1]
+    return np.nonzero(((upper > kth[:, None]) | ((upper == kth[:, None]) & (ids[None, :] <= last[:, None]))) & ~own)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> int:
@@ -166,7 +176,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     def kth_best(df: DataFrame, column: str) -> DataFrame:
         best = Window.partitionBy("query_id").orderBy(F.desc(column), "vec_id")
-        return df.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col(column).alias("least"))
+        return df.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col(column).alias("least"), F.col("vec_id").alias("last"))
 
     def exact(batches):
         for batch in batches:
@@ -178,9 +188,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         pairs = pairs.select("query_id", "vec_id").join(source.selectExpr("id as vec_id", "v"), "vec_id").join(asked.selectExpr("id as query_id", "v as q"), "query_id")
         return pairs.mapInArrow(exact, "query_id bigint, vec_id bigint, score bigint")
 
-    left = met.join(kth_best(met, "lower"), "query_id", "left").where("least is null or upper >= least").drop("least")
+    left = met.join(kth_best(met, "lower"), "query_id", "left").where("least is null or upper > least or upper = least and vec_id <= last").drop("least", "last")
     left = materialize(left.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))))
     first = materialize(read(left.where(F.col("nth") <= 2 * k)))
-    rest = left.where(F.col("nth") > 2 * k).join(kth_best(first, "score"), "query_id").where("upper >= least")
+    rest = left.where(F.col("nth") > 2 * k).join(kth_best(first, "score"), "query_id").where("upper > least or upper = least and vec_id < last")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.unionAll(read(rest)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
