@@ -82,6 +82,7 @@ class SuffixAutomaton:
         for state, row in enumerate(self.moves):
             for c, to in row.items():
                 out[state, c] = to * ALPHABET * 2
+        out[0] |= 1  # a phrase begins with every move away from the root, also behind a symbol that the sample lacks
         return out.ravel()
 
 
