@@ -71,15 +71,24 @@ def pivot_state(states: DataFrame, bins: int) -> DataFrame:
 
 
 def upsampled(df: DataFrame, step: int, columns: list[str]) -> DataFrame:
-    """A row every `step` frames between an individual's first and last sighting of the day, columns interpolated linearly."""
+    """A row every `step` frames between an individual's first and last sighting of the day, columns interpolated linearly.
+
+    Every column goes by its own sightings, those where it isn't null: between two of them by their frames, beyond its
+    first or last one it keeps that value.
+    """
     ends = df.groupBy("uid", "daynum").agg(F.min("framenum").alias("_a"), F.max("framenum").alias("_b"))
     full = ends.select("uid", "daynum", F.explode(F.sequence("_a", "_b", F.lit(step))).alias("framenum"))
     both = full.withColumn("_grid", F.lit(True)).join(df.select("uid", "daynum", "framenum", *columns), ["uid", "daynum", "framenum"], "full")
     before, after = by_day().rowsBetween(Window.unboundedPreceding, 0), by_day().rowsBetween(0, Window.unboundedFollowing)
-    seen = F.when(F.col(columns[0]).isNotNull(), F.col("framenum"))
-    both = both.withColumns({"_f0": F.last(seen, True).over(before), "_f1": F.first(seen, True).over(after)} | {f"_{c}0": F.last(c, True).over(before) for c in columns} | {f"_{c}1": F.first(c, True).over(after) for c in columns})
-    share = F.coalesce(F.try_divide(F.col("framenum") - F.col("_f0"), F.col("_f1") - F.col("_f0")), F.lit(0.0))
-    return both.where("_grid").select("uid", "daynum", "framenum", *[(F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * share).alias(c) for c in columns])
+    seen = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("framenum").alias("f"), F.col(c).alias("v"))) for c in columns}
+    both = both.withColumns({f"_{c}0": F.last(x, True).over(before) for c, x in seen.items()} | {f"_{c}1": F.first(x, True).over(after) for c, x in seen.items()})
+
+    def between(c: str) -> Column:
+        a, b = F.col(f"_{c}0"), F.col(f"_{c}1")
+        share = F.coalesce(F.try_divide(F.col("framenum") - a["f"], b["f"] - a["f"]), F.lit(0.0))
+        return F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share).alias(c)
+
+    return both.where("_grid").select("uid", "daynum", "framenum", *map(between, columns))
 
 
 def first_fine(starts: DataFrame, rows: DataFrame, width: int, frames_per_day: int, flag: Column) -> DataFrame:

@@ -107,15 +107,16 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
 
     Each pass drops the later row of every such step, and the first row if the first step is one. Groups of fewer than
     `least` rows go; one that shrinks below it keeps what is left. Needs `fx`, `fy`, `camera`; a step with a null or in no
-    time isn't an error unless it moves. A group is an individual's hour (or day), which the clock bounds; only groups
+    time isn't an error unless it moves. Rows of one time go by `framenum` and `event_id`, so that their arrival doesn't matter. A group is an individual's hour (or day), which the clock bounds; only groups
     that have an error leave the JVM.
     """
     limit = c.max_speed if max_speed is None else max_speed
+    order = [at, *(k for k in ("framenum", "event_id") if k in df.columns and k != at)]
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < least:
             return rows.iloc[:0]
-        rows = rows.sort_values(at, kind="stable")
+        rows = rows.sort_values(order, kind="stable")
         x, y, camera = rows["fx"].to_numpy(float), rows["fy"].to_numpy(float), rows["camera"].to_numpy(float)
         seconds, left = rows[at].astype("int64").to_numpy() / float(pd.Timedelta(1, "s") / pd.Timedelta(1, rows[at].dt.unit)), np.arange(len(rows))
         while len(left) >= least:
@@ -127,7 +128,7 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
             left = left[keep]
         return rows.iloc[left]
 
-    group, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(at)
+    group, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order)
     step = F.hypot(F.col("fx") - F.lag("fx").over(w), F.col("fy") - F.lag("fy").over(w))
     seconds = (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 1_000_000
     wrong = F.coalesce((step > limit * seconds) & (F.col("camera") == F.lag("camera").over(w)), F.lit(False))

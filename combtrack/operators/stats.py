@@ -16,44 +16,77 @@ def cut(value: Column, edges: list[float]) -> Column:
     return out
 
 
-#: At most so many values part the distinct ones into ranges, each of which is a task's.
-RANGES = 256
+#: At most so many values part the distinct ones into ranges, each of which is a task's; looked up in two steps of STEP.
+RANGES, STEP = 256, 16
 
 
-def numbered_values(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, before, total): the distinct values, how often each occurs, rows below it, rows in all; nulls are left out.
+def _in_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """`_range`: counts of values (keys, value, n) dealt into ranges of each key's values, between values that a hash picks.
 
-    Values are counted, and the counts dealt into ranges between values that a hash picks, so the picks are the same
-    whenever they are computed. Sums within ranges and the few ranges' totals give the rows below: no task sees all.
+    The picks are the same whenever they are computed. A row of at most RANGES values a key is joined to the counts, and
+    a value looks for its place among every STEP-th of them, then among those between.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     mixed = F.xxhash64("value")
-    picked = counts.groupBy(F.pmod(mixed, F.lit(RANGES))).agg(F.min_by("value", mixed).alias("value"))
-    picks = F.broadcast(picked.agg(F.sort_array(F.collect_list("value")).alias("_picks")))  # one row of at most RANGES values
-    dealt = counts.crossJoin(picks).withColumn("_range", F.size(F.filter("_picks", lambda x: x <= F.col("value")))).drop("_picks")
-    totals = dealt.groupBy("_range").agg(F.sum("n").alias("_n")).agg(F.collect_list(F.struct("_range", "_n")).alias("_totals"))  # a row of ranges
-    inside = Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).crossJoin(F.broadcast(totals))
-    added = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y["_n"])
-    lower = F.filter("_totals", lambda x: x["_range"] < F.col("_range"))
-    return out.select("value", "n", (F.col("_in") + added(lower)).alias("before"), added(F.col("_totals")).alias("total"))
+    picked = counts.groupBy(*keys, F.pmod(mixed, F.lit(RANGES)).alias("_p")).agg(F.min_by("value", mixed).alias("value"))
+    picks = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_picks"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(RANGES // STEP)), lambda i: F.get("_picks", i * STEP - 1))
+    picks = picks.withColumn("_coarse", F.filter(every, lambda x: x.isNotNull()))
+    dealt = counts.join(F.broadcast(picks), keys) if keys else counts.crossJoin(F.broadcast(picks))
+    upto = lambda values: F.size(F.filter(values, lambda x: x <= F.col("value")))
+    dealt = dealt.withColumn("_c", upto(F.col("_coarse")) * STEP)
+    return dealt.withColumn("_range", F.col("_c") + upto(F.slice("_picks", F.col("_c") + 1, F.lit(STEP)))).drop("_picks", "_coarse", "_c")
+
+
+def _ranges(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _range, _start, _size, total): rows below each range, in it, and in all; at most RANGES + 1 rows a key."""
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("n").alias("_size"))
+    whole = Window.partitionBy(*keys)
+    start = F.coalesce(F.sum("_size").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumns({"_start": start, "total": F.sum("_size").over(whole)})
+
+
+def numbered_values(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys, value, n, before, total): each key's distinct values, how often each occurs, the key's rows below it and in all; nulls are left out.
+
+    Values are counted and the counts dealt into ranges. Sums within ranges and the few ranges' totals give the rows
+    below: no task sees a whole key. There should be few keys, as some rows of each are broadcast; a null key is left out.
+    """
+    keys = list(keys)
+    known = df.dropna(subset=[column, *keys])
+    dealt = _in_ranges(known.groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("n")), keys)
+    return _below(dealt, _ranges(dealt, keys), keys).select(*keys, "value", "n", "before", "total")
+
+
+def _below(dealt: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """`before` of the values whose range is among `ranges`."""
+    inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(ranges), [*keys, "_range"])
+    return out.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_start"))
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row, `_q`: the exact quantiles, interpolated linearly between the values next to them; null without values."""
-    at = lambda p: (F.col("total") - 1) * F.lit(float(p))
-    near = F.array(*[x for p in shares for x in (F.floor(at(p)), F.ceil(at(p)))])
-    held = numbered_values(df, column).where(F.exists(near, lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n"))))
-    row = held.agg(F.collect_list(F.struct("before", "n", "value")).alias("_held"), F.max("total").alias("total"))
+    """One row, `_q`: the exact quantiles, interpolated linearly between the values next to them; null without values.
 
-    def value_at(x: Column) -> Column:
-        return F.get(F.filter("_held", lambda h: (h["before"] <= x) & (x < h["before"] + h["n"])), F.lit(0))["value"].cast("double")
+    Selection by ranges: the few rows of ranges tell which of them hold wanted ranks, and only values of those ranges
+    are put in order.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    dealt = _in_ranges(counts, [])
+    wanted = F.array(*[F.lit(float(p)) for p in shares])
+    at = lambda p: (F.col("total") - 1) * p
+    within = lambda x, start, n: (x >= start) & (x < start + n)
+    near = F.flatten(F.transform(wanted, lambda p: F.array(F.floor(at(p)), F.ceil(at(p)))))
+    ranges = _ranges(dealt, []).withColumn("_near", F.filter(near, lambda x: within(x, F.col("_start"), F.col("_size")))).where(F.size("_near") > 0)
+    held = _below(dealt, ranges, []).where(F.exists("_near", lambda x: within(x, F.col("before"), F.col("n"))))
+    row = held.agg(F.collect_list(F.struct("before", "n", F.col("value").cast("double").alias("value"))).alias("_held"), F.max("total").alias("total"))
 
-    def one(p: float) -> Column:
-        lower, upper = F.floor(at(p)), F.ceil(at(p))
-        return F.when(lower == upper, value_at(lower)).otherwise((upper - at(p)) * value_at(lower) + (at(p) - lower) * value_at(upper))
+    def one(p: Column) -> Column:
+        value_at = lambda x: F.get(F.filter("_held", lambda h: within(x, h["before"], h["n"])), F.lit(0))["value"]
+        share = at(p) - F.floor(at(p))
+        low, high = value_at(F.floor(at(p))), value_at(F.ceil(at(p)))
+        return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
 
-    return row.select(F.when(F.col("total").isNotNull(), F.array(*map(one, shares))).alias("_q"))
+    return row.select(F.when(F.col("total").isNotNull(), F.transform(wanted, one)).alias("_q"))
 
 
 def qcut(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -90,18 +123,42 @@ def equal_width_edges(low: float, high: float, n: int) -> list[float]:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, r): Pearson correlation of average ranks over the rows that have both."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    out = both.join(ranked(both, a).toDF(a, "_ra"), a).join(ranked(both, b).toDF(b, "_rb"), b)
-    return out.agg(F.corr("_ra", "_rb").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
+    return spearman_matrix(df, [a, b])
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs i < j; ranks are those among the rows that have both."""
-    out = None
-    for a, b in combinations(columns, 2):
-        one = spearman(df, a, b)
-        out = one if out is None else out.unionAll(one)
-    return out
+    """(a, b, r) of all pairs i < j; ranks are those among the rows that have both; null without rows or spread.
+
+    Distinct rows are counted once. All columns' values are ranked together: under a key for the column, and one for each
+    other column whose nulls leave rows of it out. A row's ranks then meet again, and one aggregate takes the sums of
+    every pair.
+    """
+    pairs, n = list(combinations(range(len(columns)), 2)), len(columns)
+    rows = df.groupBy(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("_n"))
+    rows = rows.select(F.array(*[f"_v{i}" for i in range(n)]).alias("_row"), "_n")
+    # key i * (n + 1) is column i among all its rows, i * (n + 1) + 1 + j among those that have j
+    keyed = [(i, j) for i in range(n) for j in range(-1, n) if j != i]
+    cells = F.array(*[F.struct(F.lit(i * (n + 1) + 1 + j).alias("_key"), F.when(F.lit(True) if j < 0 else F.get("_row", j).isNotNull(), F.get("_row", i)).alias("value")) for i, j in keyed])
+    gaps = rows.agg(*[F.max(F.get("_row", i).isNull().cast("int")).alias(str(i)) for i in range(n)]).first()
+    gap = [bool(x) for x in gaps]
+    cells = F.filter(cells, lambda x: x["value"].isNotNull() & x["_key"].isin([i * (n + 1) + 1 + j for i, j in keyed if j < 0 or gap[j]]))
+    long = rows.select("_row", "_n", F.inline(cells))
+    counts = long.groupBy("_key", "value").agg(F.sum("_n").alias("n"))
+    dealt = _in_ranges(counts, ["_key"])
+    ranks = _below(dealt, _ranges(dealt, ["_key"]), ["_key"]).select("_key", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
+    ranked_rows = long.join(ranks, ["_key", "value"]).groupBy("_row", "_n").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_rank"))).alias("_ranks"))
+    rank = lambda i, j: F.try_element_at("_ranks", F.lit(i * (n + 1) + (1 + j if gap[j] else 0)))
+    sums = []
+    for k, (i, j) in enumerate(pairs):
+        both = F.get("_row", i).isNotNull() & F.get("_row", j).isNotNull()
+        x, y, m = F.when(both, rank(i, j)), F.when(both, rank(j, i)), F.col("_n")
+        sums += [F.sum(e).alias(f"{what}{k}") for what, e in (("n", F.when(both, m)), ("x", m * x), ("y", m * y), ("xx", m * x * x), ("yy", m * y * y), ("xy", m * x * y))]
+    row = ranked_rows.agg(*sums)
+    of = lambda what, k: F.col(f"{what}{k}")
+    spread = lambda what, k: of("n", k) * of(what * 2, k) - of(what, k) ** 2
+    r = lambda k: F.try_divide(of("n", k) * of("xy", k) - of("x", k) * of("y", k), F.sqrt(spread("x", k) * spread("y", k)))
+    out = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), r(k).alias("r")) for k, (i, j) in enumerate(pairs)])
+    return row.select(F.inline(out))
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, n: int) -> DataFrame:
