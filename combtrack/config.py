@@ -19,6 +19,8 @@ class HiveConfig:
     exit_frame: tuple[int, int, int, int] = (3500, 6500, 3800, 5400)
     dance_floor: tuple[int, int, int, int] = (4700, 6000, 4350, 5200)
     first_day: str = "2024-01-01"
+    #: Positions are divided by it, so that they fit the maps of the comb.
+    scale: float = 1.0
 
     @property
     def frames_per_day(self) -> int:
@@ -39,4 +41,4 @@ class HiveConfig:
 
 
 HIVE_2018 = HiveConfig()
-HIVE_2019 = replace(HIVE_2018, ypixels=5720)
+HIVE_2019 = replace(HIVE_2018, ypixels=5720, scale=1.16)

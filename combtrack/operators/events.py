@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import by_day, gap_after
+from ..config import HIVE_2018
+from .windows import by_day, gap_after, met_within
 
 
 def leave_events(df: DataFrame, exit_distance: float, absence: int) -> DataFrame:
@@ -18,11 +19,11 @@ def leave_events(df: DataFrame, exit_distance: float, absence: int) -> DataFrame
     return out.where("_leave and not _back").drop("_leave", "_back").withColumn("status", F.lit("leave"))
 
 
-def typed_events(events: DataFrame, short: int) -> DataFrame:
+def typed_events(events: DataFrame, short: int, frames_per_day: int = HIVE_2018.frames_per_day) -> DataFrame:
     """`kind` of leaves and returns by the individual's next event: short or long with return, disappeared, not sure, or return event."""
     w = Window.partitionBy("uid").orderBy("daynum", "framenum")
     own = events.where(F.col("status").isin("leave", "return"))
-    at = F.col("daynum").cast("bigint") * 259_200 + F.col("framenum")
+    at = F.col("daynum").cast("bigint") * frames_per_day + F.col("framenum")
     own = own.withColumns({"_next": F.lead("status").over(w), "_gap": F.lead(at).over(w) - at})
     kind = F.when(F.col("status") == "return", "return event").when(F.col("_next").isNull(), "disappeared").when(F.col("_next") == "leave", "not sure").when(F.col("_gap") < short, "short with return").otherwise("long with return")
     return own.withColumn("kind", kind).drop("_next", "_gap")
@@ -61,8 +62,7 @@ def interactions(df: DataFrame, distance: float, frames: int) -> DataFrame:
 def history(events: DataFrame, df: DataFrame, frames: int) -> DataFrame:
     """Sightings of the day in the open interval of `frames` frames before each event, with the event's frame."""
     e = events.select("uid", "daynum", F.col("framenum").alias("event_frame"))
-    inside = (F.col("framenum") > F.col("event_frame") - frames) & (F.col("framenum") < F.col("event_frame"))
-    return df.join(e, ["uid", "daynum"]).where(inside)
+    return met_within(e, df, "event_frame", frames - 1, -1)
 
 
 def pivot_state(states: DataFrame, bins: int) -> DataFrame:
@@ -98,8 +98,8 @@ def first_fine(starts: DataFrame, rows: DataFrame, width: int, frames_per_day: i
     daynum, framenum) per individual.
     """
     begun = starts.select("uid", F.col("daynum").alias("_day"), F.col("framenum").alias("_from"))
-    hits = rows.where(flag).join(begun.where(F.col("_from") + width < frames_per_day), "uid")
-    hits = hits.where((F.col("daynum") == F.col("_day")) & (F.col("framenum") > F.col("_from")) & (F.col("framenum") < F.col("_from") + width))
+    asked = begun.where(F.col("_from") + width < frames_per_day).withColumnRenamed("_day", "daynum")
+    hits = met_within(asked, rows.where(flag).select("uid", "daynum", "framenum"), "_from", -1, width - 1)
     first = hits.groupBy("uid").agg(F.min("framenum").alias("framenum"))
     return begun.join(first, "uid", "left").select("uid", F.when(F.col("framenum").isNotNull(), F.col("_day")).alias("daynum"), "framenum")
 

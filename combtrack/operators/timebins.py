@@ -104,3 +104,60 @@ def day_histograms(rows: DataFrame, c: HiveConfig) -> DataFrame:
     """(uid, daynum, cell, xbin, ybin, n): sightings per square of the comb, only squares that have some."""
     counts = rows.withColumn("cell", g.cell(c)).where("cell is not null").groupBy("uid", "daynum", "cell").agg(F.count("*").alias("n"))
     return counts.select("uid", "daynum", "cell", *g.cell_bins(F.col("cell"), c), "n")
+
+
+def _in_bins(rows: DataFrame, c: HiveConfig, bins: int, least: int, part_frames: int) -> DataFrame:
+    """`td`, `_part`, rows of the bin (`n`) and of the part (`_m`), and how many parts have rows (`_parts`); bins under `least` go. One exchange."""
+    width, bin_ = c.frames_per_day // bins, ["uid", "daynum", "td"]
+    rows = rows.withColumns({"td": F.expr(f"framenum div {width}").cast("int"), "_part": F.expr(f"framenum div {part_frames}")}).repartition(*bin_)
+    whole, part = Window.partitionBy(*bin_), Window.partitionBy(*bin_, "_part")
+    rows = rows.withColumns({"_m": F.count("*").over(part), "_nth": F.row_number().over(part.orderBy("framenum", "event_id"))})
+    rows = rows.withColumns({"n": F.count("*").over(whole), "_parts": F.sum((F.col("_nth") == 1).cast("int")).over(whole)})
+    return rows.where(F.col("n") >= least).drop("_nth")
+
+
+def bin_cells(rows: DataFrame, c: HiveConfig, bins: int, least: int = 10, part_frames: int = 180) -> DataFrame:
+    """(uid, daynum, td, cell, xbin, ybin, n, n_minute, speed, speed_minute): histograms over the squares of the comb, only squares that have some.
+
+    `n` counts sightings; `n_minute` is the mean over parts of `part_frames` of a square's share of the part, times the
+    bin's sightings, so that each part weighs the same: a row weighs one over its part's rows, and no row per part is
+    made. `speed` is the mean length of the steps that end in a square on the side where they began; `speed_minute` the
+    mean over parts, of those that have such a step within, of that mean over the part's rows, times the bin's sightings.
+    Bins of fewer than `least` sightings are left out. `rows` has geometry and `event_id`.
+    """
+    bin_ = ["uid", "daynum", "td"]
+    rows = _in_bins(rows, c, bins, least, part_frames).withColumn("cell", g.cell(c))
+    order = lambda *keys: Window.partitionBy(*bin_, *keys).orderBy("framenum", "event_id")
+
+    def step(w) -> Column:
+        lag = lambda k: F.lag(k).over(w)
+        return F.when(lag("camera") == F.col("camera"), F.hypot(F.col("x") - lag("x"), F.col("y") - lag("y")))
+
+    rows = rows.withColumns({"_step": step(order()), "_inner": step(order("_part"))}).where("cell is not null")
+    whole = rows.groupBy(*bin_, "_part", "cell", "n", "_m", "_parts").agg(F.count("*").alias("_k"), F.sum("_step").alias("_s"), F.count("_step").alias("_c"), F.avg("_inner").alias("_v"))
+    out = whole.groupBy(*bin_, "cell").agg(
+        F.sum("_k").alias("_n"), (F.first("n") * F.sum(F.col("_k") / F.col("_m")) / F.first("_parts")).alias("n_minute"),
+        F.try_divide(F.sum("_s"), F.sum("_c")).alias("speed"), (F.first("n") * F.avg(F.col("_v") / F.col("_m"))).alias("speed_minute"),
+    )
+    return out.select(*bin_, "cell", *g.cell_bins(F.col("cell"), c), F.col("_n").alias("n"), "n_minute", "speed", "speed_minute")
+
+
+def bin_substrates(rows: DataFrame, c: HiveConfig, bins: int, least: int = 10, part_frames: int = 180, dance_floor: bool = False) -> DataFrame:
+    """(uid, daynum, td, map, code, n, n_minute): sightings per class under the map before the day (0) and the one after it (1).
+
+    `n_minute` as in `bin_cells`. `rows` has `code0` and `code1`; sightings without a code count in their part alone. With
+    `dance_floor` its rectangle overrides both codes.
+    """
+    bin_ = ["uid", "daynum", "td"]
+    rows = _in_bins(rows, c, bins, least, part_frames)
+    on = g.within(c, c.dance_floor) == 1 if dance_floor else F.lit(False)
+    maps = F.array(*[F.struct(F.lit(i).alias("map"), F.when(on, DANCE[0]).otherwise(F.col(f"code{i}")).cast("int").alias("code")) for i in (0, 1)])
+    rows = rows.select(*bin_, "n", "_m", "_parts", F.inline(maps)).where("code is not null")
+    out = rows.groupBy(*bin_, "map", "code").agg(F.count("*").alias("_n"), (F.first("n") * F.sum(1 / F.col("_m")) / F.first("_parts")).alias("n_minute"))
+    return out.select(*bin_, "map", "code", F.col("_n").alias("n"), "n_minute")
+
+
+def rolled_cells(cells: DataFrame) -> DataFrame:
+    """(uid, daynum, cell, n, n_minute, speed): a day's squares from those of its bins; speed by sightings, where there is one."""
+    seen = F.sum(F.when(F.col("speed").isNotNull(), F.col("n")))
+    return cells.groupBy("uid", "daynum", "cell").agg(F.sum("n").alias("n"), F.sum("n_minute").alias("n_minute"), F.try_divide(F.sum(F.col("speed") * F.col("n")), seen).alias("speed"))

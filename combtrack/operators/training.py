@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import HIVE_2018
 from ..functions import timeops
 from . import events as ev
 from .identity import id_of, mapped
-from .windows import recent_visits
+from .windows import met_within, recent_visits
 
 
 def training_table(rows: DataFrame, leaves: DataFrame, ages: DataFrame, every: int, look_back: int) -> DataFrame:
@@ -39,7 +40,7 @@ def foraging_labels(rows: DataFrame, hive_events: DataFrame, ages: DataFrame, di
     return out.withColumn("forage", F.coalesce(F.col("_f") * F.col("_u"), F.lit(0))).drop("_f", "_u")
 
 
-def before_events(events: DataFrame, rows: DataFrame, meetings: DataFrame, first: DataFrame, frames: int, bucket: int) -> DataFrame:
+def before_events(events: DataFrame, rows: DataFrame, meetings: DataFrame, first: DataFrame, frames: int, bucket: int, frames_per_day: int = HIVE_2018.frames_per_day) -> DataFrame:
     """Events (event_id, who, uid, daynum, framenum) with what their `uid` did in the `frames` frames before: partners and speed.
 
     partners: distinct individuals met; earlier_partners: those whose own first event (uid, at: day and frame in one
@@ -48,14 +49,13 @@ def before_events(events: DataFrame, rows: DataFrame, meetings: DataFrame, first
     """
     keys = ["event_id", "who"]
     e = events.select(*keys, "uid", "daynum", F.col("framenum").alias("_at"))
-    inside = lambda f: (f > F.col("_at") - frames) & (f < F.col("_at"))
     speed = F.when(~F.isnan("speed"), F.col("speed"))
-    moved = e.join(rows.select("uid", "daynum", "framenum", "speed"), ["uid", "daynum"]).where(inside(F.col("framenum")))
+    moved = met_within(e, rows.select("uid", "daynum", "framenum", "speed"), "_at", frames - 1, -1)
     moved = moved.groupBy(*keys).agg(F.avg(speed).alias("mean_speed"), F.max(speed).alias("max_speed"), (F.count("*") / frames).alias("seen"))
-    met = e.join(meetings.select("uid", "daynum", "partner", (F.col("bucket") * bucket).alias("_when")), ["uid", "daynum"]).where(inside(F.col("_when")))
+    met = met_within(e, meetings.select("uid", "daynum", "partner", (F.col("bucket") * bucket).alias("_when")), "_at", frames - 1, -1, frame="_when")
     met = met.groupBy(*keys, "daynum", "partner").agg(F.min("_when").alias("_when"))
     met = met.join(first.select(F.col("uid").alias("partner"), F.col("at").alias("_first")), "partner", "left")
-    earlier = F.coalesce(F.col("_first") < F.col("daynum").cast("bigint") * 259_200 + F.col("_when"), F.lit(False))
+    earlier = F.coalesce(F.col("_first") < F.col("daynum").cast("bigint") * frames_per_day + F.col("_when"), F.lit(False))
     met = met.groupBy(*keys).agg(F.count("*").alias("partners"), F.sum(earlier.cast("bigint")).alias("earlier_partners"))
     out = e.drop("_at", "daynum").join(met, keys, "left").join(moved, keys, "left")
     none = {"partners": 0, "earlier_partners": 0, "seen": 0.0}

@@ -79,6 +79,19 @@ def largest_gap(df: DataFrame) -> DataFrame:
     return best.select("uid", "daynum", (-F.col("m.f")).alias("left"), (F.col("m.gap") - F.col("m.f")).alias("back"), F.col("m.gap").alias("gap"))
 
 
+def met_within(events: DataFrame, rows: DataFrame, at: str, before: int, after: int, keys: tuple[str, ...] = ("uid", "daynum"), frame: str = "framenum") -> DataFrame:
+    """Rows with the events of their keys from `before` frames before it to `after` frames behind it (negative: on the other side).
+
+    An interval join: both meet by keys and a stretch of frames as long as the interval, an event in each of the two or
+    three that its interval touches, so a row meets the events next to it instead of all of the day's.
+    """
+    width = max(1, before + after + 1)
+    near = F.sequence(F.floor((F.col(at) - before) / width), F.floor((F.col(at) + after) / width))
+    spread = events.withColumn("_stretch", F.explode(F.when(F.lit(before + after >= 0), near).otherwise(F.array().cast("array<bigint>"))))
+    found = rows.withColumn("_stretch", F.floor(F.col(frame) / width)).join(spread, [*keys, "_stretch"])
+    return found.where(F.col(frame).between(F.col(at) - before, F.col(at) + after)).drop("_stretch")
+
+
 def around_gap(events: DataFrame, rows: DataFrame, before: int, after: int) -> tuple[DataFrame, DataFrame]:
     """The longest absence of an individual round each event (event_id, uid, daynum, framenum), and the sightings round that.
 
@@ -90,14 +103,14 @@ def around_gap(events: DataFrame, rows: DataFrame, before: int, after: int) -> t
     e = events.select("event_id", "uid", "daynum", F.col("framenum").alias("_at"))
     r = rows.select("uid", "daynum", "framenum", F.col("event_id").alias("sighting"))
     last = r.groupBy("uid", "daynum").agg(F.max("framenum").alias("last_frame"))
-    near = e.join(r, ["uid", "daynum"]).where(F.col("framenum").between(F.col("_at") - before, F.col("_at") + after))
+    near = met_within(e, r, "_at", before, after)
     following = F.lead("framenum").over(Window.partitionBy("event_id").orderBy("framenum", "sighting"))
     gaps = near.withColumn("_next", following).where("_next is not null")
     best = gaps.groupBy("event_id").agg(F.max(F.struct((F.col("_next") - F.col("framenum")).alias("gap"), (-F.col("framenum")).alias("f"))).alias("_m"))
     new = e.join(best, "event_id", "left").join(last, ["uid", "daynum"], "left").withColumn("new_frame", 1 - F.col("_m.f"))
     back = F.when(F.col("last_frame") == F.col("new_frame"), -1).otherwise(F.col("_m.gap") - F.col("_m.f"))
     found = new.select("event_id", "uid", "daynum", "new_frame", F.when(F.col("new_frame").isNotNull(), back).alias("return_frame"), "last_frame")
-    view = found.join(r, ["uid", "daynum"]).where(F.col("framenum").between(F.col("new_frame") - before, F.col("new_frame") + after))
+    view = met_within(found.where("new_frame is not null"), r, "new_frame", before, after)
     return found, view.select("event_id", "daynum", "uid", "framenum", "sighting")
 
 
@@ -122,5 +135,10 @@ def flat_step(c: HiveConfig) -> Column:
     return F.hypot(F.col("fx") - F.lag("fx").over(by_day()), F.col("fy") - F.lag("fy").over(by_day()))
 
 
+def scaled(df: DataFrame, c: HiveConfig) -> DataFrame:
+    """Positions in the scale of the season's maps."""
+    return df if c.scale == 1 else df.withColumns({k: F.col(k) / c.scale for k in ("x", "y")})
+
+
 def with_geometry(df: DataFrame, c: HiveConfig) -> DataFrame:
     return df.withColumns({"xa": g.x_unfolded(c), "fx": g.x_flat(c), "fy": g.y_flat(c), "exit_dist": g.exit_distance(c), "frame": g.frame_index(c)})

@@ -465,7 +465,10 @@ def trailing_mean_exit_distance(spark, d):
 
 
 @query(DET + """, e AS (SELECT uid, daynum, min(framenum) AS a, max(framenum) AS b FROM det GROUP BY ALL), f AS (SELECT uid, daynum, CAST(unnest(range(a, b + 1, 3000)) AS INTEGER) AS framenum FROM e),
- l AS (SELECT f.*, p.framenum AS f0, p.x AS x0 FROM f ASOF JOIN det p ON p.uid = f.uid AND p.daynum = f.daynum AND p.framenum <= f.framenum), r AS (SELECT l.*, n.framenum AS f1, n.x AS x1 FROM l ASOF JOIN det n ON n.uid = l.uid AND n.daynum = l.daynum AND n.framenum >= l.framenum)
- SELECT uid, daynum, framenum, round(x0 + (x1 - x0) * coalesce((framenum - f0) / nullif(f1 - f0, 0), 0), 6) AS x FROM r""")
+ l AS (SELECT f.*, p.framenum AS f0, p.x AS x0 FROM f ASOF JOIN det p ON p.uid = f.uid AND p.daynum = f.daynum AND p.framenum <= f.framenum), r AS (SELECT l.*, n.framenum AS f1, n.x AS x1 FROM l ASOF JOIN det n ON n.uid = l.uid AND n.daynum = l.daynum AND n.framenum >= l.framenum),
+ py AS (SELECT uid, daynum, framenum, y FROM det WHERE event_id % 3 <> 0), ly AS (SELECT r.*, p.framenum AS g0, p.y AS y0 FROM r ASOF LEFT JOIN py p ON p.uid = r.uid AND p.daynum = r.daynum AND p.framenum <= r.framenum), ry AS (SELECT ly.*, n.framenum AS g1, n.y AS y1 FROM ly ASOF LEFT JOIN py n ON n.uid = ly.uid AND n.daynum = ly.daynum AND n.framenum >= ly.framenum)
+ SELECT uid, daynum, framenum, round(x0 + (x1 - x0) * coalesce((framenum - f0) / nullif(f1 - f0, 0), 0), 6) AS x, round(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * coalesce((framenum - g0) / nullif(g1 - g0, 0), 0) END, 6) AS y FROM ry""")
 def upsample_interpolate(spark, d):
-    return ev.upsampled(detections(spark, d, C), 3000, ["x"]).select("uid", "daynum", "framenum", r6("x", "x"))
+    """Two columns, of which `y` lacks every third sighting."""
+    rows = detections(spark, d, C).withColumn("y", F.when(F.col("event_id") % 3 != 0, F.col("y")))
+    return ev.upsampled(rows, 3000, ["x", "y"]).select("uid", "daynum", "framenum", r6("x", "x"), r6("y", "y"))

@@ -53,10 +53,17 @@ def _identity(spark, d):
     return identity.cohort_dimension(cohorts, C, 30)
 
 
+def _codes(spark, d):
+    return _at(spark, d).groupBy("event_id").agg(*[F.max(F.when(F.col("map_id") == i, F.col("code"))).alias(f"code{i}") for i in (0, 1)])
+
+
+def _dense(spark, d):
+    return _geo(spark, d).withColumn("uid", F.pmod("uid", F.lit(2)))
+
+
 def _bins(spark, d, zero_fill=False):
-    codes = _at(spark, d).groupBy("event_id").agg(*[F.max(F.when(F.col("map_id") == i, F.col("code"))).alias(f"code{i}") for i in (0, 1)])
     share = F.pmod("daynum", F.lit(5)) / 4.0
-    rows = _geo(spark, d).withColumn("uid", F.pmod("uid", F.lit(2))).join(codes, "event_id").withColumns({"weight0": 1 - share, "weight1": share})
+    rows = _dense(spark, d).join(_codes(spark, d), "event_id").withColumns({"weight0": 1 - share, "weight1": share})
     return timebins.bin_metrics(rows, C, BINS, zero_fill=zero_fill, max_seconds=SLOW, part_frames=PART, dance_floor=True)
 
 
@@ -91,6 +98,31 @@ def day_matrix(spark, d):
     return _rounded(timebins.day_matrix(_bins(spark, d), F.col("td"), outside), ROLLED)
 
 
+CELLS = BIN_SQL + """, ws AS (SELECT *, count(*) OVER (PARTITION BY uid, daynum, td) AS k, count(*) OVER (PARTITION BY uid, daynum, td, part) AS m, CASE WHEN lag(camera) OVER b = camera THEN sqrt(pow(x - lag(x) OVER b, 2) + pow(y - lag(y) OVER b, 2)) END AS step,
+ CASE WHEN lag(camera) OVER p = camera THEN sqrt(pow(x - lag(x) OVER p, 2) + pow(y - lag(y) OVER p, 2)) END AS inner_step FROM h WINDOW b AS (PARTITION BY uid, daynum, td ORDER BY framenum, event_id), p AS (PARTITION BY uid, daynum, td, part ORDER BY framenum, event_id)),
+ wp AS (SELECT uid, daynum, td, count(DISTINCT part) AS parts FROM h GROUP BY ALL), wf AS (SELECT ws.*, parts FROM ws JOIN wp USING (uid, daynum, td) WHERE k >= 10),
+ wm AS (SELECT uid, daynum, td, square, part, k, parts, count(*) / any_value(m) AS share, count(*) AS n, sum(step) AS s, count(step) AS c, avg(inner_step) / any_value(m) AS v FROM wf WHERE square IS NOT NULL GROUP BY uid, daynum, td, square, part, k, parts),
+ wc AS (SELECT uid, daynum, td, square AS cell, CAST(sum(n) AS BIGINT) AS n, k * sum(share) / parts AS n_minute, sum(s) / nullif(sum(c), 0) AS speed, k * avg(v) AS speed_minute FROM wm GROUP BY uid, daynum, td, square, k, parts)"""
+
+
+@query(CELLS + " SELECT uid, daynum, td, cell, cell // 35 AS xbin, cell % 35 AS ybin, n, round(n_minute, 6) AS n_minute, round(speed, 6) AS speed, round(speed_minute, 6) AS speed_minute FROM wc")
+def timebin_cells(spark, d):
+    """Sightings and speeds per square of the comb in an hour, by rows and by parts of equal weight."""
+    return _rounded(timebins.bin_cells(_dense(spark, d), C, BINS, part_frames=PART), ["n_minute", "speed", "speed_minute"])
+
+
+@query(CELLS + """, wx AS (SELECT uid, daynum, td, k, m, parts, unnest([{'map': 0, 'code': code0}, {'map': 1, 'code': code1}]) AS c FROM wf)
+ SELECT uid, daynum, td, c.map AS map, CAST(c.code AS INTEGER) AS code, count(*) AS n, round(k * sum(1.0::DOUBLE / m) / parts, 6) AS n_minute FROM wx WHERE c.code IS NOT NULL GROUP BY uid, daynum, td, c.map, c.code, k, parts""")
+def timebin_substrates(spark, d):
+    rows = _dense(spark, d).join(_codes(spark, d), "event_id")
+    return _rounded(timebins.bin_substrates(rows, C, BINS, part_frames=PART, dance_floor=True), ["n_minute"])
+
+
+@query(CELLS + " SELECT uid, daynum, cell, CAST(sum(n) AS BIGINT) AS n, round(sum(n_minute), 6) AS n_minute, round(sum(speed * n) / sum(CASE WHEN speed IS NOT NULL THEN n END), 6) AS speed FROM wc GROUP BY ALL")
+def day_cells(spark, d):
+    return _rounded(timebins.rolled_cells(timebins.bin_cells(_dense(spark, d), C, BINS, part_frames=PART)), ["n_minute", "speed"])
+
+
 @query(GEO + ", s AS (SELECT uid, daynum, CAST(CASE WHEN xa = 6592 THEN 40 ELSE floor(xa * 41 / 6592.0) END AS INTEGER) AS xbin, CAST(CASE WHEN y = 5652 THEN 34 ELSE floor(y * 35 / 5652.0) END AS INTEGER) AS ybin FROM geo WHERE xa BETWEEN 0 AND 6592 AND y BETWEEN 0 AND 5652) SELECT uid, daynum, xbin * 35 + ybin AS cell, xbin, ybin, count(*) AS n FROM s GROUP BY ALL")
 def day_histograms(spark, d):
     return timebins.day_histograms(_geo(spark, d), C)

@@ -100,6 +100,19 @@ def first_fine_event(spark, d):
     return ev.first_fine(starts, _geo(spark, d), HOUR, DAY, F.col("frame").isin(0, 3))
 
 
+@query(GRID + AT.removeprefix(DET) + f""", sl AS (SELECT uid, daynum, td, state, lag(state) OVER (PARTITION BY uid ORDER BY daynum, td) AS p FROM ons), fs AS (SELECT uid, min(daynum * {BINS} + td) AS s FROM sl WHERE state = 1 AND (p IS NULL OR p <> 1) GROUP BY uid),
+ st AS (SELECT uid, CAST(s // {BINS} AS INTEGER) AS daynum, (s % {BINS}) * {HOUR} AS f FROM fs), on13 AS (SELECT g.uid, g.daynum, g.framenum FROM geo g JOIN cell c ON c.event_id = g.event_id AND c.map_id = g.daynum % 2 AND c.code IN (8, 13)),
+ h AS (SELECT st.uid, min(o.framenum) AS framenum FROM st JOIN on13 o ON o.uid = st.uid AND o.daynum = st.daynum AND o.framenum > f AND o.framenum < f + {HOUR} WHERE f + {HOUR} < {DAY} GROUP BY st.uid)
+ SELECT st.uid, CASE WHEN h.framenum IS NOT NULL THEN st.daynum END AS daynum, h.framenum FROM st LEFT JOIN h USING (uid)""")
+def first_fine_substrate(spark, d):
+    """First frames on two classes of the comb, festoon among them, under the map of the day."""
+    first = _bouts(spark, d).where("state = 1").groupBy("uid").agg(F.min("start").alias("s"))
+    starts = first.select("uid", F.expr(f"cast(s div {BINS} as int)").alias("daynum"), (F.col("s") % BINS * HOUR).alias("framenum"))
+    rows = detections(spark, d, C).select("event_id", "uid", "daynum", "framenum").join(_at(spark, d).select("event_id", "map_id", "code"), "event_id")
+    flag = (F.col("map_id") == F.pmod("daynum", F.lit(2))) & F.col("code").isin(8, 13)
+    return ev.first_fine(starts, rows, HOUR, DAY, flag)
+
+
 @query(STEP + " SELECT CAST(floor(flat / sec * 200) AS BIGINT) AS bin, count(*) AS n FROM stp WHERE pc = camera AND sec > 0 GROUP BY ALL")
 def speed_hist(spark, d):
     rows = _speeds(spark, d).withColumn("sec", (F.col("framenum") - F.lag("framenum").over(w.by_day())) / C.fps).where("pc = camera and sec > 0")
