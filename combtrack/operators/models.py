@@ -9,6 +9,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes,
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAMES = ("naive_bayes", "logistic", "forest", "svm")
 
@@ -57,42 +58,171 @@ def judged(model: Estimator, rows: DataFrame, test_share: int = 33, folds: int =
     return performance(held_out.unionByName(inner).unionByName(outer), "on")
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, block: int = 2048) -> DataFrame:
-    """(key, d, near, vote, nth): the k nearest points of each query (Euclid), with their labels; ties to the smaller key.
+#: Points to a cell, most cells, and points that a task holds at once.
+CELL_POINTS, MOST_CELLS, PART_POINTS = 1024, 256, 4096
+
+
+def _usable(df: DataFrame, vector: str, key: str, *others: str) -> DataFrame:
+    """Rows with a key and a vector of finite numbers alone (as doubles), and with what else is asked for."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return df.select(key, F.col(vector).cast("array<double>").alias(vector), *others).dropna(subset=[key, *others]).where(F.col(vector).isNotNull() & fine)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclid's distances up to rounding, by a matrix product."""
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+
+
+def _with(df: DataFrame, **columns: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
+
+
+class Cells:
+    """Voronoi cells of points round pivots that a hash of the key picks: the pivots, each cell's radius and points.
+
+    Building them runs two jobs; at most MOST_CELLS pivots and their figures come to the driver.
+    """
+
+    def __init__(self, points: DataFrame, vector: str, key: str) -> None:
+        self.vector, self.key = vector, key
+        n, low, high = points.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
+        if low != high:
+            raise ValueError(f"vectors of {low} to {high} components can't be compared")
+        self.dim, count = high or 0, min(MOST_CELLS, -(-n // CELL_POINTS))
+        bucket = F.pmod(F.xxhash64(F.lit(1), key), F.lit(max(1, count)))
+        picked = points.groupBy(bucket.alias("b")).agg(F.min_by(vector, F.struct(F.xxhash64(F.lit(2), key), key)).alias("v"))
+        chosen = [r["v"] for r in picked.orderBy("b").collect()] if count else []
+        self.pivots = np.array(chosen, float).reshape(len(chosen), self.dim)
+        self.radius, self.size = np.zeros(len(self.pivots)), np.zeros(len(self.pivots), int)
+        if count:
+            for cell, size, radius in self.placed(points).groupBy("_cell").agg(F.count("*"), F.max("_off")).collect():
+                self.size[cell], self.radius[cell] = size, radius
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """The rows with `_cell`, that of the nearest pivot, and `_off`, the distance to it."""
+        pivots, vector = self.pivots, self.vector
+
+        def work(batches):
+            for rows in batches:
+                if len(rows):
+                    d = _distances(np.stack(rows[vector].to_list()).astype(float), pivots)
+                    yield rows.assign(_cell=d.argmin(axis=1).astype(np.int32), _off=d.min(axis=1))
+
+        return df.mapInPandas(work, _with(df, _cell=T.IntegerType(), _off=T.DoubleType()))
+
+    def visits(self, queries: DataFrame, own: bool) -> DataFrame:
+        """The queries once for each cell to search: their own, or the others that may hold a point within `_bound` (null: any).
+
+        A cell is left out if the triangle inequality or the plane between it and the own cell keeps it beyond the bound.
+        """
+        pivots, radius, size, vector = self.pivots, self.radius, self.size, self.vector
+        between = _distances(pivots, pivots)
+
+        def work(batches):
+            for rows in batches:
+                if not len(rows):
+                    continue
+                d = _distances(np.stack(rows[vector].to_list()).astype(float), pivots)
+                home = np.where(size > 0, d, np.inf).argmin(axis=1)
+                if own:
+                    yield rows.assign(_cell=home.astype(np.int32))
+                    continue
+                bound = rows["_bound"].fillna(np.inf).to_numpy(float)[:, None]
+                slack = 1e-6 * (1 + d.max(axis=1, keepdims=True))
+                near = d[np.arange(len(d)), home][:, None]
+                apart = between[home]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = np.where(apart > 0, (d**2 - near**2) / (2 * apart), 0.0)
+                reach = np.maximum(d - radius, plane)
+                go = (reach <= bound + slack) & (size > 0)
+                go[np.arange(len(d)), home] = False
+                i, cell = np.nonzero(go)
+                yield rows.iloc[i].assign(_cell=cell.astype(np.int32))
+
+        return queries.mapInPandas(work, _with(queries, _cell=T.IntegerType()))
 
-    `queries` is a stated set; blocks of about `block` queries meet blocks of 4 * `block` points, and only k points per
-    query and block are shuffled. A matrix product of two blocks leaves few pairs, whose distances are then taken exactly.
+
+def _searched(asked: DataFrame, placed: DataFrame, cells: Cells, k: int, vector: str, label: str, key: str, apart: str | None) -> DataFrame:
+    """(key, d, near, vote): of each cell's parts the k nearest points of each query that visits it.
+
+    Points are dealt out by cell and, in cells of more than PART_POINTS, by parts; queries go to every part of a cell. A
+    task takes a part's points, then its queries batch by batch as they come, so neither side is copied for the other.
     """
-    parts = lambda df, size: -(-df.count() // size) or 1
-    nq, np_ = parts(queries, block), parts(points, 4 * block)
-    spread = lambda df, name, n, other, m: df.select(key, vector, *([label] if name == "_p" else []), F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias(other))
-    left = spread(queries.where(F.col(vector).isNotNull()), "_q", nq, "_p", np_)
-    right = spread(points.where(F.col(vector).isNotNull() & F.col(label).isNotNull()), "_p", np_, "_q", nq)
-
-    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({key: [], "d": [], "near": [], "vote": []})
-        p = p.sort_values(key)
+    parts = F.lit(1)
+    for cell, size in enumerate(cells.size.tolist()):
+        if size > PART_POINTS:
+            parts = F.when(F.col("_cell") == cell, -(-size // PART_POINTS)).otherwise(parts)
+    side = F.lit(None).cast("bigint") if apart is None else F.col(apart).cast("bigint")
+    left = placed.select("_cell", F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"), F.lit(0).alias("_asks"), F.col(key).cast("bigint").alias("id"), vector, F.col(label).cast("bigint").alias("vote"), side.alias("side"))
+    right = asked.select("_cell", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"), F.lit(1).alias("_asks"), F.col(key).cast("bigint").alias("id"), vector, F.lit(None).cast("bigint").alias("vote"), side.alias("side"))
+    both = left.unionByName(right).repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_asks", "id")
+
+    def nearest(q: pd.DataFrame, p: pd.DataFrame):
         at, of = np.stack(p[vector].to_list()).astype(float), np.stack(q[vector].to_list()).astype(float)
-        size, most = (at**2).sum(axis=1), min(k, len(at)) - 1
-        who, rows, far = [], [], []
+        size, ids = (at**2).sum(axis=1), p["id"].to_numpy()
         for i in range(0, len(of), 256):
-            part = of[i : i + 256]
+            part, own = of[i : i + 256], q.iloc[i : i + 256]
             about = (part**2).sum(axis=1)[:, None] + size - 2 * part @ at.T
+            if apart is not None:
+                about[own["side"].to_numpy()[:, None] == p["side"].to_numpy()[None, :]] = np.inf
+            most = min(k, len(at)) - 1
             rim = np.partition(about, most, axis=1)[:, most] + 1e-9 * (1 + size.max() + (part**2).sum(axis=1))
-            a, b = np.nonzero(about <= rim[:, None])
+            a, b = np.nonzero((about <= rim[:, None]) & np.isfinite(about))
             d = np.sqrt(((part[a] - at[b]) ** 2).sum(axis=1))
-            order = np.lexsort((b, d, a))
+            order = np.lexsort((ids[b], d, a))
             a, b, d = a[order], b[order], d[order]
             first = np.arange(len(a)) - np.searchsorted(a, a) < k
-            who.append(i + a[first])
-            rows.append(b[first])
-            far.append(d[first])
-        who, rows = np.concatenate(who), np.concatenate(rows)
-        return pd.DataFrame({key: q[key].to_numpy()[who], "d": np.concatenate(far), "near": p[key].to_numpy()[rows], "vote": p[label].to_numpy()[rows]})
+            yield pd.DataFrame({key: own["id"].to_numpy()[a[first]], "d": d[first], "near": ids[b[first]], "vote": p["vote"].to_numpy()[b[first]].astype(np.int64)})
+
+    def work(batches):
+        at, held, points = None, [], None
+        for batch in batches:
+            for (cell, part, asks), rows in batch.groupby(["_cell", "_part", "_asks"], sort=False):
+                if (cell, part) != at:
+                    at, held, points = (cell, part), [], None
+                if not asks:
+                    held.append(rows)
+                elif held:
+                    points = pd.concat(held) if points is None else points
+                    yield from nearest(rows, points)
+
+    return both.mapInPandas(work, f"{key} long, d double, near long, vote long")
+
+
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, apart: str | None = None) -> DataFrame:
+    """(key, d, near, vote, nth): the k nearest points of each query (Euclid), with their labels; ties to the smaller key.
+
+    Exact search over Voronoi cells in two rounds: a query's own cell gives a bound that its kth neighbour keeps, and of
+    the other cells only those are visited that may hold a point within it. With `apart` neighbours have another value
+    of that column than the query. Rows without a key, a label (points) or with a vector that is null or has a null or
+    non-finite component take no part; vectors of several lengths are an error. Queries of `queries` are a stated set.
+    """
+    extra = [] if apart is None else [apart]
+    points, queries = _usable(points, vector, key, label, *extra), _usable(queries, vector, key, *extra)
+    cells = Cells(points, vector, key)
+    low, high = queries.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if cells.dim and low is not None and not low == high == cells.dim:
+        raise ValueError(f"vectors of {low} to {high} components can't be compared with those of {cells.dim}")
+    if not len(cells.pivots):
+        return queries.select(F.col(key).cast("bigint").alias(key), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("near"), F.lit(0).cast("bigint").alias("vote"), F.lit(0).alias("nth")).limit(0)
+    placed = cells.placed(points)
+    best = Window.partitionBy(key).orderBy("d", "near")
+    top = lambda df: df.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    first = top(_searched(cells.visits(queries, True), placed, cells, k, vector, label, key, apart))
+    bound = first.where(F.col("nth") == k).select(F.col(key), F.col("d").alias("_bound"))
+    second = _searched(cells.visits(queries.join(bound, key, "left"), False), placed, cells, k, vector, label, key, apart)
+    return top(first.drop("nth").unionByName(second))
 
-    found = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(nearest, f"{key} long, d double, near long, vote long")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("d", "near"))).where(F.col("nth") <= k)
+
+def visited_share(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str) -> float:
+    """Share of all pairs of a query and a point that `nearest_points` compares."""
+    found = nearest_points(queries, points, k, vector, label, key)
+    points, queries = _usable(points, vector, key, label), _usable(queries, vector, key)
+    cells = Cells(points, vector, key)
+    bound = found.where(F.col("nth") == k).select(key, F.col("d").alias("_bound"))
+    size = F.get(F.array(*map(F.lit, cells.size.tolist())), F.col("_cell"))
+    met = sum(cells.visits(q, own).agg(F.sum(size)).first()[0] or 0 for q, own in ((queries, True), (queries.join(bound, key, "left"), False)))
+    return met / max(1, queries.count() * int(cells.size.sum()))
 
 
 def voted(near: DataFrame, key: str, weighted: Column, *keys: str) -> DataFrame:
@@ -103,18 +233,31 @@ def voted(near: DataFrame, key: str, weighted: Column, *keys: str) -> DataFrame:
     return votes.groupBy(key, *keys).agg(F.max_by("vote", F.struct("_w", -F.col("vote"))).alias("predicted"))
 
 
-def nearest_vote(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, block: int = 2048, weighted: bool = False) -> DataFrame:
+def nearest_vote(queries: DataFrame, points: DataFrame, k: int, vector: str, label: str, key: str, weighted: bool = False) -> DataFrame:
     """(key, predicted): the label that the k nearest points vote for."""
-    return voted(nearest_points(queries, points, k, vector, label, key, block), key, F.lit(weighted))
+    return voted(nearest_points(queries, points, k, vector, label, key), key, F.lit(weighted))
 
 
 def best_neighbours(points: DataFrame, ks: range, vector: str, label: str, key: str, folds: int = 5) -> DataFrame:
-    """(k, weighted, accuracy) of cross-validation over a grid, the best first. One search a fold serves the whole grid. For samples: every row is a query once."""
-    fold, near = F.pmod(F.xxhash64(key), F.lit(folds)), None
-    for i in range(folds):
-        found = nearest_points(points.where(fold == i), points.where(fold != i), max(ks), vector, label, key)
-        near = found if near is None else near.unionByName(found)
+    """(k, weighted, accuracy) of cross-validation over a grid, the best first.
+
+    One search serves all folds and the whole grid: neighbours lie in other folds than the query. Every row is a query once.
+    """
+    rows = points.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    near = nearest_points(rows, rows, max(ks), vector, label, key, "_fold")
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("weighted")) for k in ks for w in (False, True)]))
     near = near.withColumn("_g", grid).select(key, "d", "near", "vote", "nth", "_g.k", "_g.weighted").where("nth <= k")
     got = voted(near, key, F.col("weighted"), "k", "weighted").join(points.select(key, label), key)
     return got.groupBy("k", "weighted").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy")).orderBy(F.desc("accuracy"), "k", "weighted")
+
+
+def judged_neighbours(rows: DataFrame, k: int, weighted: bool = False, test_share: int = 33, folds: int = 5, vector: str = "features", label: str = "label", key: str = "event_id") -> DataFrame:
+    """One row a set, as `judged` gives for the other models: votes of k neighbours on the held-out share, and cross-validated within both parts. `rows` has `part`, and `features` as an array."""
+    train, test = rows.where(F.col("part") >= test_share), rows.where(F.col("part") < test_share)
+
+    def predicted(queries: DataFrame, points: DataFrame, on: str, apart: str | None = None) -> DataFrame:
+        votes = voted(nearest_points(queries, points, k, vector, label, key, apart), key, F.lit(weighted))
+        return votes.join(queries.select(key, label), key).select(F.col(label).alias("label"), F.col("predicted").cast("double").alias("prediction"), F.lit(on).alias("on"))
+
+    inside = [predicted(p, p, on, "_fold") for p, on in ((d.withColumn("_fold", F.pmod("part", F.lit(folds))), on) for d, on in ((train, "cv_train"), (test, "cv_test")))]
+    return performance(predicted(test, train, "test").unionByName(inside[0]).unionByName(inside[1]), "on")

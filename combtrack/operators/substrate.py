@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most measurements and maps whose list is sent to every task.
 MOST_MEASUREMENTS, MOST_MAPS = 10_000, 16
-#: Pixels that leave a task at once.
-CHUNK = 1_000_000
+#: Side of a tile: a task holds as many rows, or columns, of an image.
+TILE = 256
 
 
 def _bounded(items: Column, most: int, what: str) -> Column:
@@ -66,42 +66,110 @@ def substrate_name(code: Column, names: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), code.cast("int"))
 
 
-def _spread(codes: np.ndarray) -> np.ndarray:
-    """Fills unassigned pixels (-1) ring by ring from assigned neighbours; sides come before corners."""
-    codes, (height, width) = codes.copy(), codes.shape
-    sides = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
-    while (codes < 0).any() and (codes >= 0).any():
-        framed, fresh = np.pad(codes, 1, constant_values=-1), codes.copy()
-        for dy, dx in sides:
-            beside = framed[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width]
-            fresh = np.where(fresh < 0, beside, fresh)
-        codes = fresh
-    return codes
+def cut_tiles(images: DataFrame, size: int = TILE) -> DataFrame:
+    """(raster_id, y0, x0, height, width, pixels): whole images (raster_id long, height int, width int, pixels binary of three bytes each) as tiles.
 
-
-def classify_rasters(images: DataFrame, colours: Sequence[tuple[int, int, int]], tolerance: int = 20) -> DataFrame:
-    """(raster_id, xi, yi, code) of images (raster_id long, height int, width int, pixels binary of three bytes each).
-
-    A pixel has the code of the last colour within `tolerance` (sum over the channels), else that of the nearest
-    assigned pixel; an image without any gives null codes, and one of null pixels no rows. A task holds one image.
+    `height` and `width` are the image's; a tile ends with its image. Images of null pixels or of no size have no tiles.
     """
-    palette = np.array(colours, dtype=np.int16)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, h, w, data in zip(batch["raster_id"], batch["height"], batch["width"], batch["pixels"]):
                 if data is None or not h or not w:
                     continue
-                image, codes = np.frombuffer(data, np.uint8).reshape(h, w, 3).astype(np.int16), np.full((h, w), -1, np.int32)
+                image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                for y in range(0, h, size):
+                    row = [(i, y, x, h, w, image[y : y + size, x : x + size].tobytes()) for x in range(0, w, size)]
+                    yield pd.DataFrame(row, columns=["raster_id", "y0", "x0", "height", "width", "pixels"])
+
+    return images.select("raster_id", "height", "width", "pixels").mapInPandas(work, "raster_id long, y0 int, x0 int, height int, width int, pixels binary")
+
+
+def _in_column(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel the row of the nearest assigned one in its column (ties: the upper; -1: none) and its code."""
+    height, (rows, columns) = len(codes), np.indices(codes.shape)
+    above = np.maximum.accumulate(np.where(codes >= 0, rows, -1), axis=0)
+    below = np.minimum.accumulate(np.where(codes >= 0, rows, height)[::-1], axis=0)[::-1]
+    take_below = (above < 0) | ((below < height) & (below - rows < rows - above))
+    near = np.where(take_below, np.where(below < height, below, -1), above)
+    return near, np.where(near >= 0, codes[np.maximum(near, 0), columns], -1)
+
+
+def _in_row(near: np.ndarray, code: np.ndarray, first_row: int) -> np.ndarray:
+    """The code of the nearest assigned pixel (Euclid; ties: the upper, then the left one), from the nearest ones of all columns.
+
+    Columns are tried from the pixel's own outwards, as long as one could still be nearer than what has been found.
+    """
+    height, width = near.shape
+    rows = np.arange(first_row, first_row + height)[:, None]
+    far = np.int64(1) << 60
+    off = np.where(near >= 0, (near.astype(np.int64) - rows) ** 2, far)
+    best, where, out = off.copy(), np.where(near >= 0, near.astype(np.int64) * width + np.arange(width), far), code.copy()
+    todo = np.nonzero(off > 0)
+    for dx in range(1, width):
+        open_ = best[todo] >= dx * dx
+        todo = (todo[0][open_], todo[1][open_])
+        if not len(todo[0]):
+            break
+        for side in (-dx, dx):
+            x = todo[1] + side
+            inside = (x >= 0) & (x < width)
+            y, at, x = todo[0][inside], todo[1][inside], x[inside]
+            d, pos = off[y, x] + dx * dx, near[y, x].astype(np.int64) * width + x
+            nearer = (near[y, x] >= 0) & ((d < best[y, at]) | ((d == best[y, at]) & (pos < where[y, at])))
+            y, at, x = y[nearer], at[nearer], x[nearer]
+            best[y, at], where[y, at], out[y, at] = d[nearer], pos[nearer], code[y, x]
+    return out
+
+
+def classify_tiles(tiles: DataFrame, colours: Sequence[tuple[int, int, int]], tolerance: int = 20) -> DataFrame:
+    """(raster_id, xi, yi, code) of tiles as `cut_tiles` gives them, of any size, also of images that no task could hold.
+
+    A pixel has the code of the last colour within `tolerance` (sum over the channels), else that of the nearest pixel
+    of a class by Euclid's distance; ties go to the upper, then the left one. This is exact in two passes: along
+    columns, where a task holds the tiles of one column of them, and along rows, where it holds one row of them. An
+    image without a pixel of a class gives null codes.
+    """
+    palette = np.array(colours, dtype=np.int16).reshape(-1, 3)
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tile in batches:
+            out = []
+            for y0, x0, h, w, data in zip(tile["y0"], tile["x0"], tile["height"], tile["width"], tile["pixels"]):
+                pixels = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int16)
+                codes = np.full(len(pixels), -1, np.int32)
                 for code, colour in enumerate(palette):
-                    codes[np.abs(image - colour).sum(axis=2) <= tolerance] = code
-                codes = _spread(codes)
-                step = max(1, CHUNK // w)
-                for y in range(0, h, step):
-                    part = codes[y : y + step]
-                    yield pd.DataFrame({"raster_id": i, "xi": np.tile(np.arange(w), len(part)), "yi": np.repeat(np.arange(y, y + len(part)), w), "code": pd.Series(part.ravel(), dtype="Int32").mask(part.ravel() < 0)})
-
-    return images.select("raster_id", "height", "width", "pixels").mapInPandas(work, "raster_id long, xi int, yi int, code int")
+                    codes[np.abs(pixels - colour).sum(axis=1) <= tolerance] = code
+                out.append(codes.tobytes())
+            yield tile.assign(pixels=out).rename(columns={"pixels": "codes"})
+
+    def columns(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("y0")
+        height = int(tile["height"].iloc[0])
+        strip = np.frombuffer(b"".join(tile["codes"]), np.int32).reshape(height, -1)
+        near, code = (x.astype(np.int32) for x in _in_column(strip))
+        ends = [*tile["y0"].tolist()[1:], height]
+        part = lambda x: [x[a:b].tobytes() for a, b in zip(tile["y0"], ends, strict=True)]
+        return tile.assign(codes=part(code), near=part(near))
+
+    def rows(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("x0")
+        y0, width = int(tile["y0"].iloc[0]), int(tile["width"].iloc[0])
+        ends = [*tile["x0"].tolist()[1:], width]
+        joined = lambda c: np.concatenate([np.frombuffer(data, np.int32).reshape(-1, b - a) for data, a, b in zip(tile[c], tile["x0"], ends, strict=True)], axis=1)
+        codes = _in_row(joined("near"), joined("codes"), y0)
+        y, x = np.indices(codes.shape)
+        flat = codes.ravel()
+        return pd.DataFrame({"raster_id": tile["raster_id"].iloc[0], "xi": x.ravel().astype(np.int32), "yi": (y.ravel() + y0).astype(np.int32), "code": pd.Series(flat, dtype="Int32").mask(flat < 0)})
+
+    fields = "raster_id long, y0 int, x0 int, height int, width int, codes binary"
+    found = tiles.mapInPandas(coded, fields).groupBy("raster_id", "x0").applyInPandas(columns, f"{fields}, near binary")
+    return found.groupBy("raster_id", "y0").applyInPandas(rows, "raster_id long, xi int, yi int, code int")
+
+
+def classify_rasters(images: DataFrame, colours: Sequence[tuple[int, int, int]], tolerance: int = 20, size: int = TILE) -> DataFrame:
+    """(raster_id, xi, yi, code) of whole images, cut into tiles of `size`, which changes no code; all as `classify_tiles` says."""
+    return classify_tiles(cut_tiles(images, size), colours, tolerance)
 
 
 def blended(at: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,57 @@ def scan_detections(df: DataFrame, ids: Sequence[int] | None, id_space: int, con
     return out.orderBy("ts", "event_id").limit(limit) if limit else out
 
 
+def jdbc_hours(day: str, start: str = "00:00:00", end: str = "23:59:59.999999") -> list[tuple[datetime, datetime, bool]]:
+    """Slices of up to an hour of a closed interval of times, [from, to) but for the last, which is closed; an end not behind the start is on the next day."""
+    first, last = (datetime.fromisoformat(f"{day}T{x}") for x in (start, end))
+    if last <= first:
+        last += timedelta(days=1)
+    out, at = [], first
+    while at < last:
+        to = min(last, at.replace(minute=0, second=0, microsecond=0) + timedelta(hours=1))
+        out.append((at, to, to == last))
+        at = to
+    return out
+
+
+def scan_jdbc(spark: SparkSession, url: str, name: str, day: str, ids: Sequence[int] | None = None, id_space: int = 4096, confidence: float = 0.3, start: str = "00:00:00", end: str = "23:59:59.999999", columns: Sequence[str] = ("timestamp", "bee_id", "bee_id_confidence", "cam_id", "x_pos", "y_pos", "orientation"), options: dict[str, str] | None = None) -> DataFrame:
+    """Detections of a day from a database table, a partition for each hour of it; columns by their names there.
+
+    The hour is each partition's own predicate in the database, half open, so that a detection stamped on the hour comes
+    once; the whole interval is closed. Ids and confidence are pushed down like any filter on the frame: none of the ids
+    gives no rows, all of them no predicate, confidence is strict. No ordering and no limit: both are the frame's.
+    """
+    stamp, who, sure = columns[:3]
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    text = lambda t: t.strftime("%Y-%m-%d %H:%M:%S.%f")
+    slices = [f"\"{stamp}\" >= '{text(a)}' AND \"{stamp}\" {'<=' if closed else '<'} '{text(b)}'" for a, b, closed in jdbc_hours(day, start, end)]
+    out = spark.read.jdbc(url, f"(SELECT {quoted} FROM {name}) scan", predicates=slices, properties=options or {})
+    out = out.where(F.col(sure) > confidence)
+    if ids is not None and len(set(ids)) < id_space:
+        out = out.where(F.col(who).isin(list(ids)) if len(ids) else F.lit(False))
+    return out
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int = 64) -> None:
+    """A table of days, bucketed and sorted by individual: windows by individual, or by individual and day, need no exchange.
+
+    The first write makes the table; a later one replaces the days that it has rows of and leaves the others untouched,
+    whatever their number. Each day's task writes whole buckets: rows are dealt out by individual as the buckets are.
+    """
+    spark = df.sparkSession
+    last = [c for c in df.columns if c != "daynum"] + ["daynum"]
+    dealt = df.select(last).repartition(buckets, "uid").sortWithinPartitions("daynum", "uid", "framenum")
+    if not spark.catalog.tableExists(name):
+        dealt.write.partitionBy("daynum").bucketBy(buckets, "uid").sortBy("uid", "framenum").option("compression", "zstd").saveAsTable(name)
+        return
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        dealt.select(spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(daynum, day) of every day from first to last."""
     days = spark.range(1).select(F.posexplode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("daynum", "day"))
@@ -91,6 +143,7 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
     images = images.where("nChannels = 3").withColumn("measurement", F.regexp_extract("origin", "/([0-9]+)/[^/]*$", 1).try_cast("int"))
     nth = F.row_number().over(Window.partitionBy("measurement").orderBy("origin")) - 1
+    nth = F.when(nth < 2, nth).otherwise(F.raise_error(F.lit("a measurement has more than two images")))
     out = images.where("measurement is not null").withColumn("nth", nth)
     return out.select("measurement", "nth", (2 * F.col("measurement") + F.col("nth")).cast("bigint").alias("raster_id"), "height", "width", F.col("data").alias("pixels"))
 

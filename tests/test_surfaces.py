@@ -140,7 +140,7 @@ def test_nearest_vote_against_plain(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
     queries, points = df.where("id % 10 = 0"), df.where("id % 10 <> 0")
     for weighted in (False, True):
-        got = {r["id"]: r["predicted"] for r in models.nearest_vote(queries, points, 4, "v", "label", "id", block=8, weighted=weighted).collect()}
+        got = {r["id"]: r["predicted"] for r in models.nearest_vote(queries, points, 4, "v", "label", "id", weighted=weighted).collect()}
         for i, v, _ in rows[::10]:
             near = sorted((math.dist(v, p), j, lab) for j, p, lab in rows if j % 10)[:4]
             touching, votes = any(d == 0 for d, _, _ in near), {}
