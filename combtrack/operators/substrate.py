@@ -38,6 +38,12 @@ def measurement_weights(days: DataFrame, measured: DataFrame) -> DataFrame:
     return out.select("daynum", F.explode(cells).alias("c")).select("daynum", "c.meas", "c.weight").where("meas is not null")
 
 
+def _cells(df: DataFrame, extent: DataFrame, x: str, y: str) -> DataFrame:
+    """`_xi`, `_yi`: coordinates rounded half to even and cut to the smallest map's extent (one row of `_mx`, `_my`)."""
+    cell = lambda c, most: F.when(F.col(c).isNotNull(), F.least(F.bround(F.col(c).cast("double"), 0).cast("int"), most))
+    return df.crossJoin(F.broadcast(extent)).withColumns({"_xi": cell(x, "_mx"), "_yi": cell(y, "_my")})
+
+
 def substrate_at(df: DataFrame, raster: DataFrame, default: int, x: str = "x", y: str = "y") -> DataFrame:
     """Each row once per map of the raster (map_id, camera, xi, yi, code), with `map_id` and `code`.
 
@@ -47,15 +53,23 @@ def substrate_at(df: DataFrame, raster: DataFrame, default: int, x: str = "x", y
     extent = raster.groupBy("map_id").agg(F.max("xi").alias("mx"), F.max("yi").alias("my"))
     extent = extent.agg(F.collect_set("map_id").alias("_maps"), F.min("mx").alias("_mx"), F.min("my").alias("_my"))
     extent = extent.select(_bounded(F.col("_maps"), MOST_MAPS, "maps").alias("_maps"), "_mx", "_my")
-    cell = lambda c, most: F.when(F.col(c).isNotNull(), F.least(F.bround(F.col(c).cast("double"), 0).cast("int"), most))
-    at = df.crossJoin(F.broadcast(extent)).withColumns({"_xi": cell(x, "_mx"), "_yi": cell(y, "_my")})
-    at = at.withColumn("map_id", F.explode("_maps")).drop("_maps", "_mx", "_my")
+    at = _cells(df, extent, x, y).withColumn("map_id", F.explode("_maps")).drop("_maps", "_mx", "_my")
     cells = raster.select("map_id", "camera", F.col("xi").alias("_xi"), F.col("yi").alias("_yi"), F.col("code").alias("_code"))
     found = at.join(cells, ["map_id", "camera", "_xi", "_yi"], "left")
     fine = (F.col("_xi") >= 0) & (F.col("_yi") >= 0)
     return found.withColumn("code", F.when(fine, F.coalesce("_code", F.lit(default)))).drop("_code", "_xi", "_yi")
 
 
+def codes_at(df: DataFrame, raster: DataFrame, maps: Sequence[int], default: int, x: str = "x", y: str = "y") -> DataFrame:
+    """Each row once, with `code<map>` for each of `maps`, by one look-up: a cell of the raster holds its codes on all of them. All else as `substrate_at`."""
+    extent = raster.groupBy("map_id").agg(F.max("xi").alias("mx"), F.max("yi").alias("my")).agg(F.min("mx").alias("_mx"), F.min("my").alias("_my"))
+    codes = [F.max(F.when(F.col("map_id") == m, F.col("code"))).alias(f"code{m}") for m in maps]
+    cells = raster.where(F.col("map_id").isin(list(maps))).groupBy("camera", F.col("xi").alias("_xi"), F.col("yi").alias("_yi")).agg(*codes)
+    found = _cells(df, extent, x, y).drop("_mx", "_my").join(cells, ["camera", "_xi", "_yi"], "left")
+    fine = (F.col("_xi") >= 0) & (F.col("_yi") >= 0)
+    return found.withColumns({f"code{m}": F.when(fine, F.coalesce(f"code{m}", F.lit(default))) for m in maps}).drop("_xi", "_yi")
+
+
 def simple_substrate(code: Column, dance: Column) -> Column:
     """Six classes: 0 honey, 1 brood, 2 empty comb, 3 pollen, 4 dance floor (where the dance map has 5), 5 other."""
     return F.when(dance == 5, 4).when(code.isin(1, 2), 1).when(code == 3, 2).when(code == 4, 3).when(code > 4, 5).otherwise(code)

@@ -16,16 +16,30 @@ def by_uid() -> WindowSpec:
     return Window.partitionBy("uid").orderBy("daynum", "framenum")
 
 
+def in_days() -> WindowSpec:
+    """An individual's days, of which each is a row."""
+    return Window.partitionBy("uid").orderBy("daynum")
+
+
 def by_day() -> WindowSpec:
     """An individual's rows of a day."""
     return Window.partitionBy("uid", "daynum").orderBy("framenum")
 
 
 def running_visits(df: DataFrame, flag: Column) -> DataFrame:
-    """`on` (the flag) and `visits`: rises of the flag so far, across days; the first row never counts as a rise."""
+    """`on` (the flag) and `visits`: rises of the flag so far, across days; the first row never counts as a rise.
+
+    A scan in two levels: rises within each day, then of each individual's days, a row a day, the rises before it and
+    whether its first sighting is one; no task takes a season's sightings.
+    """
     out = df.withColumn("on", flag)
-    rise = F.coalesce((F.lag("on").over(by_uid()) == 0) & (F.col("on") == 1), F.lit(False)).cast("int")
-    return out.withColumn("_rise", rise).withColumn("visits", F.sum("_rise").over(by_uid().rowsBetween(*UP_TO_HERE))).drop("_rise")
+    out = out.withColumn("_rise", F.coalesce((F.lag("on").over(by_day()) == 0) & (F.col("on") == 1), F.lit(False)).cast("int"))
+    days = out.groupBy("uid", "daynum").agg(F.sum("_rise").alias("_n"), F.min_by("on", "framenum").alias("_a"), F.max_by("on", "framenum").alias("_z"))
+    days = days.withColumn("_at_first", F.coalesce((F.lag("_z").over(in_days()) == 0) & (F.col("_a") == 1), F.lit(False)).cast("int"))
+    upto = F.sum(F.col("_n") + F.col("_at_first")).over(in_days().rowsBetween(*UP_TO_HERE))
+    days = days.select("uid", "daynum", (upto - F.col("_n")).alias("_before"))
+    visits = F.col("_before") + F.sum("_rise").over(by_day().rowsBetween(*UP_TO_HERE))
+    return out.join(days, ["uid", "daynum"]).withColumn("visits", visits).select(*df.columns, "on", "visits")
 
 
 def recent_visits(df: DataFrame, frames: int) -> DataFrame:
@@ -48,13 +62,26 @@ def speed_steps(df: DataFrame, c: HiveConfig, max_seconds: float) -> DataFrame:
     return out.withColumn("speed", F.when(fine, F.try_divide("distance", "_s"))).drop("_s", "_c")
 
 
-def bouts(df: DataFrame, key: str = "uid", at: str = "td", state: str = "state") -> DataFrame:
-    """(key, state, start, end, length): runs of one state; a null is a run of its own, and left out."""
-    w = Window.partitionBy(key).orderBy(at)
-    cut = F.when(F.col(state).isNull() | F.lag(state).over(w).isNull() | (F.lag(state).over(w) != F.col(state)), 1).otherwise(0)
-    runs = df.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w.rowsBetween(*UP_TO_HERE)))
-    runs = runs.where(F.col(state).isNotNull()).groupBy(key, "_run", F.col(state).alias("state"))
-    return runs.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("length")).drop("_run")
+def bouts(df: DataFrame, key: str = "uid", at: str = "td", state: str = "state", part: str | None = None) -> DataFrame:
+    """(key, state, start, end, length): runs of one state; a null is a run of its own, and left out.
+
+    With `part`, a column that grows with `at` (the day), runs are found within each part, and only they, not the rows,
+    are put in order by key: one that ends a part goes on in the one that begins the next.
+    """
+    if part is None:
+        w = Window.partitionBy(key).orderBy(at)
+        cut = F.when(F.col(state).isNull() | F.lag(state).over(w).isNull() | (F.lag(state).over(w) != F.col(state)), 1).otherwise(0)
+        runs = df.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w.rowsBetween(*UP_TO_HERE)))
+        runs = runs.where(F.col(state).isNotNull()).groupBy(key, "_run", F.col(state).alias("state"))
+        return runs.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("length")).drop("_run")
+    w = Window.partitionBy(key, part).orderBy(at)
+    cut = F.coalesce((~F.lag(state).over(w).eqNullSafe(F.col(state))).cast("int"), F.lit(1))  # nulls next to one another are one cut here
+    runs = df.withColumn("_cut", cut).withColumns({"_run": F.sum("_cut").over(w.rowsBetween(*UP_TO_HERE)), "_first": F.row_number().over(w) == 1, "_last": F.lead(at).over(w).isNull()})
+    runs = runs.groupBy(key, part, "_run").agg(F.first(state).alias("state"), F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("length"), F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    over = Window.partitionBy(key).orderBy("start")
+    goes_on = F.col("_first") & F.lag("_last").over(over) & (F.lag("state").over(over) == F.col("state"))
+    runs = runs.withColumn("_nth", F.sum(1 - F.coalesce(goes_on, F.lit(False)).cast("int")).over(over.rowsBetween(*UP_TO_HERE)))
+    return runs.where("state is not null").groupBy(key, "_nth", "state").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("length")).drop("_nth")
 
 
 def uncensored(runs: DataFrame, key: str = "uid") -> DataFrame:

@@ -105,7 +105,8 @@ def _on_substrate(spark, d):
 
 
 def _bouts(spark, d):
-    return w.bouts(_on_substrate(spark, d).select("uid", (F.col("daynum") * BINS + F.col("td")).alias("td"), "state"))
+    states = _on_substrate(spark, d).select("uid", "daynum", (F.col("daynum") * BINS + F.col("td")).alias("td"), "state")
+    return w.bouts(states, part="daynum")
 
 
 def _speeds(spark, d):

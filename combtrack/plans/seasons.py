@@ -14,7 +14,7 @@ from ..operators import windows as w
 from ..sources import tables
 from ..sources.tables import detections, scan_detections, table
 from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, LOOK_BACK, STEP, _binned, _geo, _in_hive, _leaves, _speeds, _visits, query, r6
-from .surfaces import AT, _at
+from .surfaces import AT, _at, _raster
 
 # Two individuals, so that an hour has enough rows; parts of twenty minutes and steps of up to two hours.
 PART, SLOW = 3_600, 7_200
@@ -53,17 +53,18 @@ def _identity(spark, d):
     return identity.cohort_dimension(cohorts, C, 30)
 
 
-def _codes(spark, d):
-    return _at(spark, d).groupBy("event_id").agg(*[F.max(F.when(F.col("map_id") == i, F.col("code"))).alias(f"code{i}") for i in (0, 1)])
-
-
 def _dense(spark, d):
     return _geo(spark, d).withColumn("uid", F.pmod("uid", F.lit(2)))
 
 
+def _coded(spark, d):
+    rows = _dense(spark, d).withColumns({"_lx": F.col("x") / 330.0, "_ly": F.col("y") / 471.0})
+    return substrate.codes_at(rows, _raster(spark, d), (0, 1), 14, "_lx", "_ly").drop("_lx", "_ly")
+
+
 def _bins(spark, d, zero_fill=False):
     share = F.pmod("daynum", F.lit(5)) / 4.0
-    rows = _dense(spark, d).join(_codes(spark, d), "event_id").withColumns({"weight0": 1 - share, "weight1": share})
+    rows = _coded(spark, d).withColumns({"weight0": 1 - share, "weight1": share})
     return timebins.bin_metrics(rows, C, BINS, zero_fill=zero_fill, max_seconds=SLOW, part_frames=PART, dance_floor=True)
 
 
@@ -114,8 +115,7 @@ def timebin_cells(spark, d):
 @query(CELLS + """, wx AS (SELECT uid, daynum, td, k, m, parts, unnest([{'map': 0, 'code': code0}, {'map': 1, 'code': code1}]) AS c FROM wf)
  SELECT uid, daynum, td, c.map AS map, CAST(c.code AS INTEGER) AS code, count(*) AS n, round(k * sum(1.0::DOUBLE / m) / parts, 6) AS n_minute FROM wx WHERE c.code IS NOT NULL GROUP BY uid, daynum, td, c.map, c.code, k, parts""")
 def timebin_substrates(spark, d):
-    rows = _dense(spark, d).join(_codes(spark, d), "event_id")
-    return _rounded(timebins.bin_substrates(rows, C, BINS, part_frames=PART, dance_floor=True), ["n_minute"])
+    return _rounded(timebins.bin_substrates(_coded(spark, d), C, BINS, part_frames=PART, dance_floor=True), ["n_minute"])
 
 
 @query(CELLS + " SELECT uid, daynum, cell, CAST(sum(n) AS BIGINT) AS n, round(sum(n_minute), 6) AS n_minute, round(sum(speed * n) / sum(CASE WHEN speed IS NOT NULL THEN n END), 6) AS speed FROM wc GROUP BY ALL")
