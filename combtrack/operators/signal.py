@@ -139,9 +139,9 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
 
 
 def clean_trajectories(df: DataFrame, c: HiveConfig, confidence: float, least: int = 10, max_speed: float | None = None, shift_hours: float = 0.0, every: int = 1) -> DataFrame:
-    """Raw detections (confidence, ts, x, y, camera) as trajectories: positions in the season's scale, with their geometry;
-    the best detection of each frame, if above `confidence`; hours with fewer than `least` rows go; speed errors go (`drop_speed_errors`); the clock is shifted; every k-th frame stays.
+    """Raw detections (confidence, ts, geometry) as trajectories: in a season of another scale positions and geometry anew; the best detection of each frame, if above `confidence`; hours with fewer than `least` rows go; speed errors go (`drop_speed_errors`); the clock is shifted; every k-th frame stays.
     """
-    hours = best_confidence(with_geometry(scaled(df, c), c), confidence).withColumn("_hour", F.expr(f"framenum div {c.frames_per_day // 24}"))
+    rows = df if c.scale == 1 else with_geometry(scaled(df, c), c)
+    hours = best_confidence(rows, confidence).withColumn("_hour", F.expr(f"framenum div {c.frames_per_day // 24}"))
     kept = drop_speed_errors(hours, c, ["uid", "daynum", "_hour"], max_speed, least).drop("_hour")
     return kept.withColumn("framenum", shifted(F.col("framenum"), shift_hours, c)).where(F.col("framenum") % every == 0)
