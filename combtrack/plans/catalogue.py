@@ -42,10 +42,9 @@ GRID = BINNED + f""", gr AS (SELECT k.uid, k.daynum, CAST(b.td AS INTEGER) AS td
  c1 AS (SELECT *, CASE WHEN lag(obs) OVER q = obs THEN 0 ELSE 1 END AS c FROM gr WINDOW q AS (PARTITION BY uid, daynum ORDER BY td)),
  c2 AS (SELECT *, sum(c) OVER (PARTITION BY uid, daynum ORDER BY td ROWS UNBOUNDED PRECEDING) AS seg FROM c1),
  sg AS (SELECT *, min(td) OVER (PARTITION BY uid, daynum, seg) AS s, max(td) OVER (PARTITION BY uid, daynum, seg) + 1 AS e, max(seg) OVER (PARTITION BY uid, daynum) AS nseg FROM c2),
- inh AS (SELECT a.uid, a.daynum, a.td, CAST(CASE WHEN a.nseg = 1 THEN CASE WHEN a.obs THEN 1 END WHEN a.obs THEN 1 WHEN coalesce(p.near, false) THEN 0 ELSE 1 END AS INTEGER) AS state
-  FROM sg a LEFT JOIN sg p ON p.uid = a.uid AND p.daynum = a.daynum AND p.td = CASE WHEN a.seg = 1 THEN least(a.e + 1, {BINS - 1}) ELSE a.s - 1 END),
- ons AS (SELECT a.uid, a.daynum, a.td, CAST(CASE WHEN a.nseg = 1 THEN CASE WHEN a.obs AND p.tp THEN 1 END ELSE CAST(coalesce(p.tp, false) AS INTEGER) END AS INTEGER) AS state
-  FROM sg a LEFT JOIN sg p ON p.uid = a.uid AND p.daynum = a.daynum AND p.td = CASE WHEN a.nseg = 1 THEN 0 WHEN a.obs THEN a.s WHEN a.seg = 1 THEN a.e ELSE a.s - 1 END)"""
+ fl2 AS (SELECT uid, daynum, list(near ORDER BY td) AS nears, list(tp ORDER BY td) AS tops FROM gr GROUP BY uid, daynum), sp AS (SELECT sg.*, nears, tops FROM sg JOIN fl2 USING (uid, daynum)),
+ inh AS (SELECT uid, daynum, td, CAST(CASE WHEN nseg = 1 THEN CASE WHEN obs THEN 1 END WHEN obs THEN 1 WHEN coalesce(nears[CASE WHEN seg = 1 THEN least(e + 1, {BINS - 1}) ELSE s - 1 END + 1], false) THEN 0 ELSE 1 END AS INTEGER) AS state FROM sp),
+ ons AS (SELECT uid, daynum, td, CAST(CASE WHEN nseg = 1 THEN CASE WHEN obs AND tops[1] THEN 1 END ELSE CAST(coalesce(tops[CASE WHEN obs THEN s WHEN seg = 1 THEN e ELSE s - 1 END + 1], false) AS INTEGER) END AS INTEGER) AS state FROM sp)"""
 BOUTS = GRID + f""", sl AS (SELECT uid, daynum * {BINS} + td AS td, state FROM ons), b1 AS (SELECT *, CASE WHEN state IS NULL OR lag(state) OVER q IS NULL OR lag(state) OVER q <> state THEN 1 ELSE 0 END AS c FROM sl WINDOW q AS (PARTITION BY uid ORDER BY td)),
  b2 AS (SELECT *, sum(c) OVER (PARTITION BY uid ORDER BY td ROWS UNBOUNDED PRECEDING) AS run FROM b1),
  bt AS (SELECT uid, state, min(td) AS start, max(td) AS "end", count(*) AS length FROM b2 WHERE state IS NOT NULL GROUP BY uid, run, state)"""

@@ -357,7 +357,7 @@ def hive_returns(spark, d):
     return st.hive_events(_in_hive(spark, d), ["uid", "daynum"], BINS, DAY).where("diff = 1").select("uid", "daynum", "framenum")
 
 
-@query(GRID.replace("p.td = CASE WHEN a.nseg = 1 THEN 0 WHEN a.obs THEN a.s WHEN", "p.td = CASE WHEN a.nseg = 1 THEN 0 WHEN a.obs THEN a.td WHEN") + " SELECT uid, daynum, td, state FROM ons")
+@query(GRID.replace("tops[CASE WHEN obs THEN s WHEN", "tops[CASE WHEN obs THEN td WHEN") + " SELECT uid, daynum, td, state FROM ons")
 def on_substrate_per_bin(spark, d):
     """Each seen bin's own state, instead of that of its run's first."""
     rows = _binned(spark, d)
