@@ -245,18 +245,22 @@ def _links(texts: DataFrame, n: int, num: int, den: int, sample_docs: int, group
             for own, digest in zip(*shingle_sets(utf8(batch.column("text")), n), strict=True):
                 late = np.isin(own, heavy, assume_unique=True)
                 prefix = np.concatenate([own[~late], own[late]])[: len(own) - -(-num * len(own) // den) + 1] if len(own) else own
-                rows.append((len(own), digest, sketch(own), prefix.view(np.int64)))
-            size, key, bits, prefix = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sketch", "prefix"])
+                rows.append((len(own), digest, sketch(own), prefix.view(np.int64), min(len(prefix), int((~late).sum()))))
+            size, key, bits, prefix, rare = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int32())], ["doc_id", "n", "key", "sketch", "prefix", "rare"])
 
-    described = materialize(texts.mapInArrow(describe, "doc_id bigint, n bigint, key binary, sketch binary, prefix array<bigint>"))
+    described = materialize(texts.mapInArrow(describe, "doc_id bigint, n bigint, key binary, sketch binary, prefix array<bigint>, rare int"))
     classes = materialize(described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     reps = described.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
 
-    tokens = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
+    tokens = reps.select("doc_id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     near = "over (partition by token order by n, doc_id"
-    tokens = tokens.selectExpr("*", f"lag(n) {near}) as less", f"lead(n) {near}) as more", f"count(1) {near} rows between unbounded preceding and unbounded following) as rows")
-    tokens = tokens.where(f"{den} * less >= {num} * n or {den} * n >= {num} * more").select("doc_id", "n", "token", "rows")
+    few = tokens.where("at < rare").selectExpr("doc_id", "n", "token", f"lag(n) {near}) as less", f"lead(n) {near}) as more", f"count(1) {near} rows between unbounded preceding and unbounded following) as rows")
+    few = few.where(f"{den} * less >= {num} * n or {den} * n >= {num} * more").select("doc_id", "n", "token", "rows")
+    # the rows of frequent shingles never meet in one task: they are counted (a row for each of `heavy`) and dealt into blocks
+    many = tokens.where("at >= rare").select("doc_id", "n", "token")
+    rows = many.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    tokens = few.unionAll(many.join(F.broadcast(rows), "token").select("doc_id", "n", "token", "rows"))
     # a long document has many prefix rows: its sketch is sent once for each few hundred of them
     salts = f"1 + n * {den - num} div {den * 256}"
     tokens = _blocked(tokens, "token", f"ceil(rows / {group_rows})").withColumn("salt", F.expr(f"pmod(xxhash64(token), {salts})"))

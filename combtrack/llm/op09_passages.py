@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, free_name, materialize, rolled, slices, utf8, words
+from ._common import ODD, U64, free_name, materialize, mix, rolled, slices, utf8, words
 
 #: For each period residues among whose differences every residue of the period occurs.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -71,6 +72,31 @@ def _distinct(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+def _earliest(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which rows have the smallest id of all rows with their keys."""
+    order = np.lexsort((ids, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    low = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(order), bool)
+    out[order] = ids[order] == low
+    return out
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], rows: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """Puts parts (arrays of one length each) together until they hold so many rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+    for part in parts:
+        held.append(part)
+        count += len(part[0])
+        if count >= rows:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, count = [], 0
+    if count:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -79,44 +105,76 @@ def _marks(column: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in column]
 
 
-def repeated_windows(texts: DataFrame, window: int = 50, period: int = 31) -> DataFrame:
+def often_seen(texts: DataFrame, window: int, period: int, sample_docs: int) -> np.ndarray:
+    """Anchors that many documents of a sample hold, sorted; at most 100,000, which only decides how rows are dealt out."""
+    count = texts.count()
+
+    def spread(batches):
+        for batch in slices(batches):
+            found = Anchors(utf8(batch.column("text")), window, period)
+            yield pa.RecordBatch.from_arrays([_signed(found.hash[_distinct(found.text, found.hash)])], ["anchor"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-count // sample_docs)))) == 0)
+    often = sampled.mapInArrow(spread, "anchor bigint").groupBy("anchor").count().where(F.col("count") >= max(8, min(count, sample_docs) // 500))
+    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "anchor").limit(100_000).collect()], np.int64).view(np.uint64))
+
+
+def repeated_windows(texts: DataFrame, window: int = 50, period: int = 31, sample_docs: int = 4000) -> DataFrame:
     """(_p_id, _p_whole, _p_windows): for each doc_id the contexts, and beyond them the windows, that documents of smaller id hold too.
 
     Contexts are compared first, by 128 bits of their words. One that a smaller id has repeats as a whole. Only the
     first of each of several contexts of an anchor needs more: its windows are compared with the others'.
+
+    No key gathers its rows: a row that meets one of a smaller id in its own task is settled there and dealt out by a
+    hash of itself, so a passage gives one row for each million; and an anchor that a bounded sample (`sample_docs`)
+    finds often counts as one of several contexts unseen, so its rows are dealt out by their contexts.
     """
+    named = texts.where("doc_id is not null")
+    often = often_seen(named, window, period, sample_docs)
 
     def find(batches):
-        for batch in slices(batches):
-            found = Anchors(utf8(batch.column("text")), window, period)
-            own = _distinct(found.text, found.context[0])
-            ids = batch.column("doc_id").to_numpy()[found.text[own]]
-            yield pa.RecordBatch.from_arrays([_signed(found.hash[own]), _signed(found.context[0][own]), _signed(found.context[1][own]), pa.array(ids)], ["anchor", "c1", "c2", "doc_id"])
+        def parts():
+            for batch in slices(batches):
+                found = Anchors(utf8(batch.column("text")), window, period)
+                own = _distinct(found.text, found.context[0])
+                yield found.hash[own], found.context[0][own], found.context[1][own], batch.column("doc_id").to_numpy()[found.text[own]]
+
+        for anchor, c1, c2, ids in _gathered(parts()):
+            first = _earliest(ids, c2, c1)
+            anchor = np.where(np.isin(anchor, often), c1, anchor)
+            anchor = np.where(first, anchor, mix(c1 + ids.view(np.uint64) * ODD))
+            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(c1), pa.array(c2.view(np.int64), mask=~first), pa.array(ids)], ["anchor", "c1", "c2", "doc_id"])
 
     def compare(batches):
-        for batch in slices(batches):
-            hit = np.flatnonzero(batch.column("some").is_valid().to_numpy(zero_copy_only=False))
-            if not len(hit):
-                continue
-            batch = batch.take(pa.array(hit))
-            found = Anchors(utf8(batch.column("text")), window, period)
-            at = np.flatnonzero(found.around(found.among(_marks(batch.column("some"))), False))
-            owner = np.searchsorted(found.offsets, at, "right") - 1
-            w1, w2 = (w[at] for w in found.windows())
-            own = _distinct(owner, w1)
-            yield pa.RecordBatch.from_arrays([_signed(w1[own]), _signed(w2[own]), pa.array(batch.column("doc_id").to_numpy()[owner[own]])], ["w1", "w2", "doc_id"])
-
-    named = texts.where("doc_id is not null")
+        def parts():
+            for batch in slices(batches):
+                hit = np.flatnonzero(batch.column("some").is_valid().to_numpy(zero_copy_only=False))
+                if not len(hit):
+                    continue
+                batch = batch.take(pa.array(hit))
+                found = Anchors(utf8(batch.column("text")), window, period)
+                at = np.flatnonzero(found.around(found.among(_marks(batch.column("some"))), False))
+                owner = np.searchsorted(found.offsets, at, "right") - 1
+                w1, w2 = (w[at] for w in found.windows())
+                own = _distinct(owner, w1)
+                yield w1[own], w2[own], batch.column("doc_id").to_numpy()[owner[own]]
+
+        for w1, w2, ids in _gathered(parts()):
+            first = _earliest(ids, w2, w1)
+            w2 = np.where(first, w2, mix(w1 + ids.view(np.uint64) * ODD))
+            yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(ids), pa.array(~first)], ["w1", "w2", "doc_id", "settled"])
+
+    # settled rows have no c2, those of anchors seen often have their context for an anchor
     seen = named.mapInArrow(find, "anchor bigint, c1 bigint, c2 bigint, doc_id bigint").repartition("anchor")
     seen = seen.selectExpr("*", "min(doc_id) over (partition by anchor, c1, c2) as low", "min(c1) over (partition by anchor) as c0", "max(c1) over (partition by anchor) as c9")
-    seen = seen.where("low < doc_id or c0 <> c9").selectExpr("doc_id", "low < doc_id as whole", "c1")
+    seen = seen.where("c2 is null or low < doc_id or anchor = c1 or c0 <> c9").selectExpr("doc_id", "c2 is null or low < doc_id as whole", "c1")
     marks = seen.groupBy("doc_id").agg(F.expr("collect_list(c1) filter (where whole)").alias("whole"), F.expr("collect_list(c1) filter (where not whole)").alias("some"))
     marks = marks.selectExpr("doc_id as _p_id", "whole as _p_whole", "if(size(some) = 0, null, some) as some")
     marks = materialize(marks)
     held = texts.join(marks.select("_p_id", "some"), texts["doc_id"] == marks["_p_id"], "left").select("doc_id", "text", "some")
-    held = held.mapInArrow(compare, "w1 bigint, w2 bigint, doc_id bigint")
-    held = held.selectExpr("w1", "doc_id", "min(doc_id) over (partition by w1, w2) as low")
-    held = held.where("low < doc_id").groupBy(F.col("doc_id").alias("_w_id")).agg(F.collect_set("w1").alias("_p_windows"))
+    held = held.mapInArrow(compare, "w1 bigint, w2 bigint, doc_id bigint, settled boolean")
+    held = held.selectExpr("w1", "doc_id", "settled", "min(doc_id) over (partition by w1, w2) as low")
+    held = held.where("settled or low < doc_id").groupBy(F.col("doc_id").alias("_w_id")).agg(F.collect_set("w1").alias("_p_windows"))
     return marks.drop("some").join(held, marks["_p_id"] == held["_w_id"], "full").selectExpr("coalesce(_p_id, _w_id) as _p_id", "_p_whole", "_p_windows")
 
 

@@ -437,6 +437,28 @@ def test_passages(docs, rows, empty, window, period):
     assert op09_passages.drop_repeated_passages(empty, window=window, period=period).count() == 0
 
 
+def test_hot_passages_and_shingles(spark):
+    """A third of all rows hold one passage, in surroundings of their own or as copies, and short texts share one shingle."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, copied = make(70), make(120)
+    texts = [f"{make(rng.randint(1, 40))} {passage} {make(rng.randint(1, 40))}" for _ in range(40)]
+    texts += [copied] * 40 + [make(90) for _ in range(15)] + ["to be or not" + rng.choice(["", " to be", " at all"]) for _ in range(30)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert len(op09_passages.often_seen(df, 50, 31, 4000)) > 0
+    assert by_id(op09_passages.drop_repeated_passages(df, digest=True)) == repeated_words(rows, 50)
+    assert by_id(op01_jaccard.jaccard_components(df, 3, 90, 100, group_rows=8)) == jaccard(rows, 3, 90, 100)
+
+
+def test_rows_of_a_passage_settle_in_their_task():
+    ids, keys = np.array([5, 3, 9, 3, 7]), np.array([1, 1, 1, 2, 2], np.uint64)
+    assert op09_passages._earliest(ids, keys, keys).tolist() == [False, True, False, True, False]
+    parts = [(np.arange(i),) for i in (3, 0, 4, 1)]
+    assert [len(x[0]) for x in op09_passages._gathered(iter(parts), 5)] == [7, 1]
+
+
 def test_covers_hold_every_difference():
     for period, cover in op09_passages.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
