@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most measurements and maps whose list is sent to every task.
-MOST_MEASUREMENTS, MOST_MAPS = 10_000, 16
+#: Most maps, whose list (80 KB) is sent to every task.
+MOST_MAPS = 10_000
+#: Days of a block, within which measurements are put in order.
+BLOCK_DAYS = 64
 #: Side of a tile: a task holds as many rows, or columns, of an image.
 TILE = 256
 
@@ -23,14 +25,19 @@ def measurement_weights(days: DataFrame, measured: DataFrame) -> DataFrame:
     """(daynum, meas, weight): the last measurement up to each day and the first from it on, by inverse distance.
 
     A single one weighs 1; of two on the day itself the first weighs 1 and the other 0. `measured` has (meas, daynum),
-    numbered in order of time; one row with its list is broadcast, at most MOST_MEASUREMENTS long.
+    numbered in order of time; nulls in either column are left out. A scan in two levels: within blocks of BLOCK_DAYS
+    days, and over a row a block, which carries the measurements next to it in.
     """
-    entries = F.array_sort(F.collect_list(F.struct(F.col("daynum").alias("day"), "meas")))
-    one = measured.agg(entries.alias("_all")).select(_bounded(F.col("_all"), MOST_MEASUREMENTS, "measurements").alias("_all"))
-    out = days.select("daynum").distinct().crossJoin(F.broadcast(one))
-    before = F.element_at(F.filter("_all", lambda m: m["day"] <= F.col("daynum")), -1)
-    after = F.get(F.filter("_all", lambda m: m["day"] >= F.col("daynum")), F.lit(0))
-    out = out.select("daynum", F.when(F.exists("_all", lambda m: m["day"] <= F.col("daynum")), before).alias("a"), after.alias("b"))
+    ends = measured.dropna(subset=["daynum", "meas"]).groupBy("daynum").agg(F.min("meas").alias("_first"), F.max("meas").alias("_last"))
+    asked = days.select("daynum").dropna().distinct().withColumn("_asked", F.lit(True))
+    entry = lambda meas: F.when(F.col(meas).isNotNull(), F.struct(F.col("daynum").alias("day"), F.col(meas).alias("meas")))
+    out = asked.join(ends, "daynum", "full").withColumns({"_block": F.floor(F.col("daynum") / BLOCK_DAYS), "_a": entry("_last"), "_b": entry("_first")})
+    in_block, blocks = Window.partitionBy("_block").orderBy("daynum"), Window.orderBy("_block")
+    carried = out.groupBy("_block").agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
+    carried = carried.select("_block", F.max("_a").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_b").over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    last, following = F.max("_a").over(in_block.rowsBetween(Window.unboundedPreceding, 0)), F.min("_b").over(in_block.rowsBetween(0, Window.unboundedFollowing))
+    out = out.withColumns({"_a": last, "_b": following}).join(carried, "_block").where("_asked")
+    out = out.select("daynum", F.coalesce("_a", "_before").alias("a"), F.coalesce("_b", "_after").alias("b"))
     far_a, far_b = F.col("daynum") - F.col("a.day"), F.col("b.day") - F.col("daynum")
     lone = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b"))
     share = F.when(lone, 1.0).when(far_b == 0, 0.0).otherwise(F.try_divide(far_b, far_a + far_b))

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -91,6 +92,27 @@ def test_measurements_around_a_day(spark):
     assert substrate.measurement_weights(days, measured.limit(0)).count() == 0
 
 
+def test_measurement_weights_of_a_long_season(spark):
+    """Against a plain search, with days and measurements in many blocks, several on one day, and nulls."""
+    rng = random.Random(5)
+    when = sorted(rng.choices(range(-300, 1500), k=60) + [700, 700, 700])
+    asked = rng.sample(range(-600, 2000), 400) + [700]
+    want = {}
+    for day in asked:
+        a = [(d, m) for m, d in enumerate(when) if d <= day][-1:]
+        b = [(d, m) for m, d in enumerate(when) if d >= day][:1]
+        if not a or not b or a == b:
+            want[day, (a or b)[0][1]] = 1.0
+        else:
+            span = b[0][0] - a[0][0]
+            share = 0.0 if b[0][0] == day else (b[0][0] - day) / span
+            want |= {(day, a[0][1]): share, (day, b[0][1]): 1 - share}
+    measured = spark.createDataFrame([*enumerate(when), (None, 3), (99, None)], "meas int, daynum int")
+    got = substrate.measurement_weights(spark.createDataFrame([(d,) for d in [*asked, *asked, None]], "daynum int"), measured).collect()
+    assert len(got) == len(want)
+    assert {(r["daynum"], r["meas"]): r["weight"] for r in got} == pytest.approx(want)
+
+
 def test_substrate_under_a_position(spark):
     raster = spark.createDataFrame([(0, 0, x, y, 10 * x + y) for x in range(3) for y in range(2)] + [(1, 0, x, 0, 5) for x in range(4)], "map_id int, camera int, xi int, yi int, code int")
     at = spark.createDataFrame([(1, 0, 0.5, 0.0), (2, 0, 1.5, 9.0), (3, 0, 9.0, 0.0), (4, 0, -1.0, 0.0), (5, 0, None, 0.0), (6, 1, 0.0, 0.0)], "id int, camera int, x double, y double")
