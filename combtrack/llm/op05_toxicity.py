@@ -100,17 +100,16 @@ def _candidates(folded: str, shortest: int = 4, longest: int = 8) -> set[str]:
     return out
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 3000, max_patterns: int = 5000, threshold: float = 0.3) -> ToxicLexicon:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 3000, threshold: float = 0.3) -> ToxicLexicon:
     """Learns patterns, weights, exception phrases and the scale from a bounded sample of labelled documents.
 
     The sample holds, of either label, the `sample_docs` learnable documents with the lowest hash of their id; null
     ids, texts and labels are left out, and copies count once. Patterns are words of three letters or more and
     beginnings of four to eight letters with much better odds in toxic documents, of which the greedy cover keeps those
     that explain documents no better pattern explains. A phrase round a pattern that mostly clean documents use becomes
-    an exception; every context in the sample counts. What the sample teaches has a bounded size too: the cover chooses
-    among the `max_patterns` candidates that most toxic documents hold (ties: the first in the alphabet), and of the
-    exceptions the `max_patterns` that most clean documents hold stay. No label of another row is read. Without
-    learnable toxic documents the lexicon is empty and every score 0; without clean ones every toxic word counts.
+    an exception; every context in the sample counts. Candidates and exceptions have no cap: what `sample_docs`
+    documents can teach bounds them. No label of another row is read. Without learnable toxic documents the lexicon
+    is empty and every score 0; without clean ones every toxic word counts.
     """
     labelled = labels.where(learnable & labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).dropDuplicates(["id"])
     of_label = [labelled.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for x in (0, 1)]
@@ -136,7 +135,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     counted = sample.mapInArrow(count, "pattern string, clean bigint, toxic bigint").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     least = max(2, n_toxic // 500)
-    rows = counted.withColumn("weight", odds).where((F.col("toxic") >= least) & (F.col("weight") > 2.0) & (F.col("toxic") >= 8 * F.col("clean"))).orderBy(F.desc("toxic"), "pattern").limit(max_patterns).collect()
+    rows = counted.withColumn("weight", odds).where((F.col("toxic") >= least) & (F.col("weight") > 2.0) & (F.col("toxic") >= 8 * F.col("clean"))).orderBy(F.desc("toxic"), "pattern").collect()
     weight = {r["pattern"]: float(r["weight"]) for r in rows}
 
     def hold(batches):
@@ -179,7 +178,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, id_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(part), pa.int32()), pa.array(part, pa.string())], ["toxic", "phrase"])
 
     seen = sample.mapInArrow(contexts, "toxic int, phrase string")
-    spared = seen.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).where("clean >= 2 and clean >= 4 * toxic").orderBy(F.desc("clean"), "phrase").limit(max_patterns).collect()
+    spared = seen.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).where("clean >= 2 and clean >= 4 * toxic").orderBy("phrase").collect()
     lexicon = ToxicLexicon(bare.patterns, tuple(r["phrase"] for r in spared), 1.0)
 
     def measure(batches):

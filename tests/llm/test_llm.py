@@ -1,6 +1,7 @@
 """The dealt operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -228,6 +229,56 @@ def test_matches_against_plain_search():
         assert sorted(op05_toxicity.matches(automaton, folded)) == want
 
 
+def plain_lexicon(toxic, clean):
+    """Patterns with weights, exceptions: by counting each candidate in each folded text, one after another."""
+    fold = op05_toxicity.fold
+    toxic, clean = ([fold(t) for t in sorted(set(x))] for x in (toxic, clean))
+    words = {w for t in toxic for w in t.split() if len(w) >= 3}
+    candidates = {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in range(4, min(8, len(w)) + 1)}
+    held = {p: (sum(p in t for t in toxic), sum(p in t for t in clean)) for p in candidates}
+    odds = {p: math.log((a + 0.5) / (len(toxic) + 1)) - math.log((b + 0.5) / (len(clean) + 1)) for p, (a, b) in held.items()}
+    fine = {p for p, (a, b) in held.items() if a >= max(2, len(toxic) // 500) and odds[p] > 2 and a >= 8 * b}
+    kept, left = [], toxic
+    while fine and (most := max((sum(p in t for t in left), odds[p], len(p), p) for p in fine))[0] >= 2:
+        kept.append(most[3])
+        left = [t for t in left if most[3] not in t]
+    kept += [p for p in fine if p.endswith(" ") and held[p][0] * 10 >= len(toxic) and not held[p][1] and not any(q in p for q in kept)]
+    phrases = [set(), set()]  # of clean and of toxic texts, numbered
+    for label, texts in enumerate((clean, toxic)):
+        for nth, t in enumerate(texts):
+            w = t.split()
+            for k in range(len(w)):
+                if any(f" {w[k]} ".startswith(p) for p in kept):
+                    around = [w[k : k + 1], *([w[k - 1 : k + 1]] if k else []), *([w[k : k + 2]] if k + 1 < len(w) else [])]
+                    phrases[label] |= {(nth, " " + " ".join(x) + " ") for x in around}
+    times = [Counter(p for _, p in x) for x in phrases]
+    spared = sorted(p for p, n in times[0].items() if n >= 2 and n >= 4 * times[1][p])
+    return {p: odds[p] for p in kept}, spared
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_learning_against_plain_counting(spark, seed):
+    """Candidates that tie, copies, words that begin alike in toxic and clean texts, and long texts."""
+    rng = random.Random(seed)
+    filler = ["".join(rng.choices("mnaeru", k=rng.randint(2, 7))) for _ in range(60)]
+    data = []
+    for i in range(240):
+        w = rng.choices(filler, k=rng.choice([6, 30, 400 if i % 40 == 0 else 12]))
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["grubby", "gru8bier", "Fl0rp", "blarg", "blargh", *(f"z0ink{c}" for c in "abcdefgh")])
+        elif i % 80 in (10, 61):
+            at = rng.randrange(len(w) - 1)
+            w[at : at + 2] = ["blargon", "mill"] if i % 80 == 61 else ["old", "zoinkers"]
+        data.append((i, " ".join(w), int(i % 3 == 0)))
+    data += [(1000 + i, t, x) for i, (_, t, x) in enumerate(data[:30])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, toxic int")
+    lexicon = op05_toxicity.learn_toxicity(df.drop("toxic"), df.drop("text"), df["doc_id"] >= 0)
+    weights, spared = plain_lexicon([t for _, t, x in data if x], [t for _, t, x in data if not x])
+    assert weights and spared
+    assert dict(lexicon.patterns) == pytest.approx(weights)
+    assert sorted(lexicon.exceptions) == spared
+
+
 def test_toxicity_without_labels(spark, empty):
     labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id bigint, toxic int")
     df = spark.createDataFrame([(1, "a bad word"), (2, "bad " * 20000), (2, "bad"), (None, "bad")], "doc_id bigint, text string")
