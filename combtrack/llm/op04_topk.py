@@ -172,7 +172,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                     a, v = survivors(lower, upper, ids, q_ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[v]), pa.array(lower[a, v]), pa.array(upper[a, v])], ["query_id", "vec_id", "lower", "upper"])
 
-    met = materialize(cells.join(sent, ["b", "qb"]).mapInArrow(scan, "query_id bigint, vec_id bigint, lower bigint, upper bigint"))
+    # sizes are estimated without the copies that explode makes, so either side might be broadcast with all of its copies
+    met = materialize(cells.hint("merge").join(sent.hint("merge"), ["b", "qb"]).mapInArrow(scan, "query_id bigint, vec_id bigint, lower bigint, upper bigint"))
 
     def kth_best(df: DataFrame, column: str) -> DataFrame:
         best = Window.partitionBy("query_id").orderBy(F.desc(column), "vec_id")
