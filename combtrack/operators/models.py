@@ -58,8 +58,10 @@ def judged(model: Estimator, rows: DataFrame, test_share: int = 33, folds: int =
     return performance(held_out.unionByName(inner).unionByName(outer), "on")
 
 
-#: Points to a cell, most cells, and points that a task holds at once.
-CELL_POINTS, MOST_CELLS, PART_POINTS = 1024, 256, 4096
+#: Points to a cell, most cells, points that a task holds at once, and most blocks of queries that meet the same points.
+CELL_POINTS, MOST_CELLS, PART_POINTS, QUERY_BLOCKS = 1024, 256, 32768, 8
+#: Queries that Python compares, or places, at a time.
+AT_ONCE = 256
 
 
 def _usable(df: DataFrame, vector: str, key: str, *others: str) -> DataFrame:
@@ -110,81 +112,116 @@ class Cells:
 
         return df.mapInPandas(work, _with(df, _cell=T.IntegerType(), _off=T.DoubleType()))
 
-    def visits(self, queries: DataFrame, own: bool) -> DataFrame:
-        """The queries once for each cell to search: their own, or the others that may hold a point within `_bound` (null: any).
+    def reached(self, vectors: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
+        """(queries, cells): whether to search a cell. Without a bound the query's own, else the others that may hold a point within it.
 
         A cell is left out if the triangle inequality or the plane between it and the own cell keeps it beyond the bound.
         """
-        pivots, radius, size, vector = self.pivots, self.radius, self.size, self.vector
-        between = _distances(pivots, pivots)
+        d = _distances(vectors, self.pivots)
+        home, each = np.where(self.size > 0, d, np.inf).argmin(axis=1), np.arange(len(d))
+        if bound is None:
+            go = np.zeros(d.shape, bool)
+            go[each, home] = True
+            return go
+        slack = 1e-6 * (1 + d.max(axis=1, keepdims=True))
+        apart = _distances(self.pivots, self.pivots)[home]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(apart > 0, (d**2 - d[each, home][:, None] ** 2) / (2 * apart), 0.0)
+        go = (np.maximum(d - self.radius, plane) <= bound[:, None] + slack) & (self.size > 0)
+        go[each, home] = False
+        return go
+
+    def visits(self, queries: DataFrame, own: bool, lots: np.ndarray | None = None) -> DataFrame:
+        """The queries with `_cells` to search: their own, or the others within `_bound` (null: any); with `lots` (cells by lots), the lots that hold them."""
+        cells, vector = self, self.vector
 
         def work(batches):
-            for rows in batches:
-                if not len(rows):
-                    continue
-                d = _distances(np.stack(rows[vector].to_list()).astype(float), pivots)
-                home = np.where(size > 0, d, np.inf).argmin(axis=1)
-                if own:
-                    yield rows.assign(_cell=home.astype(np.int32))
-                    continue
-                bound = rows["_bound"].fillna(np.inf).to_numpy(float)[:, None]
-                slack = 1e-6 * (1 + d.max(axis=1, keepdims=True))
-                near = d[np.arange(len(d)), home][:, None]
-                apart = between[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(apart > 0, (d**2 - near**2) / (2 * apart), 0.0)
-                reach = np.maximum(d - radius, plane)
-                go = (reach <= bound + slack) & (size > 0)
-                go[np.arange(len(d)), home] = False
-                i, cell = np.nonzero(go)
-                yield rows.iloc[i].assign(_cell=cell.astype(np.int32))
-
-        return queries.mapInPandas(work, _with(queries, _cell=T.IntegerType()))
-
-
-def _searched(asked: DataFrame, placed: DataFrame, cells: Cells, k: int, vector: str, label: str, key: str, apart: str | None) -> DataFrame:
-    """(key, d, near, vote): of each cell's parts the k nearest points of each query that visits it.
-
-    Points are dealt out by cell and, in cells of more than PART_POINTS, by parts; queries go to every part of a cell. A
-    task takes a part's points, then its queries batch by batch as they come, so neither side is copied for the other.
+            for batch in batches:
+                for i in range(0, len(batch), AT_ONCE):
+                    rows = batch.iloc[i : i + AT_ONCE]
+                    go = cells.reached(np.stack(rows[vector].to_list()).astype(float), None if own else rows["_bound"].fillna(np.inf).to_numpy(float))
+                    go = go if lots is None else go @ lots
+                    yield rows.assign(_cells=[np.flatnonzero(x).astype(np.int32) for x in go])
+
+        return queries.mapInPandas(work, _with(queries, _cells=T.ArrayType(T.IntegerType())))
+
+    def lots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, parts): cells dealt into lots of about PART_POINTS points: each cell's lot, or the first of its own if it has more points."""
+        first, parts, lot, held = np.zeros(len(self.size), int), np.ones(len(self.size), int), 0, 0
+        for cell, size in enumerate(self.size.tolist()):
+            if held and held + size > PART_POINTS:
+                lot, held = lot + 1, 0
+            first[cell], parts[cell] = lot, max(1, -(-size // PART_POINTS))
+            lot, held = lot + parts[cell] - 1, held + size
+        return first, parts
+
+
+def _searched(asked: DataFrame, points: DataFrame, cells: Cells, k: int, own: bool, blocks: int, vector: str, label: str, key: str, apart: str | None) -> DataFrame:
+    """(key, d, near, vote): of each lot of cells the k nearest points of each query that visits one of them.
+
+    Points are dealt out by lots, of which a task holds one, and lots of one large cell by a hash; a query goes to a lot
+    once, whatever number of its cells it visits, so copies grow by lots and not by cells. Queries of a lot are dealt into
+    `blocks`, each beside the lot's points, so that few lots still make many tasks. A task takes a lot's points, then its
+    queries batch by batch as they come, and compares a query with the points of the cells it visits.
     """
-    parts = F.lit(1)
-    for cell, size in enumerate(cells.size.tolist()):
-        if size > PART_POINTS:
-            parts = F.when(F.col("_cell") == cell, -(-size // PART_POINTS)).otherwise(parts)
+    first, parts = cells.lots()
+    held_in = np.zeros((len(first), int((first + parts).max(initial=0))), bool)
+    for cell, (at, n) in enumerate(zip(first, parts, strict=True)):
+        held_in[cell, at : at + n] = True
+    of = lambda numbers: F.get(F.array(*map(F.lit, numbers.tolist())), F.col("_cell"))
     side = F.lit(None).cast("bigint") if apart is None else F.col(apart).cast("bigint")
-    left = placed.select("_cell", F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"), F.lit(0).alias("_asks"), F.col(key).cast("bigint").alias("id"), vector, F.col(label).cast("bigint").alias("vote"), side.alias("side"))
-    right = asked.select("_cell", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"), F.lit(1).alias("_asks"), F.col(key).cast("bigint").alias("id"), vector, F.lit(None).cast("bigint").alias("vote"), side.alias("side"))
-    both = left.unionByName(right).repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_asks", "id")
-
-    def nearest(q: pd.DataFrame, p: pd.DataFrame):
-        at, of = np.stack(p[vector].to_list()).astype(float), np.stack(q[vector].to_list()).astype(float)
-        size, ids = (at**2).sum(axis=1), p["id"].to_numpy()
-        for i in range(0, len(of), 256):
-            part, own = of[i : i + 256], q.iloc[i : i + 256]
+    lot = (of(first) + F.pmod(F.xxhash64(key), of(parts))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    none = F.lit(None).cast("double")
+    left = cells.placed(points).select(lot.alias("_lot"), every.alias("_block"), F.lit(0).alias("_asks"), "_cell", F.col(key).cast("bigint").alias("id"), vector, F.col(label).cast("bigint").alias("vote"), side.alias("side"), none.alias("bound"))
+    right = cells.visits(asked, own, held_in).select(F.explode("_cells").alias("_lot"), F.pmod(F.xxhash64(F.lit(3), key), F.lit(blocks)).cast("int").alias("_block"), F.lit(1).alias("_asks"), F.lit(None).cast("int").alias("_cell"), F.col(key).cast("bigint").alias("id"), vector, F.lit(None).cast("bigint").alias("vote"), side.alias("side"), (none if own else F.col("_bound")).alias("bound"))
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.unionByName(right).repartition(tasks, "_lot", "_block").sortWithinPartitions("_lot", "_block", "_asks", "_cell", "id")
+
+    def nearest(q: pd.DataFrame, p: dict[str, np.ndarray]):
+        go = cells.reached(np.stack(q[vector].to_list()).astype(float), None if own else q["bound"].fillna(np.inf).to_numpy(float))
+        asks, sides = np.stack(q[vector].to_list()).astype(float), q["side"].to_numpy()
+        rows, found, far = [], [], []
+        for cell, start, end in zip(p["cells"].tolist(), p["starts"].tolist(), p["ends"].tolist(), strict=True):
+            here = np.flatnonzero(go[:, cell])
+            if not len(here):
+                continue
+            part, at, size = asks[here], p["at"][start:end], p["size"][start:end]
             about = (part**2).sum(axis=1)[:, None] + size - 2 * part @ at.T
             if apart is not None:
-                about[own["side"].to_numpy()[:, None] == p["side"].to_numpy()[None, :]] = np.inf
+                about[sides[here][:, None] == p["side"][None, start:end]] = np.inf
             most = min(k, len(at)) - 1
             rim = np.partition(about, most, axis=1)[:, most] + 1e-9 * (1 + size.max() + (part**2).sum(axis=1))
             a, b = np.nonzero((about <= rim[:, None]) & np.isfinite(about))
-            d = np.sqrt(((part[a] - at[b]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[b], d, a))
-            a, b, d = a[order], b[order], d[order]
-            first = np.arange(len(a)) - np.searchsorted(a, a) < k
-            yield pd.DataFrame({key: own["id"].to_numpy()[a[first]], "d": d[first], "near": ids[b[first]], "vote": p["vote"].to_numpy()[b[first]].astype(np.int64)})
+            rows.append(here[a])
+            found.append(b + start)
+            far.append(np.sqrt(((part[a] - at[b]) ** 2).sum(axis=1)))
+        if not rows:
+            return
+        a, b, d = map(np.concatenate, (rows, found, far))
+        order = np.lexsort((p["id"][b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        yield pd.DataFrame({key: q["id"].to_numpy()[a[best]], "d": d[best], "near": p["id"][b[best]], "vote": p["vote"][b[best]].astype(np.int64)})
+
+    def gathered(held: list[pd.DataFrame]) -> dict[str, np.ndarray]:
+        p = pd.concat(held)
+        at, cell = np.stack(p[vector].to_list()).astype(float), p["_cell"].to_numpy(int)
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        return {"at": at, "size": (at**2).sum(axis=1), "cells": cell[starts], "starts": starts, "ends": np.append(starts[1:], len(cell)), **{c: p[c].to_numpy() for c in ("id", "vote", "side")}}
 
     def work(batches):
-        at, held, points = None, [], None
+        now, held, points = None, [], None
         for batch in batches:
-            for (cell, part, asks), rows in batch.groupby(["_cell", "_part", "_asks"], sort=False):
-                if (cell, part) != at:
-                    at, held, points = (cell, part), [], None
+            for (lot, block, asks), rows in batch.groupby(["_lot", "_block", "_asks"], sort=False):
+                if (lot, block) != now:
+                    now, held, points = (lot, block), [], None
                 if not asks:
                     held.append(rows)
-                elif held:
-                    points = pd.concat(held) if points is None else points
-                    yield from nearest(rows, points)
+                elif held or points:
+                    points, held = points or gathered(held), []
+                    for i in range(0, len(rows), AT_ONCE):
+                        yield from nearest(rows.iloc[i : i + AT_ONCE], points)
 
     return both.mapInPandas(work, f"{key} long, d double, near long, vote long")
 
@@ -200,17 +237,17 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, vector: str, l
     extra = [] if apart is None else [apart]
     points, queries = _usable(points, vector, key, label, *extra), _usable(queries, vector, key, *extra)
     cells = Cells(points, vector, key)
-    low, high = queries.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    n, low, high = queries.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
     if cells.dim and low is not None and not low == high == cells.dim:
         raise ValueError(f"vectors of {low} to {high} components can't be compared with those of {cells.dim}")
     if not len(cells.pivots):
         return queries.select(F.col(key).cast("bigint").alias(key), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("near"), F.lit(0).cast("bigint").alias("vote"), F.lit(0).alias("nth")).limit(0)
-    placed = cells.placed(points)
+    blocks = max(1, min(QUERY_BLOCKS, n // CELL_POINTS))
     best = Window.partitionBy(key).orderBy("d", "near")
     top = lambda df: df.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
-    first = top(_searched(cells.visits(queries, True), placed, cells, k, vector, label, key, apart))
+    first = top(_searched(queries, points, cells, k, True, blocks, vector, label, key, apart))
     bound = first.where(F.col("nth") == k).select(F.col(key), F.col("d").alias("_bound"))
-    second = _searched(cells.visits(queries.join(bound, key, "left"), False), placed, cells, k, vector, label, key, apart)
+    second = _searched(queries.join(bound, key, "left"), points, cells, k, False, blocks, vector, label, key, apart)
     return top(first.drop("nth").unionByName(second))
 
 
@@ -221,7 +258,7 @@ def visited_share(queries: DataFrame, points: DataFrame, k: int, vector: str, la
     cells = Cells(points, vector, key)
     bound = found.where(F.col("nth") == k).select(key, F.col("d").alias("_bound"))
     size = F.get(F.array(*map(F.lit, cells.size.tolist())), F.col("_cell"))
-    met = sum(cells.visits(q, own).agg(F.sum(size)).first()[0] or 0 for q, own in ((queries, True), (queries.join(bound, key, "left"), False)))
+    met = sum(cells.visits(q, own).select(F.explode("_cells").alias("_cell")).agg(F.sum(size)).first()[0] or 0 for q, own in ((queries, True), (queries.join(bound, key, "left"), False)))
     return met / max(1, queries.count() * int(cells.size.sum()))
 
 

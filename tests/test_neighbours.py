@@ -58,3 +58,18 @@ def test_judged_neighbours(spark, clusters):
     df = spark.createDataFrame([(i, v, (i % 12) % 2) for i, v in enumerate(clusters[:600])], "event_id bigint, features array<double>, label bigint")
     got = models.judged_neighbours(df.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(100)).cast("int")), 3).collect()
     assert {r["on"] for r in got} == {"test", "cv_train", "cv_test"} and all(r["accuracy"] > 0.95 for r in got)
+
+
+def test_queries_travel_by_lots_of_cells(spark, monkeypatch):
+    """However many cells a query visits, it is one row before the lots and one for each lot after; large cells are divided."""
+    monkeypatch.setattr(models, "CELL_POINTS", 4)
+    monkeypatch.setattr(models, "PART_POINTS", 200)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist(), 0) for i in range(800)], "id bigint, v array<double>, label bigint")
+    cells = models.Cells(df, "v", "id")
+    first, parts = cells.lots()
+    assert len(first) > 100 and (first + parts).max() <= 8 and (parts == 1).all()
+    got = cells.visits(df.withColumn("_bound", F.lit(None).cast("double")), False, np.equal.outer(first, np.arange(first.max() + 1))).select("_cells").collect()
+    assert len(got) == 800 and max(len(r[0]) for r in got) <= 8
+    cells.size = np.array([150, 900, 40, 100])
+    assert [x.tolist() for x in cells.lots()] == [[0, 1, 6, 6], [1, 5, 1, 1]]
