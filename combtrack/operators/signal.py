@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,8 @@ from ..config import HiveConfig
 from ..functions.timeops import shifted
 from .windows import best_confidence, scaled, with_geometry
 
-#: Samples that one matrix product filters.
-BLOCK = 256
+#: Samples that one matrix product filters; series, and samples of them, that are filtered side by side.
+BLOCK, SIDE_BY_SIDE, SAMPLES = 256, 512, 1 << 20
 
 
 def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,6 +25,41 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _ties(df: DataFrame, *first: str) -> list[str]:
+    """The columns that put rows in one order: those named, then time and number of the sighting, where there are any."""
+    return [*first, *(c for c in ("ts", "framenum", "event_id") if c in df.columns and c not in first)]
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by key as tables of whole groups, with the group of each row: many small groups at once, or one large one."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        group = _group_of(rows, keys)
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield rows.slice(0, last), group[:last]
+        rest = rows.slice(last)
+    if rest is not None:
+        yield rest, np.zeros(rest.num_rows, int)
+
+
+def _group_of(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(rows.num_rows, int)
+    for key in keys:
+        codes = pc.dictionary_encode(rows.column(key).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(new)
+
+
+def _floats(rows: pa.Table, name: str) -> np.ndarray:
+    """A column of numbers as doubles; null as NaN."""
+    return pc.cast(rows.column(name), pa.float64(), safe=False).to_numpy()
+
+
 def butterworth(poles: int, cutoff: float, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """(b, a) of each second-order section of a low-pass filter by the bilinear transform; unit gain at rest."""
     edge = 2 * rate * np.tan(np.pi * cutoff / rate)
@@ -76,30 +113,76 @@ def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) ->
     return out[pad:-pad]
 
 
+def zero_phase_all(full: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """`zero_phase` of many series that lie one behind the other in `full`, side by side by their lengths; NaN where one is too short."""
+    pad = 3 * (2 * len(sections) + 1 - sum(a[2] == 0 for _, a in sections))
+    out, order = np.full(len(full), np.nan), np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > pad]
+    at = 0
+    while at < len(order):
+        some = order[at : at + max(1, min(SIDE_BY_SIDE, SAMPLES // int(lengths[order[at]] + 2 * pad)))]
+        at += len(some)
+        n, begin = lengths[some], starts[some]
+        row = np.arange(int(n.max()) + 2 * pad)[:, None]
+        pos = row - pad  # odd reflections before the first and behind the last sample; rows behind those are not read
+        value = full[begin + np.clip(np.where(pos < 0, -pos, np.where(pos >= n, 2 * (n - 1) - pos, pos)), 0, n - 1)]
+        x = np.where(pos < 0, 2 * full[begin] - value, np.where(pos >= n, 2 * full[begin + n - 1] - value, value))
+        back = np.maximum(n + 2 * pad - 1 - row, 0)
+        for _ in range(2):
+            for b, a in sections:
+                x = _section(b, a, x)
+            x = np.take_along_axis(x, back, axis=0)
+        inside = (pos >= 0) & (pos < n)
+        out[(begin + pos)[inside]] = x[inside]
+    return out
+
+
 def low_pass(df: DataFrame, columns: list[str], cutoff: float, rate: float, poles: int = 5, frame: str = "framenum") -> DataFrame:
     """`filtered <column>` of each: interpolated to every frame, filtered without delay, kept at the observed frames.
 
     Per (uid, daynum). Null coordinates are interpolated over and stay null, as do series too short to filter; of rows
-    of one frame the last counts. A task holds a day of one individual, which the clock bounds.
+    of one frame the last counts, by time and number of the sighting where there are any. Tasks take sorted rows as they
+    come and filter the series of a batch side by side; what they hold is a batch, or a day of one individual, which the
+    clock bounds.
     """
+    keys, sections = ["uid", "daynum"], butterworth(poles, cutoff, rate)
     out = T.StructType([*df.schema, *[T.StructField(f"filtered {c}", T.DoubleType()) for c in columns]])
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, sections = rows.sort_values(frame, kind="stable"), butterworth(poles, cutoff, rate)
-        for c in columns:
-            rows[f"filtered {c}"] = np.nan
-            seen = rows[[frame, c]].dropna().drop_duplicates(frame, keep="last")
-            if not len(seen):
-                continue
-            at = seen[frame].to_numpy(np.int64)
-            full = np.interp(np.arange(at[0], at[-1] + 1), at, seen[c].to_numpy(float))
-            smooth = zero_phase(full[:, None], sections)
-            if smooth is not None:
-                here = rows[c].notna() & rows[frame].notna()
-                rows.loc[here, f"filtered {c}"] = smooth[rows.loc[here, frame].to_numpy(np.int64) - at[0], 0]
-        return rows.astype({f"filtered {c}": "Float64" for c in columns})
-
-    return _dealt(df, ["uid", "daynum"]).groupBy("uid", "daynum").applyInPandas(work, out)
+    def filtered(at: np.ndarray, value: np.ndarray, group: np.ndarray) -> np.ndarray:
+        smooth, seen = np.full(len(at), np.nan), np.flatnonzero(~np.isnan(at) & ~np.isnan(value))
+        if not len(seen):
+            return smooth
+        frames, of = at[seen].astype(np.int64), group[seen]
+        last = np.append((frames[1:] != frames[:-1]) | (of[1:] != of[:-1]), True)
+        own, number = np.unique(of, return_inverse=True)
+        low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(low, number, frames)
+        np.maximum.at(high, number, frames)
+        lengths = high - low + 1
+        for a, b in _runs(lengths):
+            starts = np.cumsum(lengths[a:b]) - lengths[a:b]
+            rows = np.flatnonzero((number >= a) & (number < b))
+            place = starts[number[rows] - a] + frames[rows] - low[number[rows]]
+            full = np.interp(np.arange(int(lengths[a:b].sum())), place[last[rows]], value[seen[rows]][last[rows]])
+            smooth[seen[rows]] = zero_phase_all(full, starts, lengths[a:b], sections)[place]
+        return smooth
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_groups(batches, keys):
+            at = _floats(rows, frame)
+            for c in columns:
+                smooth = filtered(at, _floats(rows, c), group)
+                rows = rows.append_column(f"filtered {c}", pa.array(smooth, mask=np.isnan(smooth)))
+            yield from rows.to_batches()
+
+    return _dealt(df, keys).sortWithinPartitions(*keys, *_ties(df, frame)).mapInArrow(work, out)
+
+
+def _runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of series that have SAMPLES samples or few more, or are one longer series."""
+    number = np.cumsum(lengths) // SAMPLES
+    bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(lengths)]
+    return zip(bounds[:-1], bounds[1:], strict=True)
 
 
 def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed: float | None = None, least: int = 10, at: str = "ts") -> DataFrame:
@@ -108,25 +191,29 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
     Each pass drops the later row of every such step, and the first row if the first step is one. Groups of fewer than
     `least` rows go; one that shrinks below it keeps what is left. Needs `fx`, `fy`, `camera`; a step with a null or in no
     time isn't an error unless it moves. Rows of one time go by `framenum` and `event_id`, so that their arrival doesn't matter. A group is an individual's hour (or day), which the clock bounds; only groups
-    that have an error leave the JVM.
+    that have an error leave the JVM, where a pass goes over all groups of a batch at once.
     """
     limit = c.max_speed if max_speed is None else max_speed
-    order = [at, *(k for k in ("framenum", "event_id") if k in df.columns and k != at)]
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < least:
-            return rows.iloc[:0]
-        rows = rows.sort_values(order, kind="stable")
-        x, y, camera = rows["fx"].to_numpy(float), rows["fy"].to_numpy(float), rows["camera"].to_numpy(float)
-        seconds, left = rows[at].astype("int64").to_numpy() / float(pd.Timedelta(1, "s") / pd.Timedelta(1, rows[at].dt.unit)), np.arange(len(rows))
-        while len(left) >= least:
-            moved = np.hypot(np.diff(x[left]), np.diff(y[left]))
-            wrong = (moved > limit * np.diff(seconds[left])) & (np.diff(camera[left]) == 0)
-            if not wrong.any():
-                break
-            keep = np.concatenate([[not wrong[0]], ~wrong])
-            left = left[keep]
-        return rows.iloc[left]
+    order = _ties(df, at)
+
+    def kept(rows: pa.Table, group: np.ndarray) -> np.ndarray:
+        x, y, camera = (_floats(rows, k) for k in ("fx", "fy", "camera"))
+        seconds = pc.cast(pc.cast(rows.column(at), pa.timestamp("us", rows.column(at).type.tz)), pa.int64()).to_numpy() / 1_000_000
+        left, settled = np.flatnonzero(np.bincount(group)[group] >= least), []
+        while len(left):
+            own, before = group[left], np.append(-1, group[left[:-1]])
+            with np.errstate(invalid="ignore"):
+                moved = np.hypot(np.diff(x[left]), np.diff(y[left])) > limit * np.diff(seconds[left])
+                wrong = np.append(False, moved & (np.diff(camera[left]) == 0)) & (own == before) & (np.bincount(own)[own] >= least)
+            again = np.bincount(own, weights=wrong)[own] > 0
+            settled.append(left[~again])
+            at_first = np.append(wrong[1:], False) & (own != before)
+            left = left[again & ~wrong & ~at_first]
+        return np.sort(np.concatenate(settled)) if settled else left
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_groups(batches, keys):
+            yield from rows.take(pa.array(kept(rows, group))).to_batches()
 
     group, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order)
     step = F.hypot(F.col("fx") - F.lag("fx").over(w), F.col("fy") - F.lag("fy").over(w))
@@ -135,7 +222,7 @@ def drop_speed_errors(df: DataFrame, c: HiveConfig, keys: list[str], max_speed:
     rows = df.withColumns({"_n": F.count("*").over(group), "_wrong": wrong}).where(F.col("_n") >= least)
     rows = rows.withColumn("_bad", F.max("_wrong").over(group)).drop("_n", "_wrong")
     fine, bad = rows.where(~F.col("_bad")).drop("_bad"), rows.where("_bad").drop("_bad")
-    return fine.unionByName(_dealt(bad, keys).groupBy(*keys).applyInPandas(work, df.schema))
+    return fine.unionByName(_dealt(bad, keys).sortWithinPartitions(*keys, *order).mapInArrow(work, df.schema))
 
 
 def clean_trajectories(df: DataFrame, c: HiveConfig, confidence: float, least: int = 10, max_speed: float | None = None, shift_hours: float = 0.0, every: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from datetime import datetime
 from itertools import groupby
 
 import numpy as np
@@ -133,3 +134,30 @@ def test_minutes_weigh_the_same(spark):
     for a, b in ((got, want), (codes, want_codes)):
         assert a.keys() == b.keys()
         assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-6) for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_many_short_series_are_filtered_side_by_side():
+    """Series of many lengths, as each alone; those too short give nothing."""
+    rng = np.random.default_rng(6)
+    lengths = np.array([5, 18, 19, 40, 300, 700, 41, 256, 1])
+    series, sections = [np.cumsum(rng.normal(size=n)) for n in lengths], signal.butterworth(5, 0.05, 3)
+    got = signal.zero_phase_all(np.concatenate(series), np.cumsum(lengths) - lengths, lengths, sections)
+    for x, y in zip(series, np.split(got, np.cumsum(lengths)[:-1]), strict=True):
+        alone = signal.zero_phase(x[:, None], sections)
+        assert np.isnan(y).all() if alone is None else np.allclose(y, alone[:, 0], atol=1e-9)
+
+
+def test_groups_take_no_python_call_each(spark):
+    """Small groups of a batch are worked on together, and groups that batches cut are whole again."""
+    rows = [(u, 0, datetime(2024, 1, 1, 0, 0, i), float(i * (1 if u % 2 else 90)), 0.0, 0, i) for u in range(300) for i in range(7)]
+    df = spark.createDataFrame(rows, "uid bigint, daynum int, ts timestamp, fx double, fy double, camera int, framenum int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        left, smooth = signal.drop_speed_errors(df, C, ["uid", "daynum"], 50.0, 3), signal.low_pass(df, ["fx"], 0.05, 3)
+        assert all("FlatMapGroups" not in f._jdf.queryExecution().optimizedPlan().toString() for f in (left, smooth))
+        assert left.groupBy("uid").count().where("uid % 2 = 1").select(F.min("count"), F.count("*")).first() == (7, 150)
+        assert left.where("uid % 2 = 0").count() == 0 or left.where("uid % 2 = 0").groupBy("uid").count().agg(F.max("count")).first()[0] < 3
+        assert smooth.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
