@@ -115,7 +115,8 @@ def first_fine_substrate(spark, d):
 
 @query(STEP + " SELECT CAST(floor(flat / sec * 200) AS BIGINT) AS bin, count(*) AS n FROM stp WHERE pc = camera AND sec > 0 GROUP BY ALL")
 def speed_hist(spark, d):
-    rows = _speeds(spark, d).withColumn("sec", (F.col("framenum") - F.lag("framenum").over(w.by_day())) / C.fps).where("pc = camera and sec > 0")
+    rows = _speeds(spark, d)
+    rows = rows.withColumn("sec", (F.col("framenum") - F.lag("framenum").over(w.in_order(rows))) / C.fps).where("pc = camera and sec > 0")
     return rows.groupBy(F.floor(F.col("flat") / F.col("sec") * 200).alias("bin")).agg(F.count("*").alias("n"))
 
 
