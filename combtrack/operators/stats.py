@@ -80,13 +80,29 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     held = _below(dealt, ranges, []).where(F.exists("_near", lambda x: within(x, F.col("before"), F.col("n"))))
     row = held.agg(F.collect_list(F.struct("before", "n", F.col("value").cast("double").alias("value"))).alias("_held"), F.max("total").alias("total"))
 
-    def one(p: Column) -> Column:
-        value_at = lambda x: F.get(F.filter("_held", lambda h: within(x, h["before"], h["n"])), F.lit(0))["value"]
-        share = at(p) - F.floor(at(p))
-        low, high = value_at(F.floor(at(p))), value_at(F.ceil(at(p)))
-        return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
+    return row.select(F.when(F.col("total").isNotNull(), F.transform(wanted, lambda p: _held_at(at(p)))).alias("_q"))
 
-    return row.select(F.when(F.col("total").isNotNull(), F.transform(wanted, one)).alias("_q"))
+
+def _held_at(at: Column) -> Column:
+    """The value at a place between those of `_held`, by linear interpolation."""
+    value_at = lambda x: F.get(F.filter("_held", lambda h: (x >= h["before"]) & (x < h["before"] + h["n"])), F.lit(0))["value"]
+    share = at - F.floor(at)
+    low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+    return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
+
+
+def quantiles_by(df: DataFrame, key: str, column: str, shares: list[float]) -> DataFrame:
+    """(key, _q): `quantiles` within each of a few keys, by the same ranges, so that no task holds a key's values; a null key is left out."""
+    known = df.dropna(subset=[key, column])
+    dealt = _in_ranges(known.groupBy(key, F.col(column).alias("value")).agg(F.count("*").alias("n")), [key])
+    wanted = F.array(*[F.lit(float(p)) for p in shares])
+    at = lambda p: (F.col("total") - 1) * p
+    within = lambda x, start, n: (x >= start) & (x < start + n)
+    near = F.flatten(F.transform(wanted, lambda p: F.array(F.floor(at(p)), F.ceil(at(p)))))
+    ranges = _ranges(dealt, [key]).withColumn("_near", F.filter(near, lambda x: within(x, F.col("_start"), F.col("_size")))).where(F.size("_near") > 0)
+    held = _below(dealt, ranges, [key]).where(F.exists("_near", lambda x: within(x, F.col("before"), F.col("n"))))
+    row = held.groupBy(key).agg(F.collect_list(F.struct("before", "n", F.col("value").cast("double").alias("value"))).alias("_held"), F.max("total").alias("total"))
+    return row.select(key, F.transform(wanted, lambda p: _held_at(at(p))).alias("_q"))
 
 
 def qcut(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -177,10 +193,10 @@ def histogram_of(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 def box(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, q1, median, q3, low, high): quartiles and the furthest values within 1.5 interquartile ranges of them."""
-    q = df.groupBy(key).agg(F.expr(f"percentile({column}, array(0.25, 0.5, 0.75))").alias("_q"))
+    q = quantiles_by(df, key, column, [0.25, 0.5, 0.75])
     q = q.select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.select(key, column).join(q, key).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = df.select(key, column).join(F.broadcast(q), key).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(key, "q1", "median", "q3").agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 

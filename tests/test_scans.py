@@ -161,3 +161,15 @@ def test_groups_take_no_python_call_each(spark):
         assert smooth.count() == len(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_quartiles_of_keys_by_selection(spark):
+    """As numpy has them, with ties and nulls, and no aggregate that holds a key's values."""
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([None, float(rng.randrange(40)), rng.random() * 40])) for _ in range(3000)] + [("d", 5.0), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = stats.box(df, "k", "v")
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: (r["q1"], r["median"], r["q3"]) for r in found.collect()}
+    for key in "abcd":
+        assert got[key] == pytest.approx(tuple(np.quantile([v for k, v in rows if k == key and v is not None], [0.25, 0.5, 0.75])))
