@@ -173,3 +173,11 @@ def test_quartiles_of_keys_by_selection(spark):
     got = {r["k"]: (r["q1"], r["median"], r["q3"]) for r in found.collect()}
     for key in "abcd":
         assert got[key] == pytest.approx(tuple(np.quantile([v for k, v in rows if k == key and v is not None], [0.25, 0.5, 0.75])))
+
+
+def test_pivot_holds_no_sorted_rows(spark):
+    """Columns are counted in a hash map of fixed rows, beside the states' own windows."""
+    states = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 2, 0), (2, 0, 1, None)], "uid int, daynum int, td int, state int")
+    wide = events.pivot_state(states, 3)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan.lower() and sorted(map(tuple, wide.collect())) == [(1, 0, 1, None, 0), (2, 0, None, None, None)]
