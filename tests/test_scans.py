@@ -181,3 +181,14 @@ def test_pivot_holds_no_sorted_rows(spark):
     wide = events.pivot_state(states, 3)
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert "pivotfirst" not in plan.lower() and sorted(map(tuple, wide.collect())) == [(1, 0, 1, None, 0), (2, 0, None, None, None)]
+
+
+def test_meetings_of_those_asked_for(spark):
+    """All meetings of the asked individuals at the asked times, and none beside."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(12), rng.randrange(2), rng.randrange(40), 0, rng.randrange(60), rng.randrange(60)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "uid bigint, daynum int, framenum int, camera int, x int, y int")
+    asked = spark.createDataFrame([(1, 0, 0), (5, 1, 3), (5, 1, 3)], "uid bigint, daynum int, bucket bigint")
+    some, full = events.interactions(df, 20, 10, asked), events.interactions(df, 20, 10)
+    want = [r for r in map(tuple, full.collect()) if (r[3], r[0], r[1]) in {(1, 0, 0), (5, 1, 3)}]
+    assert sorted(map(tuple, some.collect())) == sorted(want) and 0 < len(want) < full.count()
