@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from combtrack.operators import events
+from combtrack.operators import events, meetings
 from combtrack.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +49,28 @@ def test_rounded_roots_of_whole_numbers(spark):
     """Distances below 500 of whole positions: the rounding of `interactions` is that of `round`, for every one of them."""
     root = F.sqrt(F.col("id").cast("double"))
     assert spark.range(250_000).where(F.rint(root * 1e6) / 1e6 != F.round(root, 6)).count() == 0
+
+
+@pytest.mark.parametrize("block, least", [(8192, 16), (2, 1), (100, 1)])
+def test_first_meetings_in_blocks_of_any_size(spark, sightings, monkeypatch, block, least):
+    """Pairs within a block and between two, whose partner's own time comes before, after, with the meeting, or never."""
+    monkeypatch.setattr(meetings, "BLOCK", block)
+    monkeypatch.setattr(meetings, "LEAST_BLOCKS", least)
+    rows, df = sightings
+    since = {u: u % 6 for u in range(23) if u % 4}
+    got = meetings.first_meetings(df, spark.createDataFrame(list(since.items()), "uid bigint, at int"), 20, 10, 40).collect()
+    first = {}
+    for day, bucket, _, u, p, _ in met(rows, 20, 10):
+        first[u, p] = min(first.get((u, p), 99), day * 4 + bucket)
+    expected = sorted((u, p, t) for (u, p), t in first.items() if since.get(p, 99) < t)
+    assert expected and len(expected) < len(first) and sorted(map(tuple, got)) == expected
+
+
+def test_no_shuffle_holds_pairs(spark):
+    plan = catalogue.queries()["prior_partners"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_i" in plan and "hashpartitioning(uid" in plan and not any("partner" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+
+
+def test_no_sightings_no_meetings(spark):
+    none = spark.createDataFrame([], "uid bigint, daynum int, framenum int, camera int, x int, y int")
+    assert meetings.first_meetings(none, spark.createDataFrame([], "uid bigint, at int"), 20, 10).collect() == []
