@@ -195,7 +195,7 @@ def _model(name: str):
     def run(spark, d):
         """Three rows of figures, for which the model is fitted when the query is built; the examples are held meanwhile."""
         rows = _examples(spark, d).persist()
-        found = models.judged(models.estimator(name), rows).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
+        found = models.judged(models.estimator(name), models.in_few_parts(rows)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
         figures = found.collect()
         rows.unpersist()
         return spark.createDataFrame(figures, found.schema)
