@@ -15,12 +15,13 @@ from .windows import met_within, recent_visits
 def training_table(rows: DataFrame, leaves: DataFrame, ages: DataFrame, every: int, look_back: int) -> DataFrame:
     """(event_id, uid, age, year ... second, recent, status): every k-th sighting and all leaves, told apart by `status`.
 
+    A leave is that sighting alone, not another one of its individual in its frame.
+
     `rows` has `visits`, the running number of visits, of which those within `look_back` frames among the rows that are
     left count as `recent`. `ages` has (id, age), where the id may be text like `12` or `12.0`; an individual that is
     named twice with one age counts once.
     """
-    keys = ["uid", "daynum", "framenum"]
-    named = ev.marked(rows, leaves, keys).withColumn("status", mapped(F.col("status") == "leave", {True: "leave", False: "no change"}))
+    named = ev.marked(rows, leaves, ["event_id"]).withColumn("status", mapped(F.col("status") == "leave", {True: "leave", False: "no change"}))
     kept = ev.thinned(named, every).union(named.where("status = 'leave'")).distinct()
     known = ages.select(id_of(F.col("id")).alias("_id"), F.col("age").cast("int").alias("age")).distinct()
     out = recent_visits(kept, look_back).join(known, F.col("uid") == F.col("_id"), "left")
