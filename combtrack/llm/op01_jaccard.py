@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U64, by_key, group_bounds, joined, materialize, rolled, slices, utf8, word_bytes, words
-from ._components import connected_components
+from ._components import connected_components, contracted
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[list[np.ndarray], list[bytes]]:
@@ -225,7 +225,7 @@ def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _links(texts: DataFrame, n: int, num: int, den: int, sample_docs: int, group_rows: int, group_shingles: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, key) of each row, (key, rep) of each class of equal word sequences, and the links (a, b) between representatives."""
+    """(doc_id, n, key) of each row, (key, rep) of each class of equal word sequences, and links (a, b) between representatives: with `every` all, else stars that join the same in each task."""
     count = texts.count()
 
     def spread(batches):
@@ -265,6 +265,7 @@ def _links(texts: DataFrame, n: int, num: int, den: int, sample_docs: int, group
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         a, b = candidate_edges(table.column("part").to_numpy(), table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist(), num, den)
+        a, b = contracted(a, b)  # what the task's groups join
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     clusters = materialize(connected_components(by_key(met, "part", compare, "a bigint, b bigint", rows=8000, order=("n", "doc_id")), "a", "b"))
@@ -281,7 +282,10 @@ def _links(texts: DataFrame, n: int, num: int, den: int, sample_docs: int, group
             for x, y in linked(exact_sets(texts_[first:last], n), num, den, every):
                 a.append(min(ids[first + x], ids[first + y]))
                 b.append(max(ids[first + x], ids[first + y]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        if not every:
+            a, b = contracted(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return described.select("doc_id", "n", "key"), classes, by_key(members, "part", search, "a bigint, b bigint", rows=256)
 
