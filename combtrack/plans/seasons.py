@@ -13,7 +13,7 @@ from ..operators import states as st
 from ..operators import windows as w
 from ..sources import tables
 from ..sources.tables import detections, scan_detections, table
-from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, LOOK_BACK, STEP, _binned, _geo, _in_hive, _leaves, _speeds, _visits, query, r6
+from .catalogue import BINS, DAY, DET, GEO, GRID, HOUR, LEAVE, LOOK_BACK, STEP, _binned, _geo, _in_hive, _leaves, _speeds, _visits, query, r6, six_digits
 from .surfaces import AT, _at, _raster
 
 # Two individuals, so that an hour has enough rows; parts of twenty minutes and steps of up to two hours.
@@ -69,7 +69,7 @@ def _bins(spark, d, zero_fill=False):
 
 
 def _rounded(df, names):
-    return df.withColumns({k: F.round(k, 6) for k in names})
+    return df.withColumns({k: six_digits(k) for k in names})
 
 
 @query(BIN_SQL + ", " + COHORTS + f" SELECT tb.uid, daynum, td, n, {', '.join(f'CASE WHEN n >= 10 THEN round({k}, 6) END AS {k}' for k in SHARES)}, {', '.join(f'CASE WHEN n >= 10 THEN {k} END AS {k}' for k in COUNTS)}, CASE WHEN coalesce({_age('daynum')}, -1) >= 0 THEN cohort ELSE -1 END AS cohort, coalesce({_age('daynum')}, -1) AS age FROM tb LEFT JOIN idn USING (uid)")
