@@ -9,6 +9,7 @@ from ..config import HIVE_2018
 from ..functions import timeops
 from . import events as ev
 from .identity import id_of, mapped
+from .meetings import partners_before
 from .windows import met_within, recent_visits
 
 
@@ -41,23 +42,19 @@ def foraging_labels(rows: DataFrame, hive_events: DataFrame, ages: DataFrame, di
     return out.withColumn("forage", F.coalesce(F.col("_f") * F.col("_u"), F.lit(0))).drop("_f", "_u")
 
 
-def before_events(events: DataFrame, rows: DataFrame, meetings: DataFrame, first: DataFrame, frames: int, bucket: int, frames_per_day: int = HIVE_2018.frames_per_day) -> DataFrame:
+def before_events(events: DataFrame, rows: DataFrame, first: DataFrame, distance: float, frames: int, bucket: int, frames_per_day: int = HIVE_2018.frames_per_day) -> DataFrame:
     """Events (event_id, who, uid, daynum, framenum) with what their `uid` did in the `frames` frames before: partners and speed.
 
-    partners: distinct individuals met; earlier_partners: those whose own first event (uid, at: day and frame in one
-    number) came before they were met. mean and highest `speed` leave out what isn't a number; `seen` is the share of
-    the frames with a sighting. `meetings` is that of `interactions` with `bucket` frames to a bucket.
+    partners: distinct individuals met, as `interactions` has them with `distance` and `bucket` frames to a bucket;
+    earlier_partners: those whose own first event (uid, at: day and frame in one number) came before they were met. mean
+    and highest `speed` leave out what isn't a number; `seen` is the share of the frames with a sighting.
     """
     keys = ["event_id", "who"]
     e = events.select(*keys, "uid", "daynum", F.col("framenum").alias("_at"))
     speed = F.when(~F.isnan("speed"), F.col("speed"))
     moved = met_within(e, rows.select("uid", "daynum", "framenum", "speed"), "_at", frames - 1, -1)
     moved = moved.groupBy(*keys).agg(F.avg(speed).alias("mean_speed"), F.max(speed).alias("max_speed"), (F.count("*") / frames).alias("seen"))
-    met = met_within(e, meetings.select("uid", "daynum", "partner", (F.col("bucket") * bucket).alias("_when")), "_at", frames - 1, -1, frame="_when")
-    met = met.groupBy(*keys, "daynum", "partner").agg(F.min("_when").alias("_when"))
-    met = met.join(first.select(F.col("uid").alias("partner"), F.col("at").alias("_first")), "partner", "left")
-    earlier = F.coalesce(F.col("_first") < F.col("daynum").cast("bigint") * frames_per_day + F.col("_when"), F.lit(False))
-    met = met.groupBy(*keys).agg(F.count("*").alias("partners"), F.sum(earlier.cast("bigint")).alias("earlier_partners"))
+    met = partners_before(events, rows, first, distance, frames, bucket, keys, frames_per_day)
     out = e.drop("_at", "daynum").join(met, keys, "left").join(moved, keys, "left")
     none = {"partners": 0, "earlier_partners": 0, "seen": 0.0}
     return out.select(*keys, "uid", *[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else F.col(c) for c in ("partners", "earlier_partners", "mean_speed", "max_speed", "seen")])

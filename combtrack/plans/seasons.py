@@ -219,9 +219,7 @@ def before_leaves(spark, d):
     controls = sampling.matched_controls(leaves, rows.select("daynum", "uid").distinct(), ["daynum"], "uid", 12345).where("control is not null")
     both = leaves.select("event_id", F.lit("event").alias("who"), "uid", "daynum", "framenum").unionAll(controls.select("event_id", F.lit("control").alias("who"), F.col("control").alias("uid"), "daynum", "framenum"))
     first = leaves.groupBy("uid").agg(F.min(F.col("daynum").cast("bigint") * DAY + F.col("framenum")).alias("at"))
-    bucket = lambda frame: F.floor(frame / WIDE)
-    asked = both.select("uid", "daynum", F.explode(F.sequence(bucket(F.col("framenum") - LOOK_BACK), bucket(F.col("framenum")))).alias("bucket"))
-    out = training.before_events(both, rows, ev.interactions(rows, NEAR, WIDE, asked), first, LOOK_BACK, WIDE)
+    out = training.before_events(both, rows, first, NEAR, LOOK_BACK, WIDE)
     return _rounded(out, ["mean_speed", "max_speed", "seen"])
 
 

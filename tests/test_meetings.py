@@ -74,3 +74,45 @@ def test_no_shuffle_holds_pairs(spark):
 def test_no_sightings_no_meetings(spark):
     none = spark.createDataFrame([], "uid bigint, daynum int, framenum int, camera int, x int, y int")
     assert meetings.first_meetings(none, spark.createDataFrame([], "uid bigint, at int"), 20, 10).collect() == []
+
+
+@pytest.fixture(scope="module")
+def departures(spark, sightings):
+    """Events of individuals that were seen before, or not, or only then, two of one individual at one time, and what plain loops count for them."""
+    rows, _ = sightings
+    events_ = [(k, who, (k * 5 + shift) % 25, k % 4, 3 + (k * 7) % 38) for k in range(60) for shift, who in ((0, "event"), (3, "control"))] + [(90, "event", 1, 1, 39), (91, "event", 1, 1, 39), (None, "event", 1, 1, 39)]
+    since, expected = {u: 40 * (u % 3) + u for u in range(23) if u % 4}, []
+    for key, who, uid, day, at in events_:
+        first = {}
+        for d, bucket, _, u, p, _ in met(rows, 20, 5):
+            if u == uid and d == day and at - 17 < 5 * bucket < at:
+                first[p] = min(first.get(p, 99), 5 * bucket)
+        if first:
+            expected.append((key, who, len(first), sum(since.get(p, 999) < 40 * day + t for p, t in first.items())))
+    return spark.createDataFrame(events_, "event_id bigint, who string, uid bigint, daynum int, framenum int"), spark.createDataFrame(list(since.items()), "uid bigint, at int"), expected
+
+
+@pytest.mark.parametrize("marks, blocks, piece", [(1 << 24, 4, 128), (1, 1, 1), (60, 30, 2)])
+def test_partners_before_events_in_blocks_of_any_size(spark, sightings, departures, monkeypatch, marks, blocks, piece):
+    for name, value in (("MARKS", marks), ("DAY_BLOCKS", blocks), ("SLICE", piece)):
+        monkeypatch.setattr(meetings, name, value)
+    before, since, expected = departures
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # an event's sightings come in several batches
+    try:
+        got = meetings.partners_before(before, sightings[1], since, 20, 17, 5, ["event_id", "who"], 40).where("partners > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected)) and any(0 < e < n for *_, n, e in expected)
+
+
+def test_blocks_of_a_day_grow_with_its_sightings(spark, sightings, departures, monkeypatch):
+    monkeypatch.setattr(meetings, "DAY_ROWS", 3)
+    before, since, expected = departures
+    got = meetings.partners_before(before, sightings[1], since, 20, 17, 5, ["event_id", "who"], 40).where("partners > 0").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
+def test_no_shuffle_holds_partners_of_events(spark):
+    """`before_leaves` counts partners within blocks: none of its shuffles has a row for an event and a partner."""
+    plan = catalogue.queries()["before_leaves"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(daynum" in plan and not any("partner" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
