@@ -116,3 +116,23 @@ def test_no_shuffle_holds_partners_of_events(spark):
     """`before_leaves` counts partners within blocks: none of its shuffles has a row for an event and a partner."""
     plan = catalogue.queries()["before_leaves"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(daynum" in plan and not any("partner" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+
+
+@pytest.mark.parametrize("strip, piece, cells", [(4, 128, 1 << 20), (1, 1, 1), (1, 5, 40), (100, 128, 60)])
+def test_all_meetings_in_strips_and_pieces_of_any_size(spark, sightings, monkeypatch, strip, piece, cells):
+    """Also sightings on the edges of strips, a strip in several batches, and two sightings of an individual."""
+    for name, value in (("STRIP", strip), ("SLICE", piece), ("CELLS", cells)):
+        monkeypatch.setattr(meetings, name, value)
+    rows, df = sightings
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = meetings.all_meetings(df, 20, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["daynum"], r["bucket"], r["camera"], r["uid"], r["partner"], round(r["d"], 9)) for r in got) == met(rows, 20, 10)
+
+
+def test_a_sighting_is_shuffled_once_or_twice_for_its_meetings(spark):
+    """`interactions` deals sightings into strips, to the next one only from its edge, and joins no copies of them by squares."""
+    plan = catalogue.queries()["interactions"](spark, DATA)._jdf.queryExecution()
+    assert "Join" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("hashpartitioning(") == 1
