@@ -91,6 +91,29 @@ def _held_at(at: Column) -> Column:
     return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: the product's own rounding error (by halves of the digits) and the sum's are added to the sum.
+
+    Only where the product lies between two doubles and one number is 2^53 times the other can the last bit differ.
+    """
+    halves = lambda v: (v * 134217729.0 - (v * 134217729.0 - v), v - (v * 134217729.0 - (v * 134217729.0 - v)))
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    s = p + c
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl + ((p - (s - (s - p))) + (c - (s - p)))
+    return F.when(F.isnan(lost), s).otherwise(s + lost)  # beyond 1e300 the halves overflow
+
+
+def quantile_of(values: Column, share: float) -> Column:
+    """The quantile of an ascending array, interpolated linearly; null without values.
+
+    Of the two weighted values the lower one's product isn't rounded before they are added, as DuckDB has it: Spark's
+    `percentile` rounds it and can differ in the last bit.
+    """
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high, d = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int")), at - F.floor(at)
+    return _fused(low, 1 - d, high * d)
+
+
 def quantiles_by(df: DataFrame, key: str, column: str, shares: list[float]) -> DataFrame:
     """(key, _q): `quantiles` within each of a few keys, by the same ranges, so that no task holds a key's values; a null key is left out."""
     known = df.dropna(subset=[key, column])
