@@ -67,3 +67,16 @@ def test_a_frame_with_two_sightings_is_one_step_of_the_grid(spark):
     df = spark.createDataFrame(rows, "uid bigint, daynum int, framenum int, event_id bigint, x double")
     got = events.upsampled(df, 5, ["x"]).orderBy("framenum").collect()
     assert [(r["framenum"], r["x"]) for r in got] == [(0, 20.0), (5, 30.0), (10, 40.0)]
+
+
+@pytest.mark.parametrize("name", ["leave_events", "plot_segments"])
+@pytest.mark.parametrize("kind", ["arrivals", "partings"])
+def test_leaves_and_segments_as_duckdb_but_for_the_order_of_ties(spark, arrivals, partings, name, kind):
+    con, paths = duckdb.connect(), arrivals if kind == "arrivals" else [partings]
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{paths[0]}/events.parquet/*.parquet'")
+    sql = ordered(catalogue.oracle_sql()[name]).replace("ORDER BY framenum ROWS", "ORDER BY framenum, ts, event_id ROWS")
+    other = con.execute(sql)
+    expected = rows([c[0] for c in other.description], other.fetchall())
+    for path in paths:  # however the sightings arrive
+        own = catalogue.queries()[name](spark, path)
+        assert rows(own.columns, own.collect()) == expected
